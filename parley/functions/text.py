@@ -127,14 +127,14 @@ def claims_none(col) -> Column:
     return hit
 
 
-def cue_tags(col) -> Column:
-    """Cue kinds found in a line, in fixed order."""
+def cue_tags(col, cues: dict[str, list[str]] = CUES) -> Column:
+    """Cue kinds found in a line, in the order of ``cues``."""
     return F.array_compact(F.array(*[
-        F.when(_c(col).rlike("(?i)" + "|".join(f"(?:{p})" for p in pats)), kind) for kind, pats in CUES.items()]))
+        F.when(_c(col).rlike("(?i)" + "|".join(f"(?:{p})" for p in pats)), kind) for kind, pats in cues.items()]))
 
 
-def is_winddown(col) -> Column:
-    return _c(col).rlike("(?i)" + "|".join(f"(?:{p})" for p in CUES["WINDDOWN"]))
+def is_winddown(col, patterns: list[str] = CUES["WINDDOWN"]) -> Column:
+    return _c(col).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def clock(seconds) -> Column:

@@ -51,7 +51,9 @@ def bracket(probe: DataFrame, build: DataFrame, keys: Sequence[str], payload: Se
     found = scan(line, keys, ["_t", "_k", "_tie", "_d"], block_of("_t", width),
                  _back=RunMax(F.col("_b")), _fwd=NextSeen(F.col("_b")))
     both = found.filter("_p is not null").groupBy("_p").agg(
+        F.count_if(F.col("_d") == 0).alias("_copies"),
         F.max(F.when(F.col("_d") == 0, F.col("_back"))).alias("_back"),
         F.max(F.when(F.col("_d") == 2, F.col("_fwd"))).alias("_fwd"))
+    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
     return both.select("_p.*", *[F.col("_back")[c].alias(f"prev_{c}") for c in payload],
                        *[F.col("_fwd")[c].alias(f"next_{c}") for c in payload])

@@ -33,12 +33,16 @@ def time_block(col: str = "start") -> Column:
     return block_of(col, TIME_BLOCK)
 
 
-def segments(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations")
-    base = c.select(
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments without timings."""
+    return table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("seg_pos"),
         F.col("turn").cast("string").alias("seg_id"), (F.col("role") == "system").alias("is_gap"),
         F.col("role").alias("speaker_label"), "text", F.size(_toks("text")).cast("long").alias("n_words"))
+
+
+def segments(spark: SparkSession, sf: str) -> DataFrame:
+    base = lines(spark, sf)
     timed = scan(base, ["session_id"], ["seg_pos"], seg_block(), _w=RunSum(F.col("n_words"), inclusive=False))
     start = (300 * F.col("_w") + 200 * F.col("seg_pos") + 3500 * F.floor(F.col("seg_pos") / 3)).cast("long")
     return timed.withColumn("start", start).withColumn("end", start + 300 * F.col("n_words")).drop("_w")
@@ -61,7 +65,7 @@ def words(spark: SparkSession, sf: str, timed: bool = True) -> DataFrame:
     w = s.select("session_id", "seg_pos", F.col("speaker_label").alias("_role"),
                  *([F.col("start").alias("_s")] if timed else []),
                  F.posexplode(_toks("text")).alias("word_index", "_raw"))
-    named = (n >= 6) & ((n + i) % 3 == 0)
+    named = (n >= 6) & ((n + i) % 3 == 0) & F.col("_raw").rlike("^[a-z]")
     surface = F.when(named, F.concat(F.upper(F.substring("_raw", 1, 1)), F.expr("substring(_raw, 2)"))).otherwise(F.col("_raw"))
     silent = (n + i) % 13 == 0
     return w.select(
@@ -144,7 +148,7 @@ CTE: dict[str, tuple[list[str], str]] = {
         FROM (SELECT *, len(toks) AS n_words,
               sum(len(toks)) OVER (PARTITION BY session_id ORDER BY seg_pos ROWS UNBOUNDED PRECEDING) AS w FROM seg_toks)"""),
     "words": (["segments"], r"""SELECT session_id, seg_pos, i AS word_index,
-        CASE WHEN n >= 6 AND (n + i) % 3 = 0 THEN upper(substr(raw, 1, 1)) || substr(raw, 2) ELSE raw END AS word,
+        CASE WHEN n >= 6 AND (n + i) % 3 = 0 AND regexp_matches(raw, '^[a-z]') THEN upper(substr(raw, 1, 1)) || substr(raw, 2) ELSE raw END AS word,
         s + 300 * i AS "start", s + 300 * i + 300 AS "end",
         CASE WHEN (n + i) % 17 = 0 THEN NULL ELSE ((n * 37 + i * 11) % 100) / 100.0 END AS probability,
         CASE WHEN (n + i) % 13 = 0 THEN NULL WHEN (i + seg_pos) % 5 = 0 THEN 'guest' ELSE role END AS speaker_label,

@@ -24,4 +24,6 @@ def load() -> None:
     """Import every module that registers queries."""
     from parley.plans import (  # noqa: F401
         q_speech,
+        q_stories,
+        q_text,
     )
