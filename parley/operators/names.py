@@ -1,8 +1,237 @@
-from pyspark.sql import DataFrame, Window
+"""Name detection: candidates, phrases, family names, inconsistent names and name cards.
+
+Work that depends only on a spelling (phonetic codes, dictionary tests, clusters) is done once per
+distinct form of a scope and looked up by the occurrences. ``scope`` names the columns of a
+recording or of a story; ``codes`` turns a form column into an ordered array of codes.
+"""
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
 from parley.functions import text as tx
+from parley.functions.phonetic import code_rows, metaphone_codes, with_codes
+from parley.operators.components import connected_forms
+from parley.operators.scans import RunSum, scan
+from parley.operators.skew import keyed_lookup
+
 SEG = ["session_id", "seg_pos"]
+AT = ["session_id", "seg_pos", "word_index"]
+MIN_NAME = 4
+Codes = Callable[[Column], Column]
+
+
 def sentence_initial(words: DataFrame) -> DataFrame:
     """Flag words that open a segment or follow a sentence end."""
     prev = F.lag("word").over(Window.partitionBy(*SEG).orderBy("word_index"))
     return words.withColumn("initial", prev.isNull() | tx.ends_sentence(prev))
+
+
+def cleaned(words: DataFrame) -> DataFrame:
+    return words.withColumn("c", tx.clean("word")).withColumn("cap", tx.is_capitalized(tx.strip("word")))
+
+
+def proper_names(words: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, c): forms capitalised at least once inside a sentence."""
+    w = cleaned(sentence_initial(words))
+    return w.filter("cap and not initial").filter(F.length("c") >= MIN_NAME).select(*scope, "c").distinct()
+
+
+def bigrams(words: DataFrame) -> DataFrame:
+    """Each word with the next word of its segment."""
+    nxt = Window.partitionBy(*SEG).orderBy("word_index")
+    w = cleaned(words)
+    return (w.withColumn("c2", F.lead("c").over(nxt)).withColumn("word2", F.lead("word").over(nxt))
+            .withColumn("end2", F.lead("end").over(nxt) if "end" in words.columns else F.lit(None))
+            .filter("c2 is not null"))
+
+
+def name_phrases(words: DataFrame, singles: DataFrame, scope: Sequence[str], min_count: int = 2,
+                 dominance: float = 0.5) -> DataFrame:
+    """(scope, c, c2, n): recurring modifier + name pairs that hold most of the name's uses."""
+    heads = cleaned(words).filter("c <> ''").groupBy(*scope, "c").agg(F.count(F.lit(1)).alias("_uses"))
+    heads = heads.join(singles, [*scope, "c"], "left_semi").withColumnRenamed("c", "c2")
+    pairs = (bigrams(words).filter((F.col("c") != "") & (F.col("c2") != "") & ~F.col("c").isin(tx.PHRASE_STOP))
+             .groupBy(*scope, "c", "c2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count))
+    kept = keyed_lookup(pairs, heads, [*scope, "c2"], ["c"])
+    return kept.filter(F.col("n") / F.col("_uses") >= dominance).select(*scope, "c", "c2", "n")
+
+
+def flag_common(forms: DataFrame, common: DataFrame, form: str = "c", plural: bool = True, name: str = "is_common") -> DataFrame:
+    """Flag forms in the word list, or there without a trailing s when ``plural``."""
+    c = F.col(form)
+    tries = F.array(c, F.when(c.endswith("s"), c.substr(F.lit(1), F.length(c) - 1)).otherwise(c)) if plural else F.array(c)
+    hits = (forms.select(form).distinct().withColumn("_w", F.explode(F.array_distinct(tries)))
+            .join(common.select(F.col("word").alias("_w")).distinct(), "_w", "left_semi").select(form).distinct()
+            .withColumn(name, F.lit(True)))
+    return forms.join(hits, form, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def roster_forms(people: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    canon = people.select("person_id", "canonical", tx.clean("canonical").alias("form"))
+    return canon, aliases.select("person_id", "token", tx.clean("token").alias("form"))
+
+
+def roster_problems(people: DataFrame, aliases: DataFrame, codes: Codes = metaphone_codes) -> DataFrame:
+    """Aliases that name nobody, or that a canonical name's sound reaches anyway."""
+    canon, alias = roster_forms(people, aliases)
+    unknown = alias.join(people.select("person_id"), "person_id", "left_anti").select("token", F.lit("unknown person").alias("problem"))
+    roster = code_rows(with_codes(canon, "form", codes)).select("code").distinct()
+    reached = code_rows(alias.filter("form <> ''").withColumn("codes", codes(F.col("form")))).join(roster, "code", "left_semi")
+    return unknown.unionByName(reached.select("token", F.lit("redundant").alias("problem")).distinct())
+
+
+def roster_matches(vocabulary: DataFrame, people: DataFrame, aliases: DataFrame, codes: Codes = metaphone_codes) -> DataFrame:
+    """(c, match_type, person_ids): roster people each form stands for, right spellings left out."""
+    canon, alias = roster_forms(people, aliases)
+    v = vocabulary.select("c").filter("c <> ''").distinct()
+    wrong = v.join(canon.select(F.col("form").alias("c")), "c", "left_anti")
+    people_codes = code_rows(with_codes(canon, "form", codes)).join(canon.select("form", "person_id"), "form").select("code", "person_id")
+    sound = (code_rows(wrong.withColumn("codes", codes(F.col("c")))).join(people_codes, "code")
+             .groupBy("c").agg(F.array_sort(F.collect_set("person_id")).alias("person_ids"))
+             .withColumn("match_type", F.lit("phonetic")))
+    named = (wrong.join(sound, "c", "left_anti").join(alias.select(F.col("form").alias("c"), "person_id"), "c")
+             .groupBy("c").agg(F.array_sort(F.collect_set("person_id")).alias("person_ids"))
+             .withColumn("match_type", F.lit("alias")))
+    return sound.unionByName(named)
+
+
+def family_names(words: DataFrame, people: DataFrame, aliases: DataFrame, codes: Codes = metaphone_codes) -> DataFrame:
+    """Capitalised words that sound like, or are a known alias of, a roster name."""
+    w = cleaned(words)
+    hits = roster_matches(w.select("c"), people, aliases, codes)
+    return keyed_lookup(w.filter("cap"), hits, ["c"], AT)
+
+
+def outside_roster(forms: DataFrame, people: DataFrame, aliases: DataFrame, codes: Codes = metaphone_codes) -> DataFrame:
+    """Forms that are no roster name, alias or sound-alike."""
+    canon, alias = roster_forms(people, aliases)
+    known = canon.select(F.col("form").alias("c")).unionByName(alias.select(F.col("form").alias("c"))).distinct()
+    roster = code_rows(with_codes(canon, "form", codes)).select("code").distinct()
+    reached = code_rows(with_codes(forms, "c", codes)).join(roster, "code", "left_semi").select("c").distinct()
+    return forms.join(known, "c", "left_anti").join(reached, "c", "left_anti")
+
+
+def name_clusters(forms: DataFrame, scope: Sequence[str], codes: Codes = metaphone_codes) -> DataFrame:
+    """(scope, c, cluster_id): forms of a scope that share a code, directly or through others."""
+    coded = code_rows(with_codes(forms, "c", codes)).select("c", "code")
+    edges = keyed_lookup(forms.select(*scope, "c").distinct(), coded.withColumnRenamed("c", "c"), ["c"], list(scope))
+    return connected_forms(edges, scope, "c", "code")
+
+
+def inconsistent_names(words: DataFrame, scope: Sequence[str], common: DataFrame, people: DataFrame | None = None,
+                       aliases: DataFrame | None = None, judged: DataFrame | None = None,
+                       codes: Codes = metaphone_codes) -> tuple[DataFrame, DataFrame]:
+    """Names spelled several ways in one scope: (flags, spellings).
+
+    ``spellings`` has one row per form of an inconsistent cluster with its count and the cluster's
+    majority; ``flags`` the occurrences that deviate from it. All-common clusters count only when
+    listed in ``judged`` (scope, cluster_id).
+    """
+    occ = cleaned(words).filter("cap").filter(F.length("c") >= MIN_NAME)
+    place = F.struct("seg_pos", "word_index")
+    counts = occ.groupBy(*scope, "c").agg(F.count(F.lit(1)).alias("n"), F.min_by("word", place).alias("surface"),
+                                         F.min(place).alias("_first"))
+    if people is not None:
+        counts = keyed_lookup(counts, outside_roster(counts.select("c").distinct(), people, aliases, codes), ["c"], list(scope))
+    clustered = counts.join(name_clusters(counts, scope, codes), [*scope, "c"])
+    clustered = flag_common(clustered, common).checkpoint()
+    totals = clustered.groupBy(*scope, "cluster_id").agg(
+        F.count(F.lit(1)).alias("n_spellings"), F.sum("n").alias("n_occurrences"),
+        F.bool_or(~F.col("is_common")).alias("_clear"), F.max("n").alias("_top"),
+        F.max_by(F.struct("c", "surface", "n"), F.col("n")).alias("_maj"))
+    odd = totals.filter("n_spellings > 1")
+    if judged is None:
+        odd = odd.filter("_clear")
+    else:
+        keep = judged.select(*scope, "cluster_id").distinct().withColumn("_kept", F.lit(True))
+        odd = odd.join(keep, [*scope, "cluster_id"], "left").filter("_clear or _kept").drop("_kept")
+    has_majority = F.col("_top") * 2 > F.col("n_occurrences")
+    odd = odd.select(*scope, "cluster_id", "n_spellings", "n_occurrences",
+                     F.when(has_majority, F.col("_maj.c")).alias("majority_form"),
+                     F.when(has_majority, F.regexp_replace(F.col("_maj.surface"), r"""[ .,?!…"']+$""", "")).alias("majority_spelling"),
+                     F.when(has_majority, F.col("_top")).alias("majority_count"))
+    spellings = keyed_lookup(clustered.select(*scope, "cluster_id", "c", "n"), odd, [*scope, "cluster_id"], ["c"])
+    deviating = spellings.filter(F.col("majority_form").isNull() | (F.col("c") != F.col("majority_form")))
+    return keyed_lookup(occ, deviating, [*scope, "c"], AT), spellings
+
+
+def name_cards(words: DataFrame, scope: Sequence[str], common: DataFrame, recover: bool = True,
+               codes: Codes = metaphone_codes) -> tuple[DataFrame, DataFrame]:
+    """Name cards of each scope: (cards, members).
+
+    A card is a cluster of names by sound or a multi-word phrase; words of phrases leave the
+    clusters. With ``recover`` other words that sound like a cluster and are not in the word list
+    join it. ``members`` maps each form (phrases: both words with a space) to its card key.
+    """
+    singles = proper_names(words, scope)
+    phrases = name_phrases(words, singles, scope)
+    parts = phrases.select(*scope, F.explode(F.array("c", "c2")).alias("c")).distinct()
+    alone = singles.join(parts, [*scope, "c"], "left_anti")
+    clusters = name_clusters(alone, scope, codes)
+    members = clusters
+    if recover:
+        taken = alone.unionByName(parts)
+        others = (cleaned(words).filter(F.length("c") >= MIN_NAME).select(*scope, "c").distinct()
+                  .join(taken, [*scope, "c"], "left_anti"))
+        unusual = flag_common(others, common, plural=False).filter("not is_common").drop("is_common")
+        vocab = code_rows(with_codes(unusual.select("c").unionByName(clusters.select("c")), "c", codes))
+        roots = (keyed_lookup(clusters, vocab, ["c"], list(scope)).groupBy(*scope, "code").agg(F.min("cluster_id").alias("cluster_id")))
+        reached = keyed_lookup(keyed_lookup(unusual, vocab, ["c"], list(scope)), roots, [*scope, "code"], ["c"])
+        members = members.unionByName(reached.groupBy(*scope, "c").agg(F.min_by("cluster_id", "code_rank").alias("cluster_id")))
+    members = members.select(*scope, "c", F.col("cluster_id").alias("card_key"), F.lit(False).alias("is_phrase")).checkpoint()
+    spans = phrases.select(*scope, F.concat_ws(" ", "c", "c2").alias("c"), F.concat_ws(" ", "c", "c2").alias("card_key"),
+                           F.lit(True).alias("is_phrase"))
+    uses = cleaned(words).filter("c <> ''").groupBy(*scope, "c", "word").agg(F.count(F.lit(1)).alias("n"))
+    single_cards = (keyed_lookup(uses, members, [*scope, "c"], ["word"]).groupBy(*scope, "card_key", "is_phrase")
+                    .agg(F.sum("n").alias("n"), F.countDistinct("c").alias("n_forms"), F.countDistinct("word").alias("n_surfaces")))
+    pair_uses = (bigrams(words).groupBy(*scope, "c", "c2", F.concat_ws(" ", "word", "word2").alias("word"))
+                 .agg(F.count(F.lit(1)).alias("n")))
+    phrase_cards = (pair_uses.join(phrases.drop("n"), [*scope, "c", "c2"]).groupBy(*scope, F.concat_ws(" ", "c", "c2").alias("card_key"))
+                    .agg(F.sum("n").alias("n"), F.countDistinct("word").alias("n_surfaces"))
+                    .select(*scope, "card_key", F.lit(True).alias("is_phrase"), "n", F.lit(1).cast("long").alias("n_forms"), "n_surfaces"))
+    cards = rank_cards(single_cards.unionByName(phrase_cards), scope)
+    return cards, members.unionByName(spans)
+
+
+def rank_cards(cards: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Number the cards of a scope by falling use count, then key."""
+    neg = cards.withColumn("_neg", -F.col("n"))
+    block = F.col("_neg") * 65536 + F.ascii("card_key") * 256 + F.ascii(F.expr("substring(card_key, 2)"))
+    return scan(neg, scope, ["_neg", "card_key"], block, card_id=RunSum(F.lit(1).cast("long"))).drop("_neg")
+
+
+def card_occurrences(words: DataFrame, members: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Where each card is used, one row per (segment, word) and card."""
+    single = keyed_lookup(cleaned(words), members.filter("not is_phrase"), [*scope, "c"], AT).select(
+        *scope, "card_key", "is_phrase", *[a for a in AT if a not in scope], tx.strip("word").alias("token"), "c")
+    pairs = bigrams(words).withColumn("word", F.concat_ws(" ", tx.strip("word"), tx.strip("word2"))).withColumn("c", F.concat_ws(" ", "c", "c2"))
+    double = keyed_lookup(pairs, members.filter("is_phrase"), [*scope, "c"], AT).select(
+        *scope, "card_key", "is_phrase", *[a for a in AT if a not in scope], F.col("word").alias("token"), F.replace("c", F.lit(" "), F.lit("")).alias("c"))
+    return single.unionByName(double)
+
+
+def card_examples(occurrences: DataFrame, lines: DataFrame, scope: Sequence[str], n: int = 3) -> DataFrame:
+    """First ``n`` distinct lines of each card, one row per line."""
+    at = occurrences.select(*scope, "card_key", "seg_pos").distinct()
+    texts = at.join(lines.select("session_id", "seg_pos", tx.strip("text").alias("line")), SEG).filter("line <> ''")
+    first = texts.groupBy(*scope, "card_key", "line").agg(F.min("seg_pos").alias("seg_pos"))
+    rank = F.row_number().over(Window.partitionBy(*scope, "card_key").orderBy("seg_pos"))
+    return first.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
+def find_spellings(words: DataFrame, spellings: DataFrame, max_tokens: int = 3) -> DataFrame:
+    """Occurrences of cleaned spellings of 1..n tokens inside a segment.
+
+    ``spellings`` has ``cleaned``; runs of tokens become equi-join keys.
+    """
+    w = Window.partitionBy(*SEG).orderBy("word_index")
+    grams, acc = [], F.col("c")
+    for k in range(1, max_tokens + 1):
+        if k > 1:
+            acc = F.concat(acc, F.lit(" "), F.lead("c", k - 1).over(w))
+        grams.append(acc)
+    rows = (cleaned(words).withColumn("_g", F.array(*grams))
+            .select(*AT, F.explode("_g").alias("cleaned")).filter("cleaned is not null"))
+    return keyed_lookup(rows, spellings.select("cleaned").distinct(), ["cleaned"], AT)
