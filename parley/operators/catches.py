@@ -1,15 +1,19 @@
 """Misspelled names of known worlds: casts, votes, sound matches, gates and occurrences."""
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from parley.functions import text as tx
 from parley.functions.phonetic import code_rows, metaphone_codes, with_codes
 from parley.operators.names import AT, MIN_NAME, Codes, bigrams, cleaned, flag_common
 from parley.operators.scans import first_row
 from parley.operators.skew import keyed_lookup
+from parley.session import materialize
 
 NAME_LINE = r"(?m)^\s*([A-Za-z][\w '.-]{1,30}?)\s*-+>\s*([A-Za-z][\w '.-]{1,30})\s*$"
 
@@ -64,41 +68,58 @@ def sound_match(forms: DataFrame, cast: DataFrame, scope: Sequence[str], codes:
 
     The form's first code with a cast name decides; a code belongs to the first name carrying it.
     """
+    cast = materialize(cast)
     cast_codes = code_rows(with_codes(cast, "form", codes))
     owners = first_row(cast.join(cast_codes, "form").select("world", "code", "name", "cast_rank", "code_rank"),
                        ["world", "code"], [F.col("cast_rank"), F.col("code_rank")]).select("world", "code", F.col("name").alias("canonical"))
-    long = forms.filter(F.length("c") >= MIN_NAME).select(*scope, "world", "c").distinct()
+    long = materialize(forms.filter(F.length("c") >= MIN_NAME).select(*scope, "world", "c").distinct())
     wrong = long.join(cast.select("world", F.col("form").alias("c")), ["world", "c"], "left_anti")
     coded = keyed_lookup(wrong, code_rows(with_codes(long, "c", codes)), ["c"], list(scope))
     return (keyed_lookup(coded, owners, ["world", "code"], ["c"]).groupBy(*scope, "c")
             .agg(F.min_by("canonical", "code_rank").alias("canonical")).withColumnRenamed("c", "key"))
 
 
-def fuzzy_match(forms: DataFrame, cast: DataFrame, max_edits: int, min_ratio: float, codes: Codes = metaphone_codes) -> DataFrame:
-    """(world, c, canonical): cast name with a near code and the most similar spelling.
+@F.pandas_udf(DoubleType())
+def spelling_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp similarity of two spellings."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def _deletions(code: Column, k: int) -> Column:
+    """The code and every string left after deleting up to ``k`` of its letters."""
+    out = F.array(code)
+    for _ in range(k):
+        shorter = F.transform(out, lambda x: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))),
+            lambda i: F.concat(x.substr(F.lit(1), i - 1), F.substr(x, i + 1))))
+        out = F.array_distinct(F.concat(out, F.flatten(shorter)))
+    return out
 
-    Codes within k edits share at least one of k + 1 pieces at a shifted place, so candidate code
-    pairs come from an equi-join on (piece, length band), never from all pairs. Spelling similarity
-    is 2 * LCS-like ratio stated with the edit distance: 1 - distance / longer length.
+
+def fuzzy_match(forms: DataFrame, cast: DataFrame, scope: Sequence[str], max_edits: int, min_ratio: float,
+                codes: Codes = metaphone_codes) -> DataFrame:
+    """Sound matches, and for the other forms the most similar name with a code ``max_edits`` away.
+
+    Two codes within k edits share a string in their k-deletion sets, so candidate pairs come from
+    an equi-join on those strings, never from all pairs; the edit distance then settles each pair.
     """
-    def pieces(code: Column) -> Column:
-        # deletion neighbourhood: the code and the code with one letter left out, k times over
-        out = F.array(code)
-        for _ in range(max_edits):
-            out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda x: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))),
-                lambda i: F.concat(x.substr(F.lit(1), i - 1), F.substr(x, i + 1)))))))
-        return out
-    a = code_rows(with_codes(forms, "c", codes)).select("c", "code").join(forms.select("world", "c").distinct(), "c")
-    b = cast.join(code_rows(with_codes(cast, "form", codes)), "form").select("world", F.col("form").alias("f"), "name", "cast_rank", F.col("code").alias("code2"))
-    a = a.join(cast.select("world", F.col("form").alias("c")), ["world", "c"], "left_anti").withColumn("_g", F.explode(pieces(F.col("code"))))
-    b = b.withColumn("_g", F.explode(pieces(F.col("code2"))))
-    near = (a.join(b, ["world", "_g"]).select("world", "c", "code", "f", "code2", "name", "cast_rank").distinct()
-            .withColumn("_d", F.levenshtein("code", "code2", max_edits)).filter("_d >= 0"))
-    ratio = 1 - F.levenshtein("c", "f") / F.greatest(F.length("c"), F.length("f"))
-    scored = near.withColumn("exact", F.col("_d") == 0).withColumn("ratio", ratio).filter(F.col("exact") | (F.col("ratio") >= min_ratio))
-    return scored.groupBy("world", "c").agg(F.min_by(F.struct("name", "ratio"), F.struct(~F.col("exact"), -F.col("ratio"), "cast_rank")).alias("_m")).select(
-        "world", "c", F.col("_m.name").alias("canonical"), F.col("_m.ratio").alias("ratio"))
+    cast = materialize(cast)
+    exact = materialize(sound_match(forms, cast, scope, codes).withColumn("ratio", F.lit(None).cast("double")))
+    long = forms.filter(F.length("c") >= MIN_NAME).select(*scope, "world", "c").distinct()
+    rest = (long.join(cast.select("world", F.col("form").alias("c")), ["world", "c"], "left_anti")
+            .join(exact.select(*scope, F.col("key").alias("c")), [*scope, "c"], "left_anti"))
+    rest = materialize(rest)
+    vocab = rest.select("world", "c").distinct()
+    a = vocab.join(code_rows(with_codes(vocab, "c", codes)).select("c", "code"), "c").withColumn("_g", F.explode(_deletions(F.col("code"), max_edits)))
+    b = (cast.join(code_rows(with_codes(cast, "form", codes)), "form")
+         .select("world", "form", "name", "cast_rank", F.col("code").alias("code2"))
+         .withColumn("_g", F.explode(_deletions(F.col("code2"), max_edits))))
+    near = keyed_lookup(b, a, ["world", "_g"], ["form"]).filter(F.levenshtein("code", "code2", max_edits) >= 0)
+    pairs = near.select("world", "c", "form", "name", "cast_rank").distinct().withColumn("ratio", spelling_ratio("c", "form"))
+    best = pairs.filter(F.col("ratio") >= min_ratio).groupBy("world", "c").agg(
+        F.min_by(F.struct("name", "ratio"), F.struct(-F.col("ratio"), F.col("cast_rank"))).alias("_m"))
+    found = keyed_lookup(rest, best, ["world", "c"], ["c"]).select(*scope, F.col("c").alias("key"), F.col("_m.name").alias("canonical"), F.col("_m.ratio").alias("ratio"))
+    return exact.unionByName(found)
 
 
 def combine(judged: DataFrame, sounded: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -120,13 +141,14 @@ def dictionary_gate(flags: DataFrame, singles: DataFrame, common: DataFrame, sco
     the word list (plural tolerated) and never a name in its story. A flag whose canonical and one
     of whose forms are ordinary goes whole; ordinary forms go one by one. Only case M9c is gated.
     """
-    def ordinary(df: DataFrame, form: str, name: str) -> DataFrame:
-        listed = flag_common(df, common, form, True, "_c")
-        named = singles.select(*scope, F.col("c").alias(form)).distinct().withColumn("_n", F.lit(True))
-        return (keyed_lookup(listed, named, [*scope, form], ["flag_id"], "left")
-                .withColumn(name, F.col("_c") & F.col("_n").isNull() & (F.col(form) != "")).drop("_c", "_n"))
-    marked = ordinary(flags, "key", "_wrong")
-    marked = ordinary(marked.withColumn("_canon", tx.clean("canonical")), "_canon", "_right")
+    flags = materialize(flags)
+    forms = flags.select(*scope, F.explode(F.array("key", tx.clean("canonical"))).alias("_f")).filter("_f <> ''").distinct()
+    listed = flag_common(forms, common, "_f", True, "_c").filter("_c").drop("_c")
+    ordinary = materialize(listed.join(singles.select(*scope, F.col("c").alias("_f")), [*scope, "_f"], "left_anti"))
+    marked = flags.withColumn("_canon", tx.clean("canonical"))
+    for form, name in (("key", "_wrong"), ("_canon", "_right")):
+        hits = ordinary.withColumnRenamed("_f", form).withColumn(name, F.lit(True))
+        marked = keyed_lookup(marked, hits, [*scope, form], ["flag_id"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
     whole = marked.groupBy(*scope, "flag_id").agg(F.bool_or("_wrong").alias("_any"))
     both = keyed_lookup(marked, whole, [*scope, "flag_id"], ["key"])
     keep = (F.col("case") != "M9c") | ~(F.col("_wrong") | (F.col("_right") & F.col("_any")))
@@ -161,10 +183,11 @@ def expand(flags: DataFrame, words: DataFrame, scope: Sequence[str], codes: Code
 
     ``confident`` tells whether the form sounds like the proposed spelling.
     """
+    flags = materialize(flags)
     pairs = flags.select(F.col("key").alias("c"), tx.clean("canonical").alias("r")).distinct()
     coded = pairs.withColumn("_a", codes(F.col("c"))).withColumn("_b", codes(F.col("r")))
     sure = coded.select(F.col("c").alias("key"), F.col("r").alias("_r"), F.arrays_overlap("_a", "_b").alias("confident"))
-    rated = keyed_lookup(flags.withColumn("_r", tx.clean("canonical")), sure, ["key", "_r"], list(scope)).drop("_r")
+    rated = materialize(keyed_lookup(flags.withColumn("_r", tx.clean("canonical")), sure, ["key", "_r"], list(scope)).drop("_r"))
     rest = [a for a in AT if a not in scope]
     single = cleaned(words).select(*scope, *rest, tx.strip("word").alias("token"), F.col("c").alias("key"), F.lit(0).alias("_two"))
     double = bigrams(words).select(*scope, *rest, F.concat_ws(" ", tx.strip("word"), tx.strip("word2")).alias("token"),
@@ -215,7 +238,8 @@ def gate_decisions(candidates: DataFrame, reheard: DataFrame, cast: DataFrame, b
     c = candidates.withColumn("blind_c", tx.clean("blind")).withColumn("expected", F.least(F.col("start"), F.lit(lead)))
     last = blessed.withColumn("blind_c", tx.clean("form")).filter("blind_c <> ''").groupBy("world", "blind_c").agg(
         F.max_by("canonical", "ordinal").alias("_b"))
-    c = keyed_lookup(c, last, ["world", "blind_c"], AT, "left")
+    c = materialize(keyed_lookup(c, last, ["world", "blind_c"], AT, "left"))
+    cast = materialize(cast)
     heard = reheard.withColumn("wc", tx.clean("word")).filter("wc <> ''")
     near = c.filter("_b is null").join(heard.select(*AT, "word", "wc", "offset"), AT).withColumn(
         "_far", F.abs(F.col("offset") - F.col("expected"))).filter(F.col("_far") <= tolerance)
@@ -223,13 +247,13 @@ def gate_decisions(candidates: DataFrame, reheard: DataFrame, cast: DataFrame, b
     named = singles.select("session_id", F.col("c").alias("wc")).distinct().withColumn("_single", F.lit(True))
     near = keyed_lookup(near, in_cast, ["world", "wc"], AT, "left")
     near = keyed_lookup(near, named, ["session_id", "wc"], AT, "left")
-    near = flag_common(near, common, "wc", False, "_common")
+    near = flag_common(materialize(near), common, "wc", False, "_common")
     fit = near.filter(F.col("_exact").isNotNull() | F.col("_single") | ~F.col("_common"))
     target = first_row(fit.select(*AT, "_far", "offset", "word", "wc", "_exact"), AT, [F.col("_far"), F.col("offset"), F.col("word")])
     # the first cast name, in cast order, that shares a code with the target
     cast_codes = cast.join(code_rows(with_codes(cast, "form", codes)), "form").select("world", "code", "name", "cast_rank")
     owners = first_row(cast_codes, ["world", "code"], [F.col("cast_rank")])
-    pairs = keyed_lookup(c.select(*AT, "world", "blind_c"), target, AT, ["blind_c"]).filter("wc <> blind_c")
+    pairs = materialize(c.select(*AT, "world", "blind_c").join(target, AT).filter("wc <> blind_c"))
     vocab = code_rows(with_codes(pairs.filter("_exact is null"), "wc", codes))
     sound = keyed_lookup(keyed_lookup(pairs.filter("_exact is null").select("world", "wc").distinct(), vocab, ["wc"], ["wc"]),
                          owners, ["world", "code"], ["wc"]).groupBy("world", "wc").agg(F.min_by("name", "cast_rank").alias("_sound"))

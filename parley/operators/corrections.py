@@ -31,11 +31,13 @@ def variant_scan(texts: DataFrame, ids: Sequence[str], variants: DataFrame, text
     is one equi-join.
     """
     split = r"(?U)[^\w]+"
-    toks = F.filter(F.split(text, split), lambda t: t != "")
-    spread = texts.select(*ids, F.posexplode(toks).alias("_i", "_t"), toks.alias("_all"))
-    grams = F.explode(F.transform(F.sequence(F.lit(1), F.lit(max_tokens)), lambda n: F.when(
-        F.col("_i") + n <= F.size("_all"), F.array_join(F.slice("_all", F.col("_i") + 1, n), " "))))
-    hits = spread.select(*ids, "_i", grams.alias("_g")).filter("_g is not null").withColumn("_k", F.lower("_g"))
+    toks = texts.select(*ids, F.filter(F.split(text, split), lambda t: t != "").alias("_t"))
+    runs = [F.col("_t")]
+    for n in range(2, max_tokens + 1):
+        rest = F.slice("_t", n, F.greatest(F.size("_t") - n + 1, F.lit(0)))
+        runs.append(F.zip_with(F.slice(runs[-1], 1, F.size(rest)), rest, lambda a, b: F.concat(a, F.lit(" "), b)))
+    grams = toks.select(*ids, F.explode(F.array(*runs)).alias("_r")).select(*ids, F.posexplode("_r").alias("_i", "_g"))
+    hits = grams.withColumn("_k", F.lower("_g"))
     keys = variants.select(F.array_join(F.filter(F.split("transcribed", split), lambda t: t != ""), " ").alias("_k"), "correct")
     found = keyed_lookup(hits, keys, ["_k"], [*ids, "_i"])
     return found.groupBy(*ids, "_k").agg(F.min_by("_g", "_i").alias("transcribed"), F.min("correct").alias("correct")).drop("_k")

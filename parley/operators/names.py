@@ -15,6 +15,7 @@ from parley.functions.phonetic import code_rows, metaphone_codes, with_codes
 from parley.operators.components import connected_forms
 from parley.operators.scans import RunSum, scan
 from parley.operators.skew import keyed_lookup
+from parley.session import materialize
 
 SEG = ["session_id", "seg_pos"]
 AT = ["session_id", "seg_pos", "word_index"]
@@ -135,8 +136,9 @@ def inconsistent_names(words: DataFrame, scope: Sequence[str], common: DataFrame
                                          F.min(place).alias("_first"))
     if people is not None:
         counts = keyed_lookup(counts, outside_roster(counts.select("c").distinct(), people, aliases, codes), ["c"], list(scope))
+    counts = materialize(counts)
     clustered = counts.join(name_clusters(counts, scope, codes), [*scope, "c"])
-    clustered = flag_common(clustered, common).checkpoint()
+    clustered = materialize(flag_common(clustered, common))
     totals = clustered.groupBy(*scope, "cluster_id").agg(
         F.count(F.lit(1)).alias("n_spellings"), F.sum("n").alias("n_occurrences"),
         F.bool_or(~F.col("is_common")).alias("_clear"), F.max("n").alias("_top"),
@@ -165,8 +167,8 @@ def name_cards(words: DataFrame, scope: Sequence[str], common: DataFrame, recove
     clusters. With ``recover`` other words that sound like a cluster and are not in the word list
     join it. ``members`` maps each form (phrases: both words with a space) to its card key.
     """
-    singles = proper_names(words, scope)
-    phrases = name_phrases(words, singles, scope)
+    singles = materialize(proper_names(words, scope))
+    phrases = materialize(name_phrases(words, singles, scope))
     parts = phrases.select(*scope, F.explode(F.array("c", "c2")).alias("c")).distinct()
     alone = singles.join(parts, [*scope, "c"], "left_anti")
     clusters = name_clusters(alone, scope, codes)
@@ -175,12 +177,12 @@ def name_cards(words: DataFrame, scope: Sequence[str], common: DataFrame, recove
         taken = alone.unionByName(parts)
         others = (cleaned(words).filter(F.length("c") >= MIN_NAME).select(*scope, "c").distinct()
                   .join(taken, [*scope, "c"], "left_anti"))
-        unusual = flag_common(others, common, plural=False).filter("not is_common").drop("is_common")
+        unusual = materialize(flag_common(others, common, plural=False).filter("not is_common").drop("is_common"))
         vocab = code_rows(with_codes(unusual.select("c").unionByName(clusters.select("c")), "c", codes))
         roots = (keyed_lookup(clusters, vocab, ["c"], list(scope)).groupBy(*scope, "code").agg(F.min("cluster_id").alias("cluster_id")))
         reached = keyed_lookup(keyed_lookup(unusual, vocab, ["c"], list(scope)), roots, [*scope, "code"], ["c"])
         members = members.unionByName(reached.groupBy(*scope, "c").agg(F.min_by("cluster_id", "code_rank").alias("cluster_id")))
-    members = members.select(*scope, "c", F.col("cluster_id").alias("card_key"), F.lit(False).alias("is_phrase")).checkpoint()
+    members = materialize(members.select(*scope, "c", F.col("cluster_id").alias("card_key"), F.lit(False).alias("is_phrase")))
     spans = phrases.select(*scope, F.concat_ws(" ", "c", "c2").alias("c"), F.concat_ws(" ", "c", "c2").alias("card_key"),
                            F.lit(True).alias("is_phrase"))
     uses = cleaned(words).filter("c <> ''").groupBy(*scope, "c", "word").agg(F.count(F.lit(1)).alias("n"))

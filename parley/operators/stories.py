@@ -8,7 +8,7 @@ from parley.operators.intervals import overlap_join
 from parley.operators.runs import number_runs, zones
 from parley.operators.scans import LastSeen, Next, Prev, RunMax, RunSum, block_of, running_number, scan
 from parley.operators.skew import keyed_lookup
-from parley.session import ensure_checkpoint_dir
+from parley.session import materialize
 
 S = ["session_id"]
 CONTEXT, MAX_WINDOW, HEAD, TAIL = 3, 22, 11, 9
@@ -71,8 +71,7 @@ def assemble_stories(events: DataFrame, lengths: DataFrame, block: int) -> DataF
          .groupBy("session_id", "zone", "pos", "kind", "_k").agg(F.count(F.lit(1)).alias("_c"))
          .withColumn("_dup", F.explode(F.sequence(F.lit(1).cast("long"), "_c"))).drop("_c"))
     e = scan(e, S, order, block_of("zone", block), ends=RunSum(F.when(is_end, 1).otherwise(0).cast("long"), inclusive=False))
-    ensure_checkpoint_dir(events.sparkSession)
-    e = scan(e, [*S, "ends"], order, block_of("zone", block), open=RunMax(F.when(~is_end, F.col("pos")))).checkpoint()
+    e = materialize(scan(e, [*S, "ends"], order, block_of("zone", block), open=RunMax(F.when(~is_end, F.col("pos")))))
     # the end of the region an end event closes, seen by the next end
     close = F.when(is_end, F.greatest(F.coalesce("open", "pos"), "pos"))
     e = scan(e, S, order, block_of("zone", block), last_close=LastSeen(close), next_any=Next(F.lit(1)))

@@ -23,6 +23,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import every module that registers queries."""
     from parley.plans import (  # noqa: F401
+        q_catches,
+        q_corrections,
+        q_identity,
         q_names,
         q_speech,
         q_stories,

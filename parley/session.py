@@ -2,7 +2,7 @@
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "parley", master: str | None = None, **conf) -> SparkSession:
@@ -32,3 +32,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     target = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(target)
     return target
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a shared intermediate once to the checkpoint folder and read it from there.
+
+    For tables small against the words they come from (forms, flags, events) that a plan reads
+    several times; without it the plan would repeat their whole lineage per use.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
