@@ -26,6 +26,8 @@ def load() -> None:
         q_catches,
         q_corrections,
         q_identity,
+        q_labels,
+        q_overlays,
         q_names,
         q_speech,
         q_stories,
