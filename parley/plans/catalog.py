@@ -25,7 +25,10 @@ def load() -> None:
     from parley.plans import (  # noqa: F401
         q_catches,
         q_corrections,
+        q_drift,
+        q_evaluate,
         q_identity,
+        q_incremental,
         q_labels,
         q_overlays,
         q_names,
