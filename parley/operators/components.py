@@ -19,26 +19,27 @@ def connected_forms(edges: DataFrame, scope: Sequence[str], form: str = "form",
     per form and code, never form x form). Rounds are cut with reliable checkpoints; the loop
     ends when no label changed.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(edges.sparkSession)
     scope = list(scope)
     keys = [*scope, form]
-    pairs = edges.select(*scope, form, code).distinct().checkpoint()
+    held = edges.select(*scope, form, code).distinct().checkpoint()
+    # a code held by one form joins nothing: only shared codes take part in the rounds
+    shared = held.groupBy(*scope, code).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    pairs = keyed_lookup(held, shared, [*scope, code], [form]).checkpoint()
     labels = pairs.groupBy(*keys).agg(F.min(form).alias("label"))
     for _ in range(MAX_ROUNDS):
         at_code = pairs.join(labels, keys)
         code_min = at_code.groupBy(*scope, code).agg(F.min("label").alias("_m"))
-        pulled = (keyed_lookup(pairs, code_min, [*scope, code], [form])
-                  .groupBy(*keys).agg(F.min("_m").alias("_pull")))
-        stepped = labels.join(pulled, keys).select(
-            *keys, F.col("label").alias("_old"), F.least("label", "_pull").alias("label"))
+        stepped = (keyed_lookup(at_code, code_min, [*scope, code], [form])
+                   .groupBy(*keys).agg(F.min("label").alias("_old"), F.min("_m").alias("label")))
         jump = stepped.select(*scope, F.col(form).alias("label"), F.col("label").alias("_root"))
-        jumped = keyed_lookup(stepped, jump, [*scope, "label"], [form]).select(
+        labels = keyed_lookup(stepped, jump, [*scope, "label"], [form]).select(
             *keys, "_old", F.least("label", "_root").alias("label")).checkpoint()
-        moved = jumped.filter("label <> _old").limit(1).count()
-        labels = jumped.select(*keys, "label")
+        moved = labels.filter("label <> _old").limit(1).count()
+        labels = labels.drop("_old")
         if not moved:
             break
     else:
         raise RuntimeError("components did not settle")
-    return labels.withColumnRenamed("label", "cluster_id")
+    alone = held.select(*keys).distinct().join(labels.select(*keys), keys, "left_anti").withColumn("label", F.col(form))
+    return labels.unionByName(alone).withColumnRenamed("label", "cluster_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
-from parley.operators.asof import asof
+from parley.operators.asof import bracket
 from parley.operators.intervals import overlap_join
 from parley.operators.scans import RunSum, block_of, first_row, scan
 from parley.operators.skew import keyed_lookup
@@ -104,9 +104,8 @@ def boundary_recall(boundaries: DataFrame, candidates: DataFrame, block: int, to
     """Distance of each true boundary (session_id, boundary_id, pos) to the nearest candidate."""
     c = candidates.select("session_id", F.col("pos").alias("cand")).distinct().withColumn("_t", F.col("cand"))
     b = boundaries.select("session_id", "boundary_id", F.col("pos").cast("long").alias("pos"))
-    back = asof(b, c, ["session_id"], "pos", "_t", "_t", ["cand"], block, "backward", False, "back_")
-    both = asof(back, c, ["session_id"], "pos", "_t", "_t", ["cand"], block, "forward", False, "fwd_")
-    d = F.least(F.col("pos") - F.col("back_cand"), F.col("fwd_cand") - F.col("pos"))
+    both = bracket(b, c, ["session_id"], ["cand"], "_t", block, "pos", "pos", "_t")
+    d = F.least(F.col("pos") - F.col("prev_cand"), F.col("next_cand") - F.col("pos"))
     return both.select("session_id", "boundary_id", "pos", d.alias("distance"), F.coalesce(d <= tol, F.lit(False)).alias("found"))
 
 
@@ -164,11 +163,10 @@ def key_scores(key: DataFrame, words: DataFrame, codes, tol: int, width: int, bl
     points = w.withColumn("_s", F.col("start")).withColumn("_e", F.col("start"))
     near = overlap_join(spans, points, ["session_id"], width, "_lo", "_hi", "_s", "_e", closed=True).select("session_id", "note_id", "a", "c")
     lone = k.join(near.select("session_id", "note_id").distinct(), ["session_id", "note_id"], "left_anti")
-    back = asof(lone, w.withColumn("t", F.col("start")), ["session_id"], "at", "start", "word_id", ["c", "t"], block, "backward", False, "p_")
-    both = asof(back, w.withColumn("t", F.col("start")), ["session_id"], "at", "start", "word_id", ["c", "t"], block, "forward", False, "n_")
-    before = F.col("n_t").isNull() | (F.col("at") - F.col("p_t") <= F.col("n_t") - F.col("at"))
-    far = both.select("session_id", "note_id", "a", F.when(F.col("p_t").isNotNull() & before, F.col("p_c")).otherwise(F.col("n_c")).alias("c"))
-    seen = near.unionByName(far).filter("c <> '' and a <> ''").distinct()
+    both = bracket(lone, w.withColumn("t", F.col("start")), ["session_id"], ["c", "t"], "word_id", block, "at", "at")
+    before = F.col("next_t").isNull() | (F.col("at") - F.col("prev_t") <= F.col("next_t") - F.col("at"))
+    far = both.select("session_id", "note_id", "a", F.when(F.col("prev_t").isNotNull() & before, F.col("prev_c")).otherwise(F.col("next_c")).alias("c"))
+    seen = materialize(near.unionByName(far).filter("c <> '' and a <> ''").distinct())
     pairs = seen.select("a", "c").filter("a <> c").distinct()
     ca = with_codes(pairs, "a", codes, "_ca")
     cc = with_codes(pairs, "c", codes, "_cc")

@@ -237,3 +237,18 @@ def find_spellings(words: DataFrame, spellings: DataFrame, max_tokens: int = 3)
     rows = (cleaned(words).withColumn("_g", F.array(*grams))
             .select(*AT, F.explode("_g").alias("cleaned")).filter("cleaned is not null"))
     return keyed_lookup(rows, spellings.select("cleaned").distinct(), ["cleaned"], AT)
+
+
+def review_list(words: DataFrame, family: DataFrame, inconsistent: DataFrame, members: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Every use of a flagged or candidate name with the detectors that name it.
+
+    Words inside a phrase name are shown as the phrase only.
+    """
+    cards = card_occurrences(words, members, scope)
+    phrase = cards.filter("is_phrase")
+    covered = phrase.select("session_id", "seg_pos", F.explode(F.array("word_index", F.col("word_index") + 1)).alias("word_index")).distinct()
+    single = (family.select(*AT, "c", F.lit("m9a").alias("detector"))
+              .unionByName(inconsistent.select(*AT, "c", F.lit("m9b").alias("detector")))
+              .unionByName(cards.filter("not is_phrase").select(*AT, "c", F.lit(None).cast("string").alias("detector"))))
+    rows = single.join(covered, AT, "left_anti").unionByName(phrase.select(*AT, F.col("card_key").alias("c"), F.lit(None).cast("string").alias("detector")))
+    return rows.groupBy(*AT, "c").agg(F.array_sort(F.collect_set("detector")).alias("detectors"))

@@ -106,5 +106,6 @@ def speaker_group_numbers(speakers: DataFrame, keys: Sequence[str], label: str,
     return numbered.join(least, [*keys, "_g"]).select(*keys, label, identity, "number", (F.col("number") % 5).alias("color"))
 
 
-def transcript_lines(utterances: DataFrame) -> Column:
+def transcript_line() -> Column:
+    """'speaker: text' of an utterance."""
     return F.concat_ws(": ", F.coalesce("speaker_label", F.lit("UNKNOWN")), F.col("text"))

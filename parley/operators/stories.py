@@ -183,3 +183,8 @@ def story_labels(stories: DataFrame) -> DataFrame:
              .when(F.col("worlds") != "", F.concat("worlds", originals))
              .otherwise(F.concat(n.cast("string"), F.when(n == 1, " story").otherwise(" stories"))))
     return both.select("session_id", "n_stories", "worlds", label.alias("label"))
+
+
+def retag_stories(segments: DataFrame, stories: DataFrame, width: int) -> DataFrame:
+    """Segments with old story tags taken off and new ones put on."""
+    return tag_stories(segments.drop("story_idx", "title", "world"), stories, width)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
+from parley.sources.tables import read_spread
 from parley.operators.scans import Next, RunSum, block_of, scan
 
 SEGMENT_BLOCK = 65536          # positions per block of a session
@@ -21,8 +22,12 @@ NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem
          "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+TEXTS = ("conversations", "documents", "pages")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return read_spread(spark, path) if name in TEXTS else spark.read.parquet(path)
 
 
 def seg_block(col: str = "seg_pos") -> Column:

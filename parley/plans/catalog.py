@@ -35,4 +35,5 @@ def load() -> None:
         q_speech,
         q_stories,
         q_text,
+        q_views,
     )

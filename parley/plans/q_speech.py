@@ -70,7 +70,7 @@ def coverage_fractions(spark, sf):
 
 
 COVER_SQL = """SELECT t.session_id, t."start", t."end", t.speaker,
-    least(coalesce(sum(least(w."end", t."end") - greatest(w."start", t."start")), 0) / any_value(t."end" - t."start"), 1.0) AS coverage
+    least(coalesce(sum(least(w."end", t."end") - greatest(w."start", t."start")) FILTER (w.event_id IS NOT NULL), 0) / any_value(t."end" - t."start"), 1.0) AS coverage
     FROM turns t LEFT JOIN short w ON w.session_id = t.session_id AND w."start" < t."end" AND t."start" < w."end" GROUP BY t.session_id, t."start", t."end", t.speaker"""
 SHORT_SQL = """SELECT session_id, event_id, "start", "start" + ("end" - "start") // 20 AS "end" FROM timed_words"""
 

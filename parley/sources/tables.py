@@ -24,3 +24,14 @@ def overwrite_flags(flags: DataFrame, path: str) -> None:
 def read_session(spark: SparkSession, path: str, session_id: str) -> DataFrame:
     """All rows of one recording; only its partition is read."""
     return spark.read.parquet(path).filter(F.col("session_id") == session_id)
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table over at least as many tasks as there are cores.
+
+    Text work is done per row right after the scan. A table of many files comes in many splits and
+    is left alone; a small one in a single split would keep all but one core idle.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
