@@ -2,10 +2,10 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.operators.scans import BLOCK, block_of
+from parley.operators.scans import BLOCK, block_of, running_number
 
 
 def segment_fingerprints(words: DataFrame) -> DataFrame:
@@ -131,8 +131,7 @@ def assemble_benchmark(parts: DataFrame, cells: Sequence[str], deny: Sequence[st
     order = F.array_position(F.array(*[F.lit(c) for c in cells]), F.col("cell"))
     # the number of a story is its place in its cell after the stories of the cells before
     sized = parts.filter(~missing).groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", order)
-    from pyspark.sql import Window
     offsets = sized.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = parts.filter(~missing).withColumn("_i", F.row_number().over(Window.partitionBy("cell").orderBy("pos")))
+    placed = running_number(parts.filter(~missing), ["cell"], ["pos"], block_of("pos", 65536), "_i")
     out = placed.join(offsets.select("cell", "_off"), "cell").withColumn("id", F.format_string("s%03d", F.col("_off") + F.col("_i")))
     return out.withColumn("errors", errors).withColumn("warnings", warnings).drop("_off", "_i")

@@ -84,8 +84,8 @@ def assemble_stories(events: DataFrame, lengths: DataFrame, block: int) -> DataF
     n_events = e.select("session_id").distinct()
     open_tail = tail.join(lengths, S).select("session_id", "s", (F.col("n_lines") - 1).cast("long").alias("e"))
     whole = lengths.join(n_events, S, "left_anti").select("session_id", F.lit(0).alias("s"), (F.col("n_lines") - 1).alias("e"))
-    return closed.unionByName(open_tail).unionByName(whole).select(
-        "session_id", F.col("s").cast("long").alias("start_pos"), F.col("e").cast("long").alias("end_pos"))
+    return materialize(closed.unionByName(open_tail).unionByName(whole).select(
+        "session_id", F.col("s").cast("long").alias("start_pos"), F.col("e").cast("long").alias("end_pos")))
 
 
 def lines_of_regions(segments: DataFrame, regions: DataFrame, width: int) -> DataFrame:

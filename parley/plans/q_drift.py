@@ -6,6 +6,7 @@ from parley.operators import drift as dr
 from parley.operators import speakers
 from parley.plans import bindings as b
 from parley.plans.catalog import query
+from parley.session import materialize
 
 FRAME = 1_800_000_000
 FRAMES = """SELECT session_id, frame_idx, 20 * log10(greatest(sqrt(p), 1e-10)) AS db FROM (SELECT w.session_id, w."start" // 1800000000 AS frame_idx, avg((e.value / 500) * (e.value / 500)) AS p
@@ -36,7 +37,7 @@ def frames(spark, sf):
 
 def classified(spark, sf):
     w = b.timed_words(spark, sf)
-    f = frames(spark, sf)
+    f = materialize(frames(spark, sf))
     points = w.select("session_id", "event_id", "start", F.col("start").alias("end"))
     loud = dr.window_loudness(points, f, ["event_id"], FRAME, 16)
     near = dr.window_loudness(points.withColumn("start", F.col("start") - 2 * FRAME).withColumn("end", F.col("end") + 2 * FRAME), f, ["event_id"], FRAME, 16, "near_db")
