@@ -9,13 +9,15 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, bigint: str = "") -> Callable[[Query], Query]:
+    """Register a query; ``bigint`` names SQL columns whose sums come out wider than a Spark long."""
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = sql
+            casts = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in bigint.split())
+            SQL[name] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
         return fn
     return add
 

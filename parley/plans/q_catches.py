@@ -83,7 +83,7 @@ def judge_lines(spark, sf):
     return ct.judge_lines(raw, ["item_id"]).select("item_id", "wrong", "canonical", "key")
 
 
-@query("judge_vote", b.with_ctes("cwords", "SELECT * FROM vot", made=MADE, catch=CATCH, vot=VOTE))
+@query("judge_vote", b.with_ctes("cwords", "SELECT * FROM vot", made=MADE, catch=CATCH, vot=VOTE), bigint="vote_count")
 def judge_vote(spark, sf):
     return ct.vote(judged(spark, sf), S, 7).select("session_id", "key", "vote_count", "canonical")
 
@@ -121,7 +121,7 @@ def gated(spark, sf):
     return w, ct.dictionary_gate(flags, nm.proper_names(w, S), qn.common_words(spark, sf), S)
 
 
-@query("combined_catches", b.with_ctes("cwords", "SELECT session_id, key, canonical, methods, vote_count FROM gated", **PARTS))
+@query("combined_catches", b.with_ctes("cwords", "SELECT session_id, key, canonical, methods, vote_count FROM gated", **PARTS), bigint="vote_count")
 def combined_catches(spark, sf):
     _, g = gated(spark, sf)
     return g.select("session_id", "key", "canonical", F.array_join("methods", ",").alias("methods"), "vote_count")
@@ -156,7 +156,7 @@ def blessed(spark, sf):
 @query("classified_groups", b.with_ctes("cwords", """SELECT g.session_id, g.key, n_occurrences, heard, world, coalesce(bl, suggestion) AS canonical,
     CASE WHEN bl IS NOT NULL THEN 'dictionary' WHEN confident THEN 'sound-alike' ELSE 'judge' END AS method, CASE WHEN bl IS NOT NULL OR confident THEN 'auto' ELSE 'pending' END AS action
     FROM (SELECT *, 'w' || CAST(session_id AS INTEGER) % 4 AS world FROM grouped) g LEFT JOIN (SELECT world AS bw, form, arg_max(canonical, ordinal) AS bl FROM blessed GROUP BY ALL) d ON g.world = d.bw AND g.key = d.form""",
-    **PARTS, grouped=GROUPED, blessed=BLESSED))
+    **PARTS, grouped=GROUPED, blessed=BLESSED), bigint="n_occurrences")
 def classified_groups(spark, sf):
     groups = world_of(ct.group_catches(expanded(spark, sf), S))
     return ct.classify(groups, blessed(spark, sf)).drop("suggestion", "confident")
@@ -246,7 +246,7 @@ def auto_corrections(spark, sf):
 
 
 @query("correction_queue", b.with_ctes("cwords", """SELECT world, key, canonical, count(DISTINCT session_id) AS n_sessions, sum(n) AS n_occurrences FROM (SELECT session_id, blind_c AS key, any_value(world) AS world, count(*) AS n,
-    arg_min(canonical, (seg_pos, word_index)) AS canonical FROM dec WHERE action = 'queued' GROUP BY ALL) GROUP BY ALL""", **GATE_PARTS))
+    arg_min(canonical, (seg_pos, word_index)) AS canonical FROM dec WHERE action = 'queued' GROUP BY ALL) GROUP BY ALL""", **GATE_PARTS), bigint="n_occurrences")
 def correction_queue(spark, sf):
     from parley.operators.corrections import queue_rollup
     g = world_of(ct.group_decisions(decisions(spark, sf), S).filter("action = 'queued'"))

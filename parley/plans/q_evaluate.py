@@ -129,9 +129,8 @@ def split_report(spark, sf):
     return ev.split_report(*story_sides(spark, sf))
 
 
-@query("boundary_recall", b.with_ctes("turns", """SELECT session_id, note_id AS boundary_id, "at" AS pos, (SELECT min(abs(t."start" - n."at")) FROM turns t WHERE t.session_id = n.session_id AND t.speaker = 'view') AS distance,
-    coalesce((SELECT min(abs(t."start" - n."at")) FROM turns t WHERE t.session_id = n.session_id AND t.speaker = 'view') <= 3600000000, false) AS found FROM notes n""" , ) if False else
-    b.with_ctes("turns notes", """SELECT session_id, note_id AS boundary_id, "at" AS pos, d AS distance, coalesce(d <= 3600000000, false) AS found FROM (SELECT n.*, (SELECT min(abs(t."start" - n."at")) FROM turns t WHERE t.session_id = n.session_id AND t.speaker = 'view') AS d FROM notes n)"""))
+@query("boundary_recall", b.with_ctes("turns notes", """SELECT session_id, note_id AS boundary_id, "at" AS pos, d AS distance, coalesce(d <= 3600000000, false) AS found FROM (SELECT n.*,
+    (SELECT min(abs(t."start" - n."at")) FROM turns t WHERE t.session_id = n.session_id AND t.speaker = 'view') AS d FROM notes n)"""))
 def boundary_recall(spark, sf):
     n = b.notes(spark, sf).select("session_id", F.col("note_id").alias("boundary_id"), F.col("at").alias("pos"))
     c = b.turns(spark, sf).filter("speaker = 'view'").select("session_id", F.col("start").alias("pos"))

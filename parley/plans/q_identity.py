@@ -61,7 +61,7 @@ TURN = """SELECT CAST(vec_id // 40 AS VARCHAR) AS session_id, profile_id AS spea
 @query("speaker_vectors", b.with_ctes("vectors", """SELECT session_id, speaker_key, num_segments, total_duration, round(m[1] / nrm, 5) AS first_x, round(m[64] / nrm, 5) AS last_x FROM (SELECT session_id, speaker_key, list(a ORDER BY i) AS m, sqrt(sum(a * a)) AS nrm
     FROM (SELECT session_id, speaker_key, i, avg(x) AS a FROM (SELECT session_id, speaker_key, unnest(u) AS x, unnest(range(len(u))) AS i FROM un) GROUP BY ALL) GROUP BY ALL) JOIN
     (SELECT session_id, speaker_key, count(*) FILTER ("end" - "start" >= 1) AS num_segments, sum("end" - "start") AS total_duration FROM tv GROUP BY ALL) USING (session_id, speaker_key)""",
-    tv=TURN, un="""SELECT session_id, speaker_key, list_transform(vector, lambda x: x / n) AS u FROM (SELECT *, sqrt(list_dot_product(vector, vector)) AS n FROM tv WHERE "end" - "start" >= 1)"""))
+    tv=TURN, un="""SELECT session_id, speaker_key, list_transform(vector, lambda x: x / n) AS u FROM (SELECT *, sqrt(list_dot_product(vector, vector)) AS n FROM tv WHERE "end" - "start" >= 1)"""), bigint="total_duration")
 def speaker_vectors(spark, sf):
     v = b.vectors(spark, sf)
     i = F.col("vec_id")

@@ -107,7 +107,7 @@ def name_clusters(spark, sf):
     return nm.name_clusters(w.select("session_id", "c"), S, ph.skeleton_codes)
 
 
-@query("inconsistent_names", b.with_ctes("cwords", "SELECT * FROM flags", **M9B))
+@query("inconsistent_names", b.with_ctes("cwords", "SELECT * FROM flags", **M9B), bigint="n_occurrences")
 def inconsistent_names(spark, sf):
     flags, _ = m9b(spark, sf)
     return flags.select(*nm.AT, "word", "c", "cluster_id", "n_spellings", "n_occurrences", "majority_form")

@@ -80,7 +80,7 @@ ROLL = "SELECT session_id, detector_id, count(*) FILTER (detector_id <> 'm9c' OR
 
 
 @query("detection_rollup", sql(f"""SELECT r.*, coalesce(stale, false) AS stale FROM (SELECT * FROM ({ROLL}) UNION ALL SELECT 'all', detector_id, sum(n_flags) FROM ({ROLL}) GROUP BY detector_id) r
-    LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS session_id, bool_or(value > 300) AS stale FROM events GROUP BY user_id) s USING (session_id)"""))
+    LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS session_id, bool_or(value > 300) AS stale FROM events GROUP BY user_id) s USING (session_id)"""), bigint="n_flags")
 def detection_rollup(spark, sf):
     stale = b.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("session_id"), (F.col("value") > 300).alias("stale"))
     return ov.rollup(ov.overlaid(flags(spark, sf), verdicts(spark, sf)), stale)

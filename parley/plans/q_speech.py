@@ -34,7 +34,7 @@ def utterances(spark, sf):
     count(DISTINCT speaker_label) AS n_speakers FROM dom GROUP BY session_id ORDER BY n_segments DESC, n_words DESC, session_id LIMIT 20""",
     cnt="SELECT session_id, seg_pos, speaker_label, count(*) AS n, min(word_index) AS f FROM words GROUP BY ALL",
     dom="""SELECT session_id, seg_pos, arg_max(speaker_label, (n, -f)) FILTER (speaker_label IS NOT NULL) AS speaker_label,
-       sum(n) AS n FROM cnt GROUP BY ALL"""))
+       sum(n) AS n FROM cnt GROUP BY ALL"""), bigint="n_words")
 def top_sessions(spark, sf):
     w = b.words(spark, sf, timed=False)
     counts = w.groupBy("session_id", "seg_pos").agg(F.count(F.lit(1)).alias("n"))
@@ -148,7 +148,7 @@ def gap_context(spark, sf):
     count(*) FILTER (d >= 3600000000 AND s < 1296000000000) AS story_n_1h, coalesce(sum(d) FILTER (d >= 3600000000 AND s < 1296000000000), 0) AS story_len_1h,
     count(*) FILTER (d >= 14400000000) AS whole_n_4h, coalesce(sum(d) FILTER (d >= 14400000000), 0) AS whole_len_4h,
     count(*) FILTER (d >= 14400000000 AND s < 1296000000000) AS story_n_4h, coalesce(sum(d) FILTER (d >= 14400000000 AND s < 1296000000000), 0) AS story_len_4h
-    FROM (SELECT session_id, "start" AS s, "end" - "start" AS d FROM gaps) GROUP BY session_id""", **GAP_PARTS))
+    FROM (SELECT session_id, "start" AS s, "end" - "start" AS d FROM gaps) GROUP BY session_id""", **GAP_PARTS), bigint="whole_len_1h story_len_1h whole_len_4h story_len_4h")
 def gap_tally(spark, sf):
     g = gap_table(spark, sf).withColumn("story_end", F.lit(1296000000000))
     return gp.tally(g, S, {"1h": 3_600_000_000, "4h": 14_400_000_000}, "story_end")

@@ -35,13 +35,13 @@ def boundary_signals(spark, sf):
     return candidates(spark, sf).select("session_id", "pos", F.array_join("signals", "|").alias("signals"))
 
 
-@query("boundary_zones", b.with_ctes("segments", "SELECT session_id, zone, first_pos, last_pos, n_positions, array_to_string(signals, '|') AS signals FROM zones", **PARTS))
+@query("boundary_zones", b.with_ctes("segments", "SELECT session_id, zone, first_pos, last_pos, n_positions, array_to_string(signals, '|') AS signals FROM zones", **PARTS), bigint="zone")
 def boundary_zones(spark, sf):
     return st.boundary_zones(candidates(spark, sf), b.SEGMENT_BLOCK, 1).withColumn("signals", F.array_join("signals", "|"))
 
 
 @query("zone_windows", b.with_ctes("segments", """SELECT session_id, zone, unnest(range(greatest(first_pos - 3, 0), least(last_pos + 3, n - 1) + 1)) AS seg_pos FROM zones
-    JOIN (SELECT session_id, count(*) AS n FROM segments GROUP BY session_id) USING (session_id)""", **PARTS))
+    JOIN (SELECT session_id, count(*) AS n FROM segments GROUP BY session_id) USING (session_id)""", **PARTS), bigint="zone")
 def zone_windows(spark, sf):
     z = st.boundary_zones(candidates(spark, sf), b.SEGMENT_BLOCK, 1)
     return st.zone_windows(z, lengths(spark, sf)).select("session_id", "zone", "seg_pos")

@@ -96,7 +96,7 @@ def low_confidence_words(spark, sf):
 
 
 @query("segment_classes", b.with_ctes("segments", """SELECT session_id, CASE WHEN NOT "end" > "start" THEN 'empty' WHEN is_gap THEN 'unintelligible' ELSE 'real' END AS cls,
-    count(*) AS n, sum("end" - "start") AS total_ms FROM segments GROUP BY ALL"""))
+    count(*) AS n, sum("end" - "start") AS total_ms FROM segments GROUP BY ALL"""), bigint="total_ms")
 def segment_classes(spark, sf):
     s = b.segments(spark, sf)
     return s.groupBy("session_id", fl.segment_class().alias("cls")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("total_ms"))
@@ -200,7 +200,7 @@ def mismatch_totals(spark, sf):
 
 
 @query("char_offsets", b.with_ctes("words", """SELECT session_id, seg_pos, word_index, coalesce(sum(length(word) + 1) OVER (PARTITION BY session_id, seg_pos ORDER BY word_index
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset", length(word) AS length FROM words"""))
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset", length(word) AS length FROM words"""), bigint="offset")
 def char_offsets(spark, sf):
     w = b.words(spark, sf, timed=False).withColumn("word", F.concat(F.lit(" "), "word"))
     return fl.char_offsets(w).select(*SEG, "word_index", "offset", "length")
