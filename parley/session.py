@@ -1,7 +1,5 @@
 """Session construction and the checkpoint folder."""
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +13,7 @@ def build_session(app: str = "parley", master: str | None = None, **conf) -> Spa
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         **conf,
     }
@@ -24,12 +23,14 @@ def build_session(app: str = "parley", master: str | None = None, **conf) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only when none is named."""
+    """The shared folder named in ``spark.checkpoint.dir``; where it is unset, one in the warehouse.
+
+    Both lie on the cluster's shared file system; a machine's own temporary folder is never used.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    target = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    target = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
     spark.sparkContext.setCheckpointDir(target)
     return target
 

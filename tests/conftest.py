@@ -9,8 +9,9 @@ from parley.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("tests", "local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("spark"))
+    s = build_session("tests", "local[8]", **{"spark.checkpoint.dir": shared + "/checkpoints", "spark.sql.warehouse.dir": shared, "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
