@@ -1,5 +1,7 @@
 """Session construction and the checkpoint folder."""
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +37,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return target
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write an intermediate as Parquet into the checkpoint folder and read it from there.
+
+    For tables read by several branches of a plan: smaller than a checkpoint, and Spark knows their
+    size when it plans. They lie under the application's id and go with its checkpoints.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/staged-{spark.sparkContext.applicationId}/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a shared intermediate once to the checkpoint folder and read it from there.
 
