@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from parley.llm import sql
 from parley.llm.chat import format_chats, loss_text, parse, rows_to_records
 from parley.llm.exact_dedup import exact_copies
+from parley.llm.language_id import identify
 from parley.llm.licenses import scan_licenses
 from parley.llm.mixing import mix
 from parley.llm.packing import pack
 from parley.llm.quality import decide, ledger
+from parley.llm.substring_dedup import remove_repeats
 from parley.llm.token_counts import token_counts
 
 
@@ -34,6 +36,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of the labelled ones."""
+    return identify(documents(spark, sf_dir))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one made of control strings, formatted and read back."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -57,6 +64,12 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word windows that start earlier elsewhere."""
+    cut = remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 tokens."""
     return pack(documents(spark, sf_dir)).select(
@@ -65,8 +78,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op6_chat_formatting,
-                            op7_exact_dedup, op8_license_scans, op10_packing)}
+    f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op5_language_id, op6_chat_formatting,
+                            op7_exact_dedup, op8_license_scans, op9_substring_dedup, op10_packing)}
 SQL: dict[str, str] = {
     "op2_quality_rules": sql.QUALITY, "op3_mixing": sql.MIXING, "op6_chat_formatting": sql.CHAT,
     "op7_exact_dedup": sql.EXACT, "op8_license_scans": sql.licenses()}
