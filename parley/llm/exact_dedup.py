@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.session import materialize
+from parley.session import staged
 
 HEAVY_SHARE = 1_000
 
@@ -55,11 +55,11 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives no rows; other columns are ignored.
     """
     texts = _texts(docs, id_col, text_col, digest)
-    light = materialize(texts.select("doc_id", "digest"))
+    light = staged(texts.select("doc_id", "digest"))
     counts = light.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     groups = content_groups(texts, counts, light.count())
-    per_digest = groups.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    per_digest = staged(groups.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
     plain = light.join(per_digest.filter("texts = 1").drop("texts"), "digest")
     shared = per_digest.filter("texts > 1").select("digest")
     by_text = (texts.join(F.broadcast(shared), "digest")

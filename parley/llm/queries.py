@@ -11,6 +11,7 @@ from parley.llm.exact_dedup import exact_copies
 from parley.llm.language_id import identify
 from parley.llm.licenses import scan_licenses
 from parley.llm.mixing import mix
+from parley.llm.near_dedup import near_duplicates
 from parley.llm.packing import pack
 from parley.llm.quality import decide, ledger
 from parley.llm.substring_dedup import remove_repeats
@@ -36,6 +37,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the least document reachable over links of 85 % Jaccard."""
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from four fifths of the labelled ones."""
     return identify(documents(spark, sf_dir))
@@ -78,7 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op5_language_id, op6_chat_formatting,
+    f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_minhash_near_dedup, op5_language_id, op6_chat_formatting,
                             op7_exact_dedup, op8_license_scans, op9_substring_dedup, op10_packing)}
 SQL: dict[str, str] = {
     "op2_quality_rules": sql.QUALITY, "op3_mixing": sql.MIXING, "op6_chat_formatting": sql.CHAT,
