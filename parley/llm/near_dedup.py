@@ -217,3 +217,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     real = F.when(F.col("root") != NO_ID, F.col("root"))
     return out.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"),
                       real.alias("component_id"), (F.col("k") == F.col("root")).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The rows of ``docs`` whose document is the least of its class, all columns; rows that share a kept id all stay."""
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **params).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
