@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.words import whole_rows
 from parley.session import staged
 
 HEAVY_SHARE = 1_000
@@ -71,8 +72,8 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns; of rows repeated with one id and text one stays."""
-    gone = exact_copies(docs, id_col, text_col).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
-    keyed = docs.withColumn("_digest", sha256_text(F.coalesce(F.col(text_col), F.lit(""))))
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_digest") == F.col("_gone_digest"))
-    return keyed.join(gone, same, "left_anti").dropDuplicates([id_col, "_digest"]).drop("_digest")
+    gone = exact_copies(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"))
+    row = F.col("row")
+    keyed = whole_rows(docs).withColumn("id", row[id_col]).withColumn("digest", sha256_text(F.coalesce(row[text_col], F.lit(""))))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
+    return keyed.join(gone, same, "left_anti").dropDuplicates(["id", "digest"]).select("row.*")

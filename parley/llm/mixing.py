@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.words import SPACES, word_count
+from parley.llm.words import whole_rows, word_count, words
 from parley.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -135,17 +135,16 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     space, and its own ``chars_col`` where there is one. Rows of one id share their decision by size.
     """
     chosen = (mix(docs, id_col=id_col, text_col=text_col, **params).filter("taken > 0")
-              .select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("skip").alias("_skip"), F.col("taken").alias("_taken"))
-              .dropDuplicates(["_id", "_size"]))
-    keyed = docs.withColumn("_words", word_count(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))
-    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    rows = (keyed.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-            .withColumn("_cut", F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))))
-    parts = F.filter(F.split(F.col(text_col), SPACES), lambda w: w != "")
-    piece = F.array_join(F.slice(parts, (F.col("_skip") + 1).cast("int"), F.col("_cut").cast("int")), " ")
-    rows = rows.withColumn("_piece", F.when(F.col("_cut") < F.col("_size"), piece))
-    columns = [F.coalesce(F.col("_piece"), F.col(text_col)).alias(c) if c == text_col
-               else F.when(F.col("_piece").isNotNull(), F.length("_piece").cast(t)).otherwise(F.col(c)).alias(c) if c == chars_col
-               else F.col(c) for c, t in docs.dtypes]
+              .select(F.col("doc_id").alias("its_id"), F.col("size").alias("its_size"), "skip", "taken").dropDuplicates(["its_id", "its_size"]))
+    row = F.col("row")
+    keyed = whole_rows(docs).withColumn("id", row[id_col]).withColumn("size", word_count(row[text_col]))
+    same = F.col("id").eqNullSafe(F.col("its_id")) & (F.col("size") == F.col("its_size"))
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    rows = (keyed.join(chosen, same).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+            .withColumn("cut", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))))
+    piece = F.array_join(F.slice(words(row[text_col]), (F.col("skip") + 1).cast("int"), F.col("cut").cast("int")), " ")
+    rows = rows.withColumn("piece", F.when(F.col("cut") < F.col("size"), piece))
+    columns = [F.coalesce(F.col("piece"), row[text_col]).alias(c) if c == text_col
+               else F.when(F.col("piece").isNotNull(), F.length("piece").cast(t)).otherwise(row[c]).alias(c) if c == chars_col
+               else row[c].alias(c) for c, t in docs.dtypes]
     return rows.select(*columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.components import components
 from parley.llm.hashing import Words, chunks, mix64
+from parley.llm.words import whole_rows
 from parley.session import staged
 
 SHINGLE, PERCENT = 5, 85
@@ -221,5 +222,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of ``docs`` whose document is the least of its class, all columns; rows that share a kept id all stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **params).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **params).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    keyed = whole_rows(docs).withColumn("id", F.col("row")[id_col])
+    return keyed.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -28,3 +28,8 @@ def word_count(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that working columns beside it clash with none of them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
