@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.tokens import encoder
 from parley.operators.scans import RunSum, block_of, scan
+from parley.session import staged
 
 BLOCK = 256
 
@@ -81,7 +82,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", by: str
     named = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("null"))
     lengths = encoded_lengths(docs.select(F.col(text_col), named.alias("key")), tokenizer, ["key"], text_col)
     both = histogram(lengths, ["key"]).withColumn("key", F.explode(F.array("key", F.lit("all"))))
-    sums = suffix_sums(both.groupBy("key", "n_tokens").agg(F.sum("n_docs").alias("n_docs")), ["key"])
+    sums = suffix_sums(staged(both.groupBy("key", "n_tokens").agg(F.sum("n_docs").alias("n_docs"))), ["key"])
     scope = F.when(F.col("key") == "all", "all").otherwise("group")
     group = F.when(F.col("key").startswith("="), F.substring("key", 2, 2**30))
     return sums.select(scope.alias("scope"), group.alias("group"), *sums.columns[1:])
