@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from parley.functions import text as tx
 from parley.operators.filters import word_text
 from parley.operators.names import AT, SEG
+from parley.operators.phrases import phrases_in
 from parley.operators.skew import keyed_lookup
 from parley.session import materialize
 
@@ -25,23 +26,13 @@ def variant_map(entries: DataFrame) -> DataFrame:
     return rows.groupBy("transcribed").agg(F.max_by("canonical", F.struct("entry_pos", "_i")).alias("correct"))
 
 
-def variant_scan(texts: DataFrame, ids: Sequence[str], variants: DataFrame, text: str = "text", max_tokens: int = 3) -> DataFrame:
-    """Known variants found in each text as whole words: (ids, transcribed, correct).
+def variant_scan(texts: DataFrame, ids: Sequence[str], variants: DataFrame, text: str = "text") -> DataFrame:
+    """Known variants, of any number of words, found in each text as whole words: (ids, transcribed, correct).
 
-    Texts and variants are cut into word tokens, so a variant of n words is an n-gram and the scan
-    is one equi-join.
+    ``transcribed`` is the first place as the text has it; apostrophes, hyphens and spaces must agree.
     """
-    split = r"(?U)[^\w]+"
-    toks = texts.select(*ids, F.filter(F.split(text, split), lambda t: t != "").alias("_t"))
-    runs = [F.col("_t")]
-    for n in range(2, max_tokens + 1):
-        rest = F.slice("_t", n, F.greatest(F.size("_t") - n + 1, F.lit(0)))
-        runs.append(F.zip_with(F.slice(runs[-1], 1, F.size(rest)), rest, lambda a, b: F.concat(a, F.lit(" "), b)))
-    grams = toks.select(*ids, F.explode(F.array(*runs)).alias("_r")).select(*ids, F.posexplode("_r").alias("_i", "_g"))
-    hits = grams.withColumn("_k", F.lower("_g"))
-    keys = variants.select(F.array_join(F.filter(F.split("transcribed", split), lambda t: t != ""), " ").alias("_k"), "correct")
-    found = keyed_lookup(hits, keys, ["_k"], [*ids, "_i"])
-    return found.groupBy(*ids, "_k").agg(F.min_by("_g", "_i").alias("transcribed"), F.min("correct").alias("correct")).drop("_k")
+    found = phrases_in(texts, ids, text, variants.select(F.col("transcribed").alias("variant"), "correct"), "variant")
+    return found.select(*ids, F.regexp_substr(text, F.col("_pattern")).alias("transcribed"), "correct")
 
 
 def last_mapping(corrections: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -121,11 +112,15 @@ def correction_audit(words: DataFrame, prefix: str = "namefix") -> DataFrame:
 
 
 def occurrences_by_pattern(texts: DataFrame, ids: Sequence[str], names: DataFrame, text: str = "text") -> DataFrame:
-    """(canonical, n, n_variants, n_texts): how often each name's variants occur as whole words."""
-    toks = F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda t: t != "")
-    per = texts.select(*ids, F.explode(toks).alias("variant")).groupBy(*ids, "variant").agg(F.count(F.lit(1)).alias("_n"))
-    hits = keyed_lookup(per, names.select("canonical", F.lower("variant").alias("variant")).distinct(), ["variant"], list(ids))
-    return hits.groupBy("canonical").agg(F.sum("_n").alias("n"), F.countDistinct("variant").alias("n_variants"), F.countDistinct(*ids).alias("n_texts"))
+    """(canonical, n, n_variants, n_texts): how often each name's variants occur.
+
+    ``names`` has canonical, variant (any number of words) and, optionally, ``prefix``: true where the variant may go on,
+    as in "pandava" for "pandavas".
+    """
+    kept = [c for c in ("canonical", "variant", "prefix") if c in names.columns]
+    hits = phrases_in(texts, ids, text, names.select(*kept).distinct(), "variant", "prefix" if "prefix" in kept else None)
+    return hits.groupBy("canonical").agg(F.sum(F.regexp_count(text, F.col("_pattern"))).alias("n"),
+                                         F.countDistinct("variant").alias("n_variants"), F.countDistinct(*ids).alias("n_texts"))
 
 
 def queue_rollup(pending: DataFrame) -> DataFrame:

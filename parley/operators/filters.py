@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
+from parley.operators.phrases import phrases_in
 from parley.operators.runs import runs_in_segment
 from parley.operators.scans import later_copies
 
@@ -130,21 +131,10 @@ def worst_picks(findings: DataFrame, n: int) -> DataFrame:
             .orderBy("rank", F.desc("span"), "session_id", "seg_pos", "word_index", "cls").limit(n))
 
 
-def mentions(texts: DataFrame, ids: Sequence[str], text: str, names: DataFrame, max_tokens: int = 3) -> DataFrame:
-    """Ids of the texts holding a known name as whole words (case-insensitive).
-
-    Names and texts become lower-case token n-grams, so the match is an equi-join.
-    """
-    def grams(tokens: Column, n: int) -> Column:
-        last = F.size(tokens) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                                             lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array())
-    toks = F.filter(F.split(F.lower(text), r"(?U)[^\w']+"), lambda t: t != "")
-    all_grams = F.array_distinct(F.flatten(F.array(*[grams(F.col("_t"), n) for n in range(1, max_tokens + 1)])))
-    spread = texts.select(*ids, toks.alias("_t")).select(*ids, F.explode(all_grams).alias("_g"))
-    wanted = names.filter(F.length("name") > 2).select(
-        F.array_join(F.filter(F.split(F.lower("name"), r"(?U)[^\w']+"), lambda t: t != ""), " ").alias("_g")).distinct()
-    return spread.join(wanted, "_g", "left_semi").select(*ids).distinct()
+def mentions(texts: DataFrame, ids: Sequence[str], text: str, names: DataFrame) -> DataFrame:
+    """Ids of the texts holding a known name of over two letters as whole words (case-insensitive)."""
+    wanted = names.filter(F.length("name") > 2).select(F.lower("name").alias("name")).distinct()
+    return phrases_in(texts, ids, text, wanted, "name").select(*ids).distinct()
 
 
 def char_offsets(words: DataFrame) -> DataFrame:

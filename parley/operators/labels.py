@@ -66,13 +66,14 @@ def fold_loops(segments: DataFrame, labels: DataFrame, stretches: DataFrame, wid
     return kept.select("session_id", "seg_pos", "codes").unionByName(heads.withColumn("codes", F.array(F.lit(code))))
 
 
-def failure_pivot(labels: DataFrame, sessions: Sequence[str] | None = None) -> DataFrame:
-    """Rows per code and session: how many labelled segments carry the code, and the code's total."""
+def failure_pivot(labels: DataFrame) -> DataFrame:
+    """(mode, session_id, n): labelled segments per code and session; session_id null holds the code's total.
+
+    The cells are rows, so any number of sessions fits.
+    """
     rows = labels.select("session_id", F.explode(F.array_distinct("codes")).alias("mode"))
-    table = rows.groupBy("mode")
-    out = (table.pivot("session_id", list(sessions)) if sessions else table.pivot("session_id")).count().na.fill(0)
-    total = rows.groupBy("mode").agg(F.count(F.lit(1)).alias("total"))
-    return out.join(total, "mode")
+    cells = rows.groupBy("mode", "session_id").agg(F.count(F.lit(1)).alias("n"))
+    return cells.unionByName(cells.groupBy("mode").agg(F.sum("n").alias("n")).withColumn("session_id", F.lit(None).cast("string")))
 
 
 def multi_coded(labels: DataFrame) -> DataFrame:

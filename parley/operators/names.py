@@ -223,20 +223,21 @@ def card_examples(occurrences: DataFrame, lines: DataFrame, scope: Sequence[str]
     return first.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def find_spellings(words: DataFrame, spellings: DataFrame, max_tokens: int = 3) -> DataFrame:
-    """Occurrences of cleaned spellings of 1..n tokens inside a segment.
+def find_spellings(words: DataFrame, spellings: DataFrame) -> DataFrame:
+    """Occurrences of cleaned spellings, of any number of words, inside a segment: (AT, cleaned).
 
-    ``spellings`` has ``cleaned``; runs of tokens become equi-join keys.
+    The first word finds the candidates; each further word of a candidate must then be the cleaned
+    word at its place.
     """
-    w = Window.partitionBy(*SEG).orderBy("word_index")
-    grams, acc = [], F.col("c")
-    for k in range(1, max_tokens + 1):
-        if k > 1:
-            acc = F.concat(acc, F.lit(" "), F.lead("c", k - 1).over(w))
-        grams.append(acc)
-    rows = (cleaned(words).withColumn("_g", F.array(*grams))
-            .select(*AT, F.explode("_g").alias("cleaned")).filter("cleaned is not null"))
-    return keyed_lookup(rows, spellings.select("cleaned").distinct(), ["cleaned"], AT)
+    place = F.row_number().over(Window.partitionBy(*SEG).orderBy("word_index"))
+    w = cleaned(words).select(*AT, "c", place.alias("_at"))
+    parts = F.split("cleaned", " ")
+    wanted = spellings.select("cleaned").distinct().filter("cleaned <> ''").select(parts[0].alias("c"), "cleaned", F.size(parts).alias("_n"))
+    starts = keyed_lookup(w, wanted, ["c"], AT)
+    longer = (starts.filter("_n > 1").select(*AT, "cleaned", "_n", F.col("_at").alias("_from"), F.posexplode(parts).alias("_i", "c"))
+              .withColumn("_at", F.col("_from") + F.col("_i")))
+    met = longer.join(w.select(*SEG, "_at", "c"), [*SEG, "_at", "c"]).groupBy(*AT, "cleaned", "_n").agg(F.count(F.lit(1)).alias("_hits"))
+    return starts.filter("_n = 1").select(*AT, "cleaned").unionByName(met.filter("_hits = _n").select(*AT, "cleaned"))
 
 
 def review_list(words: DataFrame, family: DataFrame, inconsistent: DataFrame, members: DataFrame, scope: Sequence[str]) -> DataFrame:

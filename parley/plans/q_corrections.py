@@ -10,7 +10,8 @@ from parley.plans.catalog import query
 
 AT = nm.AT
 LIB = r"""SELECT item_id AS entry_pos, i, lower(t) AS v, 'N' || item_id || substr(t, 1, 3) AS canonical FROM (SELECT item_id, unnest(p) AS t, unnest(range(len(p))) AS i FROM
-    (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{4,}') AS p FROM benchmark))"""
+    (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{4,}') AS p FROM benchmark))
+    UNION ALL SELECT item_id, 99999, lower(array_to_string(regexp_extract_all(text, '[^\s]*[A-Za-z]')[1:2 + item_id % 5], ' ')), 'P' || item_id FROM benchmark"""
 VMAP = "SELECT v AS transcribed, arg_max(canonical, (entry_pos, i)) AS correct FROM lib WHERE v <> lower(canonical) GROUP BY v"
 PUNCT = r"""'^(.*?)([.,;:!?"\)\]}'']+\.{0,3})$'"""
 SPLIT = rf"""SELECT *, CASE WHEN regexp_matches(bare0, '^(.+)([''’]s)$') THEN regexp_extract(bare0, '^(.+)([''’]s)$', 1) ELSE bare0 END AS bare,
@@ -24,8 +25,12 @@ PARTS = dict(lib=LIB, vmap=VMAP, sp=SPLIT, app=APPLIED)
 def library(spark, sf):
     toks = F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))
     e = b.table(spark, sf, "benchmark").select("item_id", F.posexplode(toks).alias("i", "t"))
-    return e.select((F.col("item_id") * 100000 + F.col("i")).alias("entry_pos"), F.concat(F.lit("N"), F.col("item_id").cast("string"), F.substring("t", 1, 3)).alias("canonical"),
-                    F.array("t").alias("variants"))
+    words = e.select((F.col("item_id") * 100000 + F.col("i")).alias("entry_pos"), F.concat(F.lit("N"), F.col("item_id").cast("string"), F.substring("t", 1, 3)).alias("canonical"),
+                     F.array("t").alias("variants"))
+    first = F.slice(F.regexp_extract_all("text", F.lit(r"[^\s]*[A-Za-z]"), F.lit(0)), F.lit(1), (2 + F.col("item_id") % 5).cast("int"))
+    phrases = b.table(spark, sf, "benchmark").select((F.col("item_id") * 100000 + 99999).alias("entry_pos"), F.concat(F.lit("P"), F.col("item_id").cast("string")).alias("canonical"),
+                                                     F.array(F.array_join(first, " ")).alias("variants"))
+    return words.unionByName(phrases)
 
 
 def vmap(spark, sf):
@@ -45,17 +50,25 @@ def variant_map(spark, sf):
     return vmap(spark, sf)
 
 
-@query("variant_scan", rf"""WITH lib AS ({LIB}), vmap AS ({VMAP}), t AS (SELECT doc_id, unnest(p) AS tok, unnest(range(len(p))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS p FROM documents))
-    SELECT doc_id, arg_min(tok, i) AS transcribed, any_value(correct) AS correct FROM t JOIN vmap ON lower(tok) = transcribed GROUP BY doc_id, lower(tok)""")
+BEFORE = r"CASE WHEN p[i] = '' THEN i = 1 ELSE NOT regexp_matches(right(p[i], 1), '[\p{L}\p{N}_]') END"
+AFTER = r"CASE WHEN p[i + 1] = '' THEN i + 1 = len(p) ELSE NOT regexp_matches(left(p[i + 1], 1), '[\p{L}\p{N}_]') END"
+
+
+@query("variant_scan", f"""WITH lib AS ({LIB}), vmap AS ({VMAP}) SELECT doc_id, substr(text, (1 + list_sum(list_transform(p[1:spot], lambda x: length(x))) + (spot - 1) * length(v))::BIGINT, length(v)) AS transcribed, correct
+    FROM (SELECT *, list_filter(range(1, len(p)), lambda i: {BEFORE} AND {AFTER})[1] AS spot FROM (SELECT doc_id, text, transcribed AS v, correct, string_split(lower(text), transcribed) AS p FROM documents JOIN vmap ON contains(lower(text), transcribed))) WHERE spot IS NOT NULL""")
 def variant_scan(spark, sf):
-    return co.variant_scan(b.table(spark, sf, "documents"), ["doc_id"], vmap(spark, sf), max_tokens=1)
+    return co.variant_scan(b.table(spark, sf, "documents"), ["doc_id"], vmap(spark, sf))
+
+
+COUNTED = f"""SELECT canonical, v, doc_id, len(list_filter(range(1, len(p)), lambda i: {BEFORE} AND (prefix OR {AFTER}))) AS n
+    FROM (SELECT canonical, v, prefix, doc_id, string_split(lower(text), v) AS p FROM documents JOIN names ON contains(lower(text), v))"""
 
 
-@query("name_counts", rf"""WITH lib AS ({LIB}), names AS (SELECT DISTINCT canonical, v FROM lib), t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')) AS tok FROM documents)
-    SELECT canonical, count(*) AS n, count(DISTINCT v) AS n_variants, count(DISTINCT doc_id) AS n_texts FROM t JOIN names ON tok = v GROUP BY canonical""")
+@query("name_counts", f"""WITH lib AS ({LIB}), names AS (SELECT DISTINCT canonical, v, entry_pos % 3 = 0 AS prefix FROM lib), found AS ({COUNTED})
+    SELECT canonical, sum(n) AS n, count(DISTINCT v) AS n_variants, count(DISTINCT doc_id) AS n_texts FROM found WHERE n > 0 GROUP BY canonical""", bigint="n")
 def name_counts(spark, sf):
-    names = library(spark, sf).select("canonical", F.explode("variants").alias("variant"))
-    return co.occurrences_by_pattern(b.table(spark, sf, "documents"), ["doc_id"], names)
+    names = library(spark, sf).select("canonical", F.explode("variants").alias("variant"), (F.floor(F.col("entry_pos") / 100000) % 3 == 0).alias("prefix"))
+    return co.occurrences_by_pattern(b.table(spark, sf, "documents"), ["doc_id"], names.withColumn("variant", F.lower("variant")))
 
 
 @query("split_punctuation", b.with_ctes("words", "SELECT session_id, seg_pos, word_index, bare, suf AS suffix, punct FROM sp", sp=SPLIT))

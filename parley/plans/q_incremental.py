@@ -84,11 +84,11 @@ def session_inventory(spark, sf):
     return inv.select("session_id", "has_transcript", "has_diarization", "note_count", F.array_join("failed_stages", ",").alias("failed_stages"))
 
 
-@query("sorted_sessions", f"""SELECT {SID} AS session_id, count(*) AS note_count FROM events GROUP BY user_id ORDER BY note_count DESC, session_id DESC LIMIT 50""")
+@query("sorted_sessions", f"""SELECT {SID} AS session_id, count(*) AS note_count FROM events GROUP BY user_id """)
 def sorted_sessions(spark, sf):
     u = F.col("user_id")
     e = b.table(spark, sf, "events").groupBy(F.concat(F.lit("202401"), F.lpad((1 + u % 28).cast("string"), 2, "0"), F.lit("-"), F.lpad(u.cast("string"), 6, "0")).alias("session_id"))
-    return inc.sort_sessions(e.agg(F.count(F.lit(1)).alias("note_count")), "notes").limit(50)
+    return inc.sort_sessions(e.agg(F.count(F.lit(1)).alias("note_count")), "notes")
 
 
 @query("benchmark_assembly", """SELECT printf('s%03d', CAST(row_number() OVER (ORDER BY list_position(['fr', 'en', 'es', 'de'], lang), doc_id) AS INTEGER)) AS id, lang AS cell, array_to_string(list_filter([

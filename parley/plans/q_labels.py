@@ -8,7 +8,6 @@ from parley.operators import names as nm
 from parley.plans import bindings as b
 from parley.plans.catalog import query
 
-SRC = [f"src{i}" for i in range(20)]
 K = ["session_id", "seg_id"]
 
 
@@ -16,9 +15,10 @@ def codes(spark, sf):
     return b.codes_of_documents(spark, sf)
 
 
-@query("failure_pivot", b.with_ctes("doc_codes", "SELECT mode, " + ", ".join(f"count(*) FILTER (session_id = '{s}') AS {s}" for s in SRC) + ", count(*) AS total FROM (SELECT session_id, unnest(list_distinct(codes)) AS mode FROM doc_codes) GROUP BY mode"))
+@query("failure_pivot", b.with_ctes("doc_codes", """SELECT mode, session_id, count(*) AS n FROM (SELECT session_id, unnest(list_distinct(codes)) AS mode FROM doc_codes)
+    GROUP BY GROUPING SETS ((mode, session_id), (mode))"""))
 def failure_pivot(spark, sf):
-    return lb.failure_pivot(codes(spark, sf), SRC)
+    return lb.failure_pivot(codes(spark, sf))
 
 
 @query("multi_coded", b.with_ctes("doc_codes", "SELECT session_id, count(*) AS n_labels, count(*) FILTER (len(codes) > 1) AS n_multi FROM doc_codes GROUP BY session_id"))

@@ -165,13 +165,13 @@ def card_examples(spark, sf):
     return nm.card_examples(occ, b.lines(spark, sf), S).select("session_id", "card_key", "seg_pos", "rank")
 
 
-@query("find_spellings", b.with_ctes("cwords", """SELECT session_id, seg_pos, word_index, g AS cleaned FROM (SELECT session_id, seg_pos, word_index, unnest([c, c || ' ' || lead(c) OVER w, c || ' ' || lead(c) OVER w || ' ' || lead(c, 2) OVER w]) AS g
-    FROM cwords WINDOW w AS (PARTITION BY session_id, seg_pos ORDER BY word_index)) WHERE g IN (SELECT t FROM key)""",
-    toks="SELECT item_id, list_transform(regexp_split_to_array(text, '\\s+'), lambda t: " + b.clean_sql("t") + ") AS t FROM benchmark",
-    key="SELECT unnest([t[1], t[1] || ' ' || t[2], t[2] || ' ' || t[3], t[3] || ' ' || t[4] || ' ' || t[5]]) AS t FROM toks"))
+@query("find_spellings", b.with_ctes("cwords", """SELECT w.session_id, seg_pos, word_index, t AS cleaned FROM line w JOIN (SELECT DISTINCT t, string_split(t, ' ') AS parts FROM key) ON c = parts[1] AND list_slice(cs, spot, spot + len(parts) - 1) = parts""",
+    line="SELECT a.*, cs FROM (SELECT session_id, seg_pos, word_index, c, row_number() OVER (PARTITION BY session_id, seg_pos ORDER BY word_index) AS spot FROM cwords) a JOIN (SELECT session_id, seg_pos, list(c ORDER BY word_index) AS cs FROM cwords GROUP BY ALL) USING (session_id, seg_pos)",
+    toks="SELECT list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda t: " + b.clean_sql("t") + "), lambda t: t <> '') AS t FROM benchmark",
+    key="SELECT unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 3], ' ')))) AS t FROM toks"))
 def find_spellings(spark, sf):
-    t = b.table(spark, sf, "benchmark").select(F.transform(F.split("text", r"\s+"), tx.clean).alias("t"))
-    g = [F.get("t", F.lit(i)) for i in range(5)]
-    sp = F.lit(" ")
-    key = t.select(F.explode(F.array(g[0], F.concat(g[0], sp, g[1]), F.concat(g[1], sp, g[2]), F.concat(g[2], sp, g[3], sp, g[4]))).alias("cleaned"))
-    return nm.find_spellings(b.words(spark, sf, timed=False), key.filter("cleaned is not null"))
+    clean = F.filter(F.transform(F.split("text", r"\s+"), tx.clean), lambda x: x != "")
+    def runs(n):
+        return F.filter(F.transform("t", lambda x, i: F.when(i <= F.size("t") - n, F.array_join(F.slice("t", i + 1, n), " "))), lambda x: x.isNotNull())
+    key = b.table(spark, sf, "benchmark").select(clean.alias("t")).select(F.explode(F.concat(runs(1), runs(2), runs(4))).alias("cleaned"))
+    return nm.find_spellings(b.words(spark, sf, timed=False), key)

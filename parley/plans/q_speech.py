@@ -31,7 +31,7 @@ def utterances(spark, sf):
 
 
 @query("top_sessions", b.with_ctes("words", """SELECT session_id, count(*) AS n_segments, sum(n) AS n_words,
-    count(DISTINCT speaker_label) AS n_speakers FROM dom GROUP BY session_id ORDER BY n_segments DESC, n_words DESC, session_id LIMIT 20""",
+    count(DISTINCT speaker_label) AS n_speakers FROM dom GROUP BY session_id""",
     cnt="SELECT session_id, seg_pos, speaker_label, count(*) AS n, min(word_index) AS f FROM words GROUP BY ALL",
     dom="""SELECT session_id, seg_pos, arg_max(speaker_label, (n, -f)) FILTER (speaker_label IS NOT NULL) AS speaker_label,
        sum(n) AS n FROM cnt GROUP BY ALL"""), bigint="n_words")
@@ -41,7 +41,7 @@ def top_sessions(spark, sf):
     dom = speakers.dominant_speakers(w).join(counts, ["session_id", "seg_pos"])
     return (dom.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_segments"), F.sum("n").alias("n_words"),
                                           F.countDistinct("speaker_label").alias("n_speakers"))
-            .orderBy(F.desc("n_segments"), F.desc("n_words"), "session_id").limit(20))
+            .orderBy(F.desc("n_segments"), F.desc("n_words"), "session_id"))
 
 
 @query("dominant_speaker", b.with_ctes("words", """SELECT session_id, seg_pos,

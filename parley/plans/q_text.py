@@ -206,19 +206,15 @@ def char_offsets(spark, sf):
     return fl.char_offsets(w).select(*SEG, "word_index", "offset", "length")
 
 
-NAMES_SQL = r"""SELECT lower(regexp_replace(regexp_extract(text, '([A-Za-z]+ [A-Za-z]+)', 1), '[^A-Za-z ]', '', 'g')) AS name FROM benchmark
-    UNION SELECT lower(regexp_extract(text, '([A-Za-z]{7,})', 1)) FROM benchmark"""
+NAMES_SQL = r"""SELECT DISTINCT lower(unnest(list_concat(regexp_extract_all(text, '[A-Za-z]+ [A-Za-z]+ [A-Za-z]+ [A-Za-z]+'), regexp_extract_all(text, '[A-Za-z]{9,}')))) AS name FROM benchmark"""
 
 
-@query("name_mentions_in_documents", "WITH names AS (" + NAMES_SQL + r"""), toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_'']+'), lambda t: t <> '') AS t FROM documents),
-    grams AS (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]))) AS g FROM toks)
-    SELECT DISTINCT doc_id FROM grams WHERE g IN (SELECT name FROM names WHERE length(name) > 2)""")
+@query("name_mentions_in_documents", "WITH names AS (" + NAMES_SQL + r""") SELECT DISTINCT doc_id FROM documents JOIN names ON contains(lower(text), name)
+    WHERE length(name) > 2 AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{N}_])')""")
 def name_mentions_in_documents(spark, sf):
-    bench = b.table(spark, sf, "benchmark")
-    two = F.lower(F.regexp_extract("text", "([A-Za-z]+ [A-Za-z]+)", 1))
-    one = F.lower(F.regexp_extract("text", "([A-Za-z]{7,})", 1))
-    names = bench.select(F.explode(F.array(two, one)).alias("name")).distinct()
-    return fl.mentions(b.table(spark, sf, "documents"), ["doc_id"], "text", names, 2)
+    found = [F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in ("[A-Za-z]+ [A-Za-z]+ [A-Za-z]+ [A-Za-z]+", "[A-Za-z]{9,}")]
+    names = b.table(spark, sf, "benchmark").select(F.explode(F.concat(*found)).alias("name"))
+    return fl.mentions(b.table(spark, sf, "documents"), ["doc_id"], "text", names)
 
 
 @query("slugs_and_worlds", """SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,

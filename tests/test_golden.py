@@ -149,6 +149,13 @@ def test_variants(spark):
     assert rows(vm, "transcribed", "correct") == [("bhagwad gita", "Bhagavad Gita"), ("pandav", "Pandu")]
     texts = spark.createDataFrame([(0, "the Pandavas read the bhagwad Gita."), (1, "a Pandav!")], "id int, text string")
     assert rows(co.variant_scan(texts, ["id"], vm), "id", "transcribed", "correct") == [(0, "bhagwad Gita", "Bhagavad Gita"), (1, "Pandav", "Pandu")]
+    odd = spark.createDataFrame([("lord of the ringz", "A"), ("hare krishna", "B"), ("o'brion", "C"), ("sita-ram", "D"), ("one two three four five six", "E")], "transcribed string, correct string")
+    texts = spark.createDataFrame([(0, "The Lord of the Ringz, hare-krishna; O'Brion's"), (1, "Sita-Ram sita ram Hare Krishna"), (2, "One two three four five six!"), (3, "xo'brion, éhare krishna")], "id int, text string")
+    assert rows(co.variant_scan(texts, ["id"], odd), "id", "transcribed", "correct") == [
+        (0, "Lord of the Ringz", "A"), (0, "O'Brion", "C"), (1, "Hare Krishna", "B"), (1, "Sita-Ram", "D"), (2, "One two three four five six", "E")]
+    names = spark.createDataFrame([("Arjuna", "arjuna", False), ("Pandavas", "pandava", True), ("Pandavas", "sons of pandu", False)], "canonical string, variant string, prefix boolean")
+    texts = spark.createDataFrame([(0, "Arjuna's bow and the Pandavas, sons of Pandu; pandava"), (1, "arjunas")], "id int, text string")
+    assert rows(co.occurrences_by_pattern(texts, ["id"], names), "canonical", "n", "n_variants", "n_texts") == [("Arjuna", 1, 1, 1), ("Pandavas", 3, 2, 1)]
 
 
 def test_cosine(spark):

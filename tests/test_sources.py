@@ -60,12 +60,23 @@ def test_global_files(spark, tmp_path):
 
 
 def test_section_overwrite(spark, tmp_path):
-    path = str(tmp_path / "flags")
-    schema = "detector_id string, session_id string, n int"
-    tables.overwrite_flags(spark.createDataFrame([("m9a", "s1", 1), ("m9b", "s1", 2), ("m9a", "s2", 3)], schema), path)
-    tables.overwrite_flags(spark.createDataFrame([("m9a", "s1", 9)], schema), path)
-    assert sorted((r.detector_id, r.session_id, r.n) for r in spark.read.parquet(path).collect()) == [("m9a", "s1", 9), ("m9a", "s2", 3), ("m9b", "s1", 2)]
-    assert sorted(r.n for r in tables.read_session(spark, path, "s1").collect()) == [2, 9]
+    path, schema = str(tmp_path / "flags"), "detector_id string, session_id string, n int"
+    def write(flags, done):
+        tables.overwrite_sections(spark, spark.createDataFrame(flags, schema), spark.createDataFrame(done, "detector_id string, session_id string"), path)
+    a, b = "20240101-1", "20240102-1"
+    write([("m9a", a, 1), ("m9b", a, 2), ("m9a", b, 3)], [("m9a", a), ("m9b", a), ("m9a", b)])
+    write([("m9a", a, 9)], [("m9a", a), ("m9a", b)])
+    assert sorted(r.n for r in tables.read_session(spark, path, a).collect()) == [2, 9]
+    assert tables.read_session(spark, path, b).count() == 0
+    assert sorted(tuple(r) for r in tables.section_stamps(spark, path).collect()) == [("m9a", a), ("m9a", b), ("m9b", a)]
+    assert sorted(r.n for r in tables.read_sections(spark, path).collect()) == [2, 9]
+
+
+def test_raw_rows_are_appended(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    for n in (1, 2):
+        tables.append_raw(spark.createDataFrame([("20240101-1", n)], "session_id string, n int"), path)
+    assert sorted(r.n for r in tables.read_session(spark, path, "20240101-1").collect()) == [1, 2]
 
 
 def test_intake_stream(spark, tmp_path):
