@@ -52,6 +52,14 @@ def window_loudness(spans: DataFrame, frames: DataFrame, ids: Sequence[str], fra
     return pairs.groupBy("session_id", *ids).agg(F.max("db").alias(name))
 
 
+def without_filler_loops(words: DataFrame, segments: DataFrame, stretches: DataFrame, width: int) -> DataFrame:
+    """Words outside folded filler loops: lines of a stretch (session_id, lo, hi, filler) that are the filler alone go."""
+    points = segments.withColumn("_p", F.col("seg_pos").cast("long")).withColumn("_q", F.col("_p"))
+    inside = overlap_join(points, stretches, ["session_id"], width, "_p", "_q", "lo", "hi", closed=True)
+    folded = inside.filter(F.btrim("text") == F.col("filler")).select("session_id", "seg_pos").distinct()
+    return words.join(folded, ["session_id", "seg_pos"], "left_anti")
+
+
 def classify_drift(words: DataFrame) -> DataFrame:
     """Category and score of each word from loud_db, near_db, threshold, total and other_codes."""
     loud = F.col("loud_db") >= F.col("threshold")

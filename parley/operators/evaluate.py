@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
+from parley.functions.phonetic import code_rows, with_codes
 from parley.operators.asof import bracket
 from parley.operators.intervals import overlap_join
 from parley.operators.scans import RunSum, block_of, first_row, scan
@@ -186,8 +187,17 @@ def key_summary(scores: DataFrame) -> DataFrame:
                                             F.round(F.coalesce(F.try_divide(hits, n), F.lit(0.0)), 3).alias("recall"))
 
 
+def ordinary_words(words: DataFrame, cast: DataFrame, codes) -> DataFrame:
+    """Words of at least four cleaned letters that share no sound code with a cast name (column ``name``)."""
+    w = words.withColumn("c", tx.clean("word")).filter(F.length("c") >= 4)
+    forms = code_rows(with_codes(w, "c", codes)).select("c", "code")
+    names = code_rows(with_codes(cast.select(tx.clean("name").alias("name")), "name", codes)).select("code").distinct()
+    alike = forms.join(names, "code", "left_semi").select("c").distinct()
+    return w.join(alike, "c", "left_anti").drop("c")
+
+
 def controls(words: DataFrame, key: DataFrame, n: int, min_gap: int, width: int, block: int) -> DataFrame:
-    """``n`` ordinary words per session, evenly spread, at least ``min_gap`` from every key note."""
+    """``n`` words per session, evenly spread, at least ``min_gap`` from every key note; give it ``ordinary_words``."""
     w = words.withColumn("_lo", F.col("start")).withColumn("_hi", F.col("start"))
     k = key.select("session_id", (F.col("at") - min_gap + 1).alias("_s"), (F.col("at") + min_gap - 1).alias("_e")).distinct()
     close = overlap_join(w, k, ["session_id"], width, "_lo", "_hi", "_s", "_e", closed=True).select("session_id", "word_id").distinct()

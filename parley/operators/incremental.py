@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.operators.scans import BLOCK, block_of, running_number
+from parley.session import staged
 
 
 def segment_fingerprints(words: DataFrame) -> DataFrame:
@@ -39,26 +40,35 @@ def stale(inputs: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
 
 
 def classify_intake(arrivals: DataFrame, known: DataFrame) -> DataFrame:
-    """new, duplicate or collision for each arrival, against known recordings and earlier arrivals.
+    """new, duplicate or collision for each arrival, against known and earlier admitted recordings.
 
     Columns: uuid (may be null), session_id (from the recording's time), md5, ordinal for arrivals.
     The same uuid, or the same time and content, is a duplicate; the same time with other content a
-    collision.
+    collision. A refused arrival is no recording, so it makes no later one a repeat. Arrivals are
+    settled in rounds: the first open one of its uuid and of its time is admitted, and closes both.
     """
-    a = arrivals
-    old_uuid = known.filter("uuid is not null").select("uuid").distinct().withColumn("_ku", F.lit(True))
-    old_time = known.groupBy("session_id").agg(F.lit(True).alias("_kt"))
-    old_same = known.select("session_id", "md5").distinct().withColumn("_ks", F.lit(True))
-    # the earliest arrival with the same uuid, time, or time and content
-    first_uuid = a.filter("uuid is not null").groupBy("uuid").agg(F.min("ordinal").alias("_fu"))
-    first_time = a.groupBy("session_id").agg(F.min("ordinal").alias("_ft"))
-    first_same = a.groupBy("session_id", "md5").agg(F.min("ordinal").alias("_fs"))
-    j = (a.join(old_uuid, "uuid", "left").join(old_time, "session_id", "left").join(old_same, ["session_id", "md5"], "left")
-         .join(first_uuid, "uuid", "left").join(first_time, "session_id", "left").join(first_same, ["session_id", "md5"], "left"))
+    old_uuid = known.filter("uuid is not null").select("uuid").distinct()
+    old_time = known.select("session_id").distinct()
+    columns = ["ordinal", "uuid", "session_id", "md5"]
+    waiting = staged(arrivals.select(*columns).join(old_uuid, "uuid", "left_anti").join(old_time, "session_id", "left_anti").select(*columns))
+    admitted = waiting.limit(0)
+    while waiting.limit(1).count():
+        by_uuid = waiting.filter("uuid is not null").groupBy("uuid").agg(F.min("ordinal").alias("_fu"))
+        by_time = waiting.groupBy("session_id").agg(F.min("ordinal").alias("_ft"))
+        met = waiting.join(by_uuid, "uuid", "left").join(by_time, "session_id")
+        took = staged(met.filter((F.col("ordinal") == F.col("_ft")) & (F.col("uuid").isNull() | (F.col("ordinal") == F.col("_fu")))).select(*columns))
+        admitted = admitted.unionByName(took)
+        waiting = staged(waiting.join(took.select("uuid").filter("uuid is not null"), "uuid", "left_anti")
+                         .join(took.select("session_id"), "session_id", "left_anti").select(*columns))
+    held = known.select("uuid", "session_id", "md5", F.lit(None).cast("long").alias("_at")).unionByName(
+        admitted.select("uuid", "session_id", "md5", F.col("ordinal").cast("long").alias("_at")))
+    uuids = held.filter("uuid is not null").groupBy("uuid").agg(F.min(F.coalesce("_at", F.lit(-1))).alias("_u"))
+    same = held.groupBy("session_id", "md5").agg(F.min(F.coalesce("_at", F.lit(-1))).alias("_s"))
+    mine = admitted.select("ordinal", F.lit(True).alias("_new"))
+    j = (arrivals.join(mine, "ordinal", "left").join(uuids, "uuid", "left").join(same, ["session_id", "md5"], "left"))
     o = F.col("ordinal")
-    verdict = (F.when(F.col("_ku") | (F.col("_fu") < o), "duplicate").when(F.col("_ks") | (F.col("_fs") < o), "duplicate")
-               .when(F.col("_kt") | (F.col("_ft") < o), "collision").otherwise("new"))
-    return j.select(*a.columns, verdict.alias("verdict"))
+    verdict = (F.when(F.col("_new"), "new").when((F.col("_u") < o) | (F.col("_s") < o), "duplicate").otherwise("collision"))
+    return j.select(*arrivals.columns, verdict.alias("verdict"))
 
 
 def stage_health(processing: DataFrame) -> DataFrame:

@@ -38,17 +38,19 @@ def visible_spellings(spellings: DataFrame, verdicts: DataFrame) -> DataFrame:
 def verdict_staleness(flags: DataFrame, verdicts: DataFrame, reviewed: DataFrame) -> DataFrame:
     """'not_canon' verdicts whose name is still flagged but with other spellings than at review.
 
-    ``reviewed``: session_id, name, cleaned (one row per spelling seen then). Sets are compared row
-    by row, so a name with many spellings is not gathered.
+    ``reviewed``: session_id, name, cleaned (one row per spelling seen then). ``has_review`` on a
+    verdict says that spellings were noted, be it none: a noted empty set is stale once the name has
+    flags, a verdict without a note never is. Sets are compared row by row, so a name with many
+    spellings is not gathered.
     """
     keys = ["session_id", "name"]
-    v = verdicts.filter("type = 'not_canon'").select(*keys).distinct()
+    v = verdicts.filter("type = 'not_canon'").groupBy(*keys).agg(F.bool_or("has_review").alias("_noted"))
     now = flags.filter(F.col("detector_id") == CANON).select("session_id", F.col("canonical").alias("name"), "cleaned", F.lit(1).alias("_now"), F.lit(0).alias("_then"))
     then = reviewed.select(*keys, "cleaned", F.lit(0).alias("_now"), F.lit(1).alias("_then"))
     per = now.unionByName(then).groupBy(*keys, "cleaned").agg(F.max("_now").alias("_now"), F.max("_then").alias("_then"))
-    state = per.groupBy(*keys).agg(F.max("_now").alias("_any"), F.max("_then").alias("_seen"), F.bool_or(F.col("_now") != F.col("_then")).alias("_diff"))
+    state = per.groupBy(*keys).agg(F.max("_now").alias("_any"), F.bool_or(F.col("_now") != F.col("_then")).alias("_diff"))
     return v.join(state, keys, "left").select(
-        *keys, F.coalesce((F.col("_any") == 1) & (F.col("_seen") == 1) & F.col("_diff"), F.lit(False)).alias("stale"))
+        *keys, F.coalesce(F.col("_noted") & (F.col("_any") == 1) & F.col("_diff"), F.lit(False)).alias("stale"))
 
 
 def with_tiers(flags: DataFrame, votes: int = 3) -> DataFrame:

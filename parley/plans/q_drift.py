@@ -21,13 +21,15 @@ def _window(lo: str, hi: str) -> str:
 
 
 LOUD = f"""SELECT w.session_id, w.event_id, w.word, w."start", w."end", {_window('w."start"', 'w."start"')} AS loud_db, {_window('(w."start" - 3600000000)', '(w."start" + 3600000000)')} AS near_db
-    FROM timed_words w JOIN lst l ON w.session_id = l.session_id"""
+    FROM timed_words w JOIN lst l ON w.session_id = l.session_id WHERE (w.session_id, w."start" // 86400000000) NOT IN (SELECT session_id, d FROM folded)"""
+FOLDED = """SELECT s.session_id, d FROM (SELECT session_id, "start" // 86400000000 AS d, arg_min(word, event_id) AS text FROM timed_words GROUP BY ALL) s
+    JOIN (SELECT session_id, min("start" // 86400000000) AS d0, min(word) AS filler FROM timed_words GROUP BY ALL) f ON s.session_id = f.session_id AND d BETWEEN d0 + 1 AND d0 + 12 AND trim(text) = filler"""
 TOTAL = """SELECT w.session_id, w.event_id, least(coalesce(sum(least(w."end", t."end") - greatest(w."start", t."start")) FILTER (t.speaker IS NOT NULL), 0) / any_value(w."end" - w."start"), 1.0) AS total FROM timed_words w
     LEFT JOIN (SELECT * FROM turns WHERE speaker = 'view') t ON w.session_id = t.session_id AND w."start" < t."end" AND t."start" < w."end" GROUP BY w.session_id, w.event_id"""
 CLASS = """SELECT *, CASE WHEN loud_db >= threshold THEN 'ok' WHEN total < 0.1 AND near_db >= threshold AND coded THEN 'drifted_coded' WHEN total < 0.1 AND near_db >= threshold THEN 'drifted' WHEN total < 0.1 THEN 'isolated' ELSE 'quiet_ambiguous' END AS category,
     round(CASE WHEN loud_db >= threshold THEN 0 WHEN total < 0.1 AND near_db >= threshold THEN 0.6 + 0.4 * q WHEN total < 0.1 THEN 0.4 + 0.2 * q ELSE 0.3 + 0.2 * q END, 3) AS score FROM
     (SELECT l.*, total, threshold, l."end" - l."start" > 200000000000 AS coded, greatest(0.0, least(1.0, (threshold - loud_db) / 15.0)) AS q FROM loud l JOIN tot USING (session_id, event_id) JOIN flr f ON l.session_id = f.session_id)"""
-PARTS = dict(frames=FRAMES, flr=FLOOR, lst=LAST, loud=LOUD, tot=TOTAL, cls=CLASS)
+PARTS = dict(frames=FRAMES, flr=FLOOR, lst=LAST, folded=FOLDED, loud=LOUD, tot=TOTAL, cls=CLASS)
 
 
 def frames(spark, sf):
@@ -36,7 +38,11 @@ def frames(spark, sf):
 
 
 def classified(spark, sf):
-    w = b.timed_words(spark, sf)
+    w = b.timed_words(spark, sf).withColumn("seg_pos", F.floor(F.col("start") / 86_400_000_000))
+    segments = w.groupBy("session_id", "seg_pos").agg(F.min_by("word", "event_id").alias("text"))
+    days = w.groupBy("session_id").agg(F.min("seg_pos").alias("_d"), F.min("word").alias("filler"))
+    stretches = days.select("session_id", (F.col("_d") + 1).alias("lo"), (F.col("_d") + 12).alias("hi"), "filler")
+    w = dr.without_filler_loops(w, segments, stretches, 16)
     f = materialize(frames(spark, sf))
     points = w.select("session_id", "event_id", "start", F.col("start").alias("end"))
     loud = dr.window_loudness(points, f, ["event_id"], FRAME, 16)
@@ -45,7 +51,7 @@ def classified(spark, sf):
     keys = ["session_id", "event_id"]
     j = w.join(loud, keys).join(near, keys).join(total, keys).join(dr.noise_floor(f), "session_id")
     codes = F.when(F.col("end") - F.col("start") > 200_000_000_000, F.array(F.lit("M2"))).otherwise(F.array().cast("array<string>"))
-    return dr.classify_drift(j.withColumn("other_codes", codes).withColumn("seg_pos", F.floor(F.col("start") / 86_400_000_000)))
+    return dr.classify_drift(j.withColumn("other_codes", codes))
 
 
 @query("loudness_frames", b.with_ctes("timed_words", "SELECT session_id, frame_idx, round(db, 6) AS db FROM frames", frames=FRAMES))

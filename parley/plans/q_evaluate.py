@@ -210,10 +210,11 @@ def key_summary(spark, sf):
     return ev.key_summary(ev.key_scores(key, words, ph.skeleton_codes, 7_200_000_000, b.BUCKET, b.TIME_BLOCK, ["kaba"]))
 
 
-@query("control_words", b.with_ctes("notes", """SELECT session_id, word_id, "start" AS start_us FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY "start", word_id) - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n FROM asword w
-    WHERE NOT EXISTS (SELECT 1 FROM notes k WHERE k.session_id = w.session_id AND abs(w."start" - k."at") < 14400000000)) WHERE n <= 25 OR i IN (SELECT CAST(floor(k * n / 25.0) AS BIGINT) FROM (SELECT unnest(range(25)) AS k))""", asword=ASWORD))
+@query("control_words", b.with_ctes("notes", f"""SELECT session_id, word_id, "start" AS start_us FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY "start", word_id) - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n FROM asword w
+    WHERE length(c) >= 4 AND NOT list_has_any({b.skeleton_sql('c')}, list_concat({b.skeleton_sql("'kamu'")}, {b.skeleton_sql("'sita'")})) AND NOT EXISTS (SELECT 1 FROM notes k WHERE k.session_id = w.session_id AND abs(w."start" - k."at") < 14400000000)) WHERE n <= 25 OR i IN (SELECT CAST(floor(k * n / 25.0) AS BIGINT) FROM (SELECT unnest(range(25)) AS k))""", asword=ASWORD))
 def control_words(spark, sf):
     key, words = key_sides(spark, sf)
+    words = ev.ordinary_words(words, spark.createDataFrame([("kamu",), ("Sita",)], "name string"), ph.skeleton_codes)
     return ev.controls(words, key, 25, 14_400_000_000, b.BUCKET, b.TIME_BLOCK).select("session_id", "word_id", F.col("start").alias("start_us"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parley.operators import incremental as inc
 from parley.plans import bindings as b
 from parley.plans.catalog import query
+from parley.sources import tables
 
 SEGFP = "SELECT session_id, seg_pos, sha256(string_agg(word, chr(10) ORDER BY word_index)) AS fp FROM words GROUP BY ALL"
 
@@ -31,24 +32,39 @@ def stale_sessions(spark, sf):
     return inc.stale(now, done).select("session_id", "stage")
 
 
-ARR = """SELECT doc_id AS ordinal, CASE WHEN doc_id % 4 > 0 THEN md5(lower(text)) END AS uuid, source || '-' || n_chars % 50 AS session_id, md5(text) AS md5 FROM documents WHERE lang <> 'de'"""
-KNOWN = """SELECT CASE WHEN doc_id % 4 > 0 THEN md5(lower(text)) END AS uuid, source || '-' || n_chars % 50 AS session_id, md5(text) AS md5 FROM documents WHERE lang = 'de'"""
+ARR = """SELECT doc_id AS ordinal, CASE WHEN doc_id % 4 > 0 THEN md5(left(lower(text), 12)) END AS uuid, source || '-' || n_chars % 50 AS session_id, md5(text) AS md5 FROM documents WHERE lang <> 'de'"""
+KNOWN = """SELECT CASE WHEN doc_id % 4 > 0 THEN md5(left(lower(text), 12)) END AS uuid, source || '-' || n_chars % 50 AS session_id, md5(text) AS md5 FROM documents WHERE lang = 'de'"""
 
 
 def arrivals(spark, sf, cond):
     d = b.table(spark, sf, "documents").filter(cond)
-    return d.select(F.col("doc_id").alias("ordinal"), F.when(F.col("doc_id") % 4 > 0, F.md5(F.lower("text"))).alias("uuid"),
+    return d.select(F.col("doc_id").alias("ordinal"), F.when(F.col("doc_id") % 4 > 0, F.md5(F.left(F.lower("text"), F.lit(12)))).alias("uuid"),
                     F.concat("source", F.lit("-"), F.col("n_chars") % 50).alias("session_id"), F.md5("text").alias("md5"))
 
 
-@query("intake", f"""WITH a AS ({ARR}), k AS ({KNOWN}) SELECT ordinal, session_id, CASE WHEN uuid IN (SELECT uuid FROM k WHERE uuid IS NOT NULL) OR EXISTS (SELECT 1 FROM a b WHERE b.uuid = a.uuid AND b.ordinal < a.ordinal) THEN 'duplicate'
-    WHEN (session_id, md5) IN (SELECT session_id, md5 FROM k) OR EXISTS (SELECT 1 FROM a b WHERE b.session_id = a.session_id AND b.md5 = a.md5 AND b.ordinal < a.ordinal) THEN 'duplicate'
-    WHEN session_id IN (SELECT session_id FROM k) OR EXISTS (SELECT 1 FROM a b WHERE b.session_id = a.session_id AND b.ordinal < a.ordinal) THEN 'collision' ELSE 'new' END AS verdict FROM a""")
+@query("intake", f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (ORDER BY ordinal) AS n FROM ({ARR})), k AS ({KNOWN}), walk AS (
+    SELECT CAST(0 AS BIGINT) AS n, (SELECT coalesce(list(uuid), []) FROM k WHERE uuid IS NOT NULL) AS us, (SELECT coalesce(list(DISTINCT session_id), []) FROM k) AS ss,
+        (SELECT coalesce(list(session_id || '|' || md5), []) FROM k) AS ps, CAST(NULL AS BIGINT) AS ordinal, CAST(NULL AS VARCHAR) AS session_id, CAST(NULL AS VARCHAR) AS verdict
+    UNION ALL SELECT n, CASE WHEN v = 'new' AND uuid IS NOT NULL THEN list_append(us, uuid) ELSE us END, CASE WHEN v = 'new' THEN list_append(ss, session_id) ELSE ss END,
+        CASE WHEN v = 'new' THEN list_append(ps, session_id || '|' || md5) ELSE ps END, ordinal, session_id, v
+    FROM (SELECT a.*, us, ss, ps, CASE WHEN list_contains(us, a.uuid) OR list_contains(ps, a.session_id || '|' || a.md5) THEN 'duplicate' WHEN list_contains(ss, a.session_id) THEN 'collision' ELSE 'new' END AS v
+          FROM walk w JOIN a ON a.n = w.n + 1))
+    SELECT ordinal, session_id, verdict FROM walk WHERE n > 0""")
 def intake(spark, sf):
     v = inc.classify_intake(arrivals(spark, sf, "lang <> 'de'"), arrivals(spark, sf, "lang = 'de'").drop("ordinal"))
     return v.select("ordinal", "session_id", "verdict")
 
 
+@query("section_replace", """SELECT detector_id, session_id, flag_id FROM (SELECT event_type AS detector_id, CAST(user_id AS VARCHAR) AS session_id, event_id AS flag_id FROM events WHERE value <= 100) o
+    WHERE NOT (CAST(session_id AS INTEGER) % 3 = 0 AND detector_id IN ('view', 'click')) UNION ALL
+    SELECT event_type, CAST(user_id AS VARCHAR), event_id FROM events WHERE value > 100 AND user_id % 3 = 0 AND event_type IN ('view', 'click')""")
+def section_replace(spark, sf):
+    e = b.table(spark, sf, "events").select(F.col("event_type").alias("detector_id"), F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("flag_id"), "value")
+    done = e.filter("cast(session_id as int) % 3 = 0 and detector_id in ('view', 'click')")
+    keys = ["detector_id", "session_id"]
+    return tables.replace_sections(e.filter("value <= 100").drop("value"), done.filter("value > 100").drop("value"), done, keys)
+
+
 @query("stage_health", "SELECT event_type AS stage, count(*) AS n_runs, count(*) FILTER (value > 100) AS n_failed, round(sum(value), 2) AS seconds FROM events GROUP BY event_type")
 def stage_health(spark, sf):
     p = b.table(spark, sf, "events").select(F.col("event_type").alias("stage"), F.when(F.col("value") > 100, "error").otherwise("success").alias("status"), F.col("value").alias("duration_seconds"))

@@ -56,13 +56,13 @@ def visible_spellings(spark, sf):
 REVIEW = "SELECT DISTINCT session_id, canonical AS name, cleaned FROM flag WHERE detector_id = 'm9c' AND vote_count < 5"
 
 
-@query("verdict_staleness", sql(f"""SELECT v.session_id, v.name, coalesce(n <> r AND n IS NOT NULL AND r IS NOT NULL, false) AS stale FROM (SELECT DISTINCT session_id, name FROM verd WHERE type = 'not_canon') v
+@query("verdict_staleness", sql(f"""SELECT v.session_id, v.name, (NOT ends_with(v.name, '4') AND n IS NOT NULL AND n IS DISTINCT FROM r) AS stale FROM (SELECT DISTINCT session_id, name FROM verd WHERE type = 'not_canon') v
     LEFT JOIN (SELECT session_id, canonical AS name, list_sort(list_distinct(list(cleaned))) AS n FROM flag WHERE detector_id = 'm9c' GROUP BY ALL) c USING (session_id, name)
     LEFT JOIN (SELECT session_id, name, list_sort(list(cleaned)) AS r FROM ({REVIEW}) GROUP BY ALL) q USING (session_id, name)"""))
 def verdict_staleness(spark, sf):
     f = flags(spark, sf)
     reviewed = f.filter("detector_id = 'm9c' and vote_count < 5").select("session_id", F.col("canonical").alias("name"), "cleaned").distinct()
-    return ov.verdict_staleness(f, verdicts(spark, sf), reviewed)
+    return ov.verdict_staleness(f, verdicts(spark, sf).withColumn("has_review", ~F.col("name").endswith("4")), reviewed)
 
 
 @query("canon_tiers", sql("SELECT session_id, tier, count(*) AS n, count(*) FILTER (tier <> 'low') AS n_shown FROM tiered WHERE tier IS NOT NULL GROUP BY ALL"))

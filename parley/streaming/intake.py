@@ -10,19 +10,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from parley.operators.incremental import classify_intake
 
 MANIFEST = "uuid string, session_id string, md5 string, path string, ordinal long"
 
 
-def _known(spark: SparkSession, path: str, before: int) -> DataFrame:
-    schema = f"{MANIFEST}, verdict string, batch_id long"
-    held = spark.read.schema(schema).option("ignoreMissingFiles", "true")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-        return spark.createDataFrame([], schema)
-    return held.parquet(path).filter((F.col("batch_id") < before) & (F.col("verdict") == "new"))
+def _known(spark: SparkSession, path: str, before: int, batch: DataFrame) -> DataFrame:
+    """Admitted recordings that share a uuid or a time with the batch."""
+    try:
+        held = spark.read.schema(f"{MANIFEST}, verdict string, batch_id long").parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return batch.limit(0)
+    new = held.filter((F.col("batch_id") < before) & (F.col("verdict") == "new")).select(*batch.columns)
+    by_uuid = new.join(batch.select("uuid").distinct(), "uuid", "left_semi")
+    return by_uuid.unionByName(new.join(batch.select("session_id").distinct(), "session_id", "left_semi"))
 
 
 def intake(spark: SparkSession, inbox: str, recordings: str, checkpoint: str,
@@ -32,7 +37,7 @@ def intake(spark: SparkSession, inbox: str, recordings: str, checkpoint: str,
     ``then`` gets each batch's new recordings (for the detectors) and its batch id.
     """
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        decided = classify_intake(batch, _known(batch.sparkSession, recordings, batch_id)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        decided = classify_intake(batch, _known(batch.sparkSession, recordings, batch_id, batch)).withColumn("batch_id", F.lit(batch_id).cast("long"))
         decided.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(recordings)
         if then:
             then(batch.sparkSession.read.parquet(recordings).filter((F.col("batch_id") == batch_id) & (F.col("verdict") == "new")), batch_id)

@@ -94,6 +94,13 @@ def test_intake_stream(spark, tmp_path):
     assert seen == ["a", "e"]
 
 
+def test_refused_arrivals_are_no_recordings(spark):
+    schema = "uuid string, session_id string, md5 string, ordinal long"
+    rows = [("u1", "t1", "h1", 0), ("u2", "t1", "h2", 1), ("u2", "t9", "h9", 2), (None, "t1", "h2", 3), (None, "t1", "h1", 4), ("u2", "t5", "h5", 5), (None, "t9", "h9", 6)]
+    got = inc.classify_intake(spark.createDataFrame(rows, schema), spark.createDataFrame([], "uuid string, session_id string, md5 string"))
+    assert [r.verdict for r in got.orderBy("ordinal").collect()] == ["new", "collision", "new", "collision", "duplicate", "duplicate", "duplicate"]
+
+
 def test_status(spark):
     meta = spark.createDataFrame([("s", "old", None)], "session_id string, note string, validation_status string")
     ch = spark.createDataFrame([("s", None, "done"), ("t", "hi", None)], meta.schema)
