@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     groups = components(edges).withColumnRenamed("node", "k").withColumnRenamed("root", "g")
 
     counts = groups.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    sets = staged(texts.join(groups.join(counts, "g"), "k").select("k", "g", "c", "text")
+    # texts move once, by id, whatever the number of grouped documents
+    sets = staged(texts.join(groups.join(counts, "g").hint("merge"), "k").select("k", "g", "c", "text")
                   .mapInArrow(_packed_sets, "k long, g long, c long, set binary"))
     links = _tasks(sets, block).repartition("task").sortWithinPartitions("task").mapInArrow(
         _link_rows(percent), "a long, b long")
