@@ -5,7 +5,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.skew import keyed_lookup
 
 
 def window_texts(windows: DataFrame, segments: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -13,7 +12,7 @@ def window_texts(windows: DataFrame, segments: DataFrame, candidates: DataFrame)
 
     A window holds at most 22 lines, so a zone's text is put together in one row.
     """
-    lines = keyed_lookup(windows, segments.select("session_id", "seg_pos", "seg_id", F.btrim("text").alias("_t")), ["session_id", "seg_pos"], ["zone"])
+    lines = windows.join(segments.select("session_id", "seg_pos", "seg_id", F.btrim("text").alias("_t")), ["session_id", "seg_pos"])
     signals = candidates.select("session_id", F.col("pos").alias("seg_pos"), F.array_join(F.array_sort("signals"), ", ").alias("_s"))
     lines = lines.join(signals, ["session_id", "seg_pos"], "left")
     shown = F.concat(F.lit("["), "seg_id", F.lit('] "'), F.when(F.col("_t") == "", "[no text]").otherwise(F.col("_t")), F.lit('"'),

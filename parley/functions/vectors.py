@@ -1,6 +1,8 @@
 """Vector arithmetic on array columns."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 
@@ -34,9 +36,6 @@ def is_finite(a: Column) -> Column:
 
 
 def mean_vector(df: DataFrame, keys: list[str], vector: str = "vector", name: str = "centroid") -> DataFrame:
-    """Element-wise mean per key: averages per dimension combine on the map side."""
-    cells = df.select(*keys, F.posexplode(vector).alias("_i", "_x"))
-    means = cells.groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    return (means.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_l"))
-            .select(*keys, F.transform("_l", lambda s: s["_m"]).alias(name)))
+    """Element-wise mean per key; sums of whole vectors combine on the map side, one row per key and task."""
+    packed = df.filter(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    return packed.groupBy(*keys).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(*keys, vector_to_array("_m").alias(name))

@@ -11,11 +11,13 @@ from parley.session import ensure_checkpoint_dir
 MAX_ROUNDS = 60
 
 
-def connected_forms(edges: DataFrame, scope: Sequence[str], form: str = "form", code: str = "code") -> DataFrame:
+def connected_forms(edges: DataFrame, scope: Sequence[str], form: str = "form", code: str = "code",
+                    max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(scope, form, cluster_id): cluster_id is the least form of the component.
 
     Each round lowers a form's label to the least label among forms sharing a code with it and
-    then jumps to its label's own label, so chains collapse in few rounds. Edges stay linear (one
+    then jumps to its label's own label (one row per form, a plain join whose large labels Spark splits), so chains
+    collapse in few rounds. Edges stay linear (one
     per form and code, never form x form). Rounds are cut with reliable checkpoints; the loop
     ends when no label changed.
     """
@@ -27,13 +29,13 @@ def connected_forms(edges: DataFrame, scope: Sequence[str], form: str = "form",
     shared = held.groupBy(*scope, code).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     pairs = keyed_lookup(held, shared, [*scope, code], [form]).checkpoint()
     labels = pairs.groupBy(*keys).agg(F.min(form).alias("label"))
-    for _ in range(MAX_ROUNDS):
+    for _ in range(max_rounds):
         at_code = pairs.join(labels, keys)
         code_min = at_code.groupBy(*scope, code).agg(F.min("label").alias("_m"))
         stepped = (keyed_lookup(at_code, code_min, [*scope, code], [form])
                    .groupBy(*keys).agg(F.min("label").alias("_old"), F.min("_m").alias("label")))
         jump = stepped.select(*scope, F.col(form).alias("label"), F.col("label").alias("_root"))
-        labels = keyed_lookup(stepped, jump, [*scope, "label"], [form]).select(
+        labels = stepped.join(jump, [*scope, "label"]).select(
             *keys, "_old", F.least("label", "_root").alias("label")).checkpoint()
         moved = labels.filter("label <> _old").limit(1).count()
         labels = labels.drop("_old")

@@ -10,7 +10,7 @@ from parley.operators.scans import RunSum, block_of, scan
 from parley.operators.skew import keyed_lookup
 
 IDENTIFIED, SUGGESTED = 0.75, 0.45
-PACK = 512
+PACKS = 16
 
 
 def centroids(profile_vectors: DataFrame, key: str = "profile_id") -> DataFrame:
@@ -33,19 +33,22 @@ def speaker_vectors(turn_vectors: DataFrame, keys: Sequence[str] = ("session_id"
     return means.join(sizes, keys).select(*keys, vec.unit(F.col("_mean")).alias("vector"), "num_segments", "total_duration")
 
 
-def best_profiles(speakers: DataFrame, profiles: DataFrame, ids: Sequence[str]) -> DataFrame:
+def best_profiles(speakers: DataFrame, profiles: DataFrame, ids: Sequence[str], packs: int = PACKS) -> DataFrame:
     """Each speaker's most similar profile: (ids, profile_id, similarity); ties go to the lesser rank.
 
-    ``profiles``: profile_id, rank, centroid. Centroids travel in packs of bounded size and a
-    speaker row meets whole packs, so rows grow with the packs and not with speakers x profiles.
+    ``profiles``: profile_id, rank, centroid. All pairs are scored by nature; both sides are brought
+    to unit length once, centroids travel in ``packs`` rows, and a speaker row meets whole packs.
+    Packs are repeated per salt of the speakers, so a pack that is too large to broadcast does not
+    gather all speakers in one task. Only (ids, best) leaves the scoring task. Take more packs for
+    a profile table of many millions.
     """
-    usable = profiles.filter("centroid is not null")
-    packs = max(1, -(-usable.count() // PACK))
+    usable = profiles.filter("centroid is not null").select("profile_id", "rank", vec.unit(F.col("centroid")).alias("centroid"))
     packed = (usable.withColumn("_pack", F.pmod(F.xxhash64("profile_id"), F.lit(packs)))
               .groupBy("_pack").agg(F.collect_list(F.struct("profile_id", "rank", "centroid")).alias("_ps")))
-    spread = speakers.select(*ids, "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))).alias("_pack"))
-    scored = spread.join(packed, "_pack").select(*ids, F.array_max(F.transform("_ps", lambda p: F.struct(
-        vec.cosine(F.col("vector"), p["centroid"]).alias("s"), (-p["rank"]).alias("r"), p["profile_id"].alias("id")))).alias("_b"))
+    spread = (speakers.select(*ids, vec.unit(F.col("vector")).alias("vector"))
+              .withColumn("_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long")))))
+    scored = keyed_lookup(spread, packed, ["_pack"], ids).select(*ids, F.array_max(F.transform("_ps", lambda p: F.struct(
+        vec.dot(F.col("vector"), p["centroid"]).alias("s"), (-p["rank"]).alias("r"), p["profile_id"].alias("id")))).alias("_b"))
     return scored.groupBy(*ids).agg(F.max("_b").alias("_b")).select(
         *ids, F.col("_b.id").alias("profile_id"), F.col("_b.s").alias("similarity"))
 

@@ -145,3 +145,13 @@ def assemble_benchmark(parts: DataFrame, cells: Sequence[str], deny: Sequence[st
     placed = running_number(parts.filter(~missing), ["cell"], ["pos"], block_of("pos", 65536), "_i")
     out = placed.join(offsets.select("cell", "_off"), "cell").withColumn("id", F.format_string("s%03d", F.col("_off") + F.col("_i")))
     return out.withColumn("errors", errors).withColumn("warnings", warnings).drop("_off", "_i")
+
+
+def key_staleness(keys: DataFrame, current: DataFrame) -> DataFrame:
+    """(session_id, state): 'unstamped' keys carry no fingerprint, 'stale' ones another than the transcript has now, else 'current'.
+
+    ``keys``: session_id, stamp; ``current``: session_id, fp. A key whose recording is gone is stale.
+    """
+    met = keys.join(current.select("session_id", "fp"), "session_id", "left")
+    state = F.when(F.col("stamp").isNull(), "unstamped").when(F.col("stamp").eqNullSafe(F.col("fp")), "current").otherwise("stale")
+    return met.select("session_id", state.alias("state"))

@@ -128,8 +128,8 @@ def refine_starts(regions: DataFrame, moves: DataFrame, block: int, lookback: in
 def resolve_stories(stories: DataFrame, segments: DataFrame) -> DataFrame:
     """Stories with the positions of their ids (bounds in order); unknown ids are left out."""
     ids = segments.select("session_id", "seg_id", F.col("seg_pos").cast("long").alias("p"))
-    a = keyed_lookup(stories, ids.select("session_id", F.col("seg_id").alias("start_id"), F.col("p").alias("_a")), [*S, "start_id"], ["story_idx"])
-    b = keyed_lookup(a, ids.select("session_id", F.col("seg_id").alias("end_id"), F.col("p").alias("_b")), [*S, "end_id"], ["story_idx"])
+    a = stories.join(ids.select("session_id", F.col("seg_id").alias("start_id"), F.col("p").alias("_a")), [*S, "start_id"])
+    b = a.join(ids.select("session_id", F.col("seg_id").alias("end_id"), F.col("p").alias("_b")), [*S, "end_id"])
     return b.withColumn("start_pos", F.least("_a", "_b")).withColumn("end_pos", F.greatest("_a", "_b")).drop("_a", "_b")
 
 
@@ -188,3 +188,13 @@ def story_labels(stories: DataFrame) -> DataFrame:
 def retag_stories(segments: DataFrame, stories: DataFrame, width: int) -> DataFrame:
     """Segments with old story tags taken off and new ones put on."""
     return tag_stories(segments.drop("story_idx", "title", "world"), stories, width)
+
+
+def story_names(tagged: DataFrame, names: DataFrame) -> DataFrame:
+    """(session_id, story_idx, rank, name): the distinct written names of each story in order, one row per name.
+
+    ``tagged``: segments with story_idx; ``names``: session_id, seg_pos, surface. Lines outside stories give none.
+    """
+    inside = tagged.filter("story_idx is not null").select("session_id", "seg_pos", "story_idx")
+    found = names.join(inside, ["session_id", "seg_pos"]).select("session_id", "story_idx", F.col("surface").alias("name")).distinct()
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("session_id", "story_idx").orderBy("name")))

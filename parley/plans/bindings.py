@@ -13,7 +13,7 @@ from parley.functions import text as tx
 from parley.operators.scans import Next, RunSum, block_of, scan
 
 SEGMENT_BLOCK = 65536          # positions per block of a session
-TIME_BLOCK = 600_000_000       # microseconds per block of an event line
+TIME_BLOCK = 30 * 86_400_000_000   # microseconds per block of an event line: far below 10^5 events a block
 BUCKET = 6 * 3_600_000_000     # microseconds per interval-join bucket
 TURN_WIDTH = BUCKET
 

@@ -55,6 +55,13 @@ def intake(spark, sf):
     return v.select("ordinal", "session_id", "verdict")
 
 
+@query("key_staleness", b.with_ctes("words", """SELECT session_id, CASE CAST(session_id AS INTEGER) % 3 WHEN 0 THEN 'unstamped' WHEN 1 THEN 'current' ELSE 'stale' END AS state FROM words GROUP BY session_id"""))
+def key_staleness(spark, sf):
+    now = inc.session_fingerprints(b.words(spark, sf, timed=False), 4)
+    third = F.col("session_id").cast("int") % 3
+    return inc.key_staleness(now.select("session_id", F.when(third == 1, F.col("fp")).when(third == 2, "before").alias("stamp")), now)
+
+
 @query("section_replace", """SELECT detector_id, session_id, flag_id FROM (SELECT event_type AS detector_id, CAST(user_id AS VARCHAR) AS session_id, event_id AS flag_id FROM events WHERE value <= 100) o
     WHERE NOT (CAST(session_id AS INTEGER) % 3 = 0 AND detector_id IN ('view', 'click')) UNION ALL
     SELECT event_type, CAST(user_id AS VARCHAR), event_id FROM events WHERE value > 100 AND user_id % 3 = 0 AND event_type IN ('view', 'click')""")

@@ -153,12 +153,12 @@ def story_tags(spark, sf):
     CASE WHEN worlds <> '' THEN ' · ' || worlds ELSE '' END WHEN worlds <> '' THEN worlds || CASE WHEN o = 0 THEN '' WHEN o = 1 THEN ' + 1 original' ELSE ' + ' || o || ' originals' END
     WHEN n = 1 THEN '1 story' ELSE n || ' stories' END AS label FROM (SELECT session_id, count(*) AS n, count(*) FILTER (world = '') AS o, arg_min(title, seg_pos) FILTER (title <> '') AS title,
     coalesce((SELECT string_agg(world, ' · ' ORDER BY f) FROM (SELECT world, min(seg_pos) AS f FROM st i WHERE i.session_id = st.session_id AND world <> '' GROUP BY world)), '') AS worlds FROM st GROUP BY session_id)""",
-    st="""SELECT session_id, seg_pos, CASE WHEN len(toks) % 4 = 0 AND session_id < '5' THEN substr(text, 1, 10) ELSE '' END AS title0, trim(CASE WHEN len(toks) % 4 = 0 AND session_id < '5' THEN 'T' || len(toks) ELSE '' END) AS title,
+    st="""SELECT session_id, seg_pos, CASE WHEN len(toks) % 4 = 0 AND CAST(session_id AS INTEGER) % 2 = 0 THEN substr(text, 1, 10) ELSE '' END AS title0, trim(CASE WHEN len(toks) % 4 = 0 AND CAST(session_id AS INTEGER) % 2 = 0 THEN 'T' || len(toks) ELSE '' END) AS title,
        CASE WHEN len(toks) % 3 = 0 THEN 'W' || len(toks) % 5 ELSE '' END AS world FROM seg_toks"""))
 def story_labels(spark, sf):
     s = b.lines(spark, sf)
     n = F.col("n_words")
     made = s.select("session_id", F.col("seg_pos").alias("story_idx"),
-                    F.when((n % 4 == 0) & (F.col("session_id") < "5"), F.concat(F.lit("T"), n.cast("string"))).alias("title"),
+                    F.when((n % 4 == 0) & (F.col("session_id").cast("int") % 2 == 0), F.concat(F.lit("T"), n.cast("string"))).alias("title"),
                     F.when(n % 3 == 0, F.concat(F.lit("W"), (n % 5).cast("string"))).alias("world"))
     return st.story_labels(made)
