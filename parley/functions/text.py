@@ -174,8 +174,3 @@ def heard_forms(col) -> Column:
     """Cleaned tokens of a spelling and its cleaned whole."""
     parts = F.filter(F.transform(F.split(strip(col), r"(?U)\s+"), clean), lambda x: x != "")
     return F.array_distinct(F.concat(parts, F.array(clean(col))))
-
-
-def ordered_join(items: Column, sep: str = "") -> Column:
-    """Join an array of (position, text) structs in position order."""
-    return F.array_join(F.transform(F.array_sort(items), lambda s: s[1]), sep)

@@ -283,3 +283,13 @@ def auto_corrections(groups: DataFrame, order: Sequence[str], scope: Sequence[st
     auto = groups.filter("action = 'auto' and key <> ''")
     return first_row(auto.select(*scope, "key", *order, "canonical"), [*scope, "key"], [F.col(o) for o in order]).select(
         *scope, F.col("key").alias("transcribed"), F.col("canonical").alias("correct"))
+
+
+def group_occurrences(rows: DataFrame, scope: Sequence[str], form: str, text: str, more: Sequence[str] = ()) -> DataFrame:
+    """The uses behind groups, one row each: (scope, key, more, AT, surface), edge punctuation off.
+
+    Join to a group table by scope and key for the list a reader opens; a group may have any number.
+    """
+    rest = [a for a in AT if a not in scope]
+    surface = F.regexp_replace(F.col(text), r"^[\s.,?!]+|[\s.,?!]+$", "")
+    return rows.select(*scope, F.col(form).alias("key"), *more, *rest, surface.alias("surface"))

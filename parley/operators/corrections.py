@@ -123,6 +123,11 @@ def occurrences_by_pattern(texts: DataFrame, ids: Sequence[str], names: DataFram
                                          F.countDistinct("variant").alias("n_variants"), F.countDistinct(*ids).alias("n_texts"))
 
 
+def queue_sessions(pending: DataFrame) -> DataFrame:
+    """(world, key, canonical, session_id, n_occurrences): the sessions behind each queue entry, one row each."""
+    return pending.groupBy("world", "key", "canonical", "session_id").agg(F.sum("n_occurrences").alias("n_occurrences"))
+
+
 def queue_rollup(pending: DataFrame) -> DataFrame:
     """Waiting corrections by world, heard form and spelling with their sessions and uses."""
     return pending.groupBy("world", "key", "canonical").agg(

@@ -92,11 +92,20 @@ def confirm(actions: DataFrame, speakers: DataFrame, profile_vectors: DataFrame,
 
 
 def overlay_confirmed(identifications: DataFrame, actions: DataFrame) -> DataFrame:
-    """Identifications with a person's decision beside the computed one."""
-    done = actions.filter(F.col("action") != "skip").select("session_id", "speaker_key", F.lit(True).alias("confirmed"), F.col("profile_id").alias("confirmed_profile_id"))
+    """Identifications with a person's decision, its kind included, beside the computed one."""
+    done = actions.filter(F.col("action") != "skip").select("session_id", "speaker_key", F.lit(True).alias("confirmed"), "action", F.col("profile_id").alias("confirmed_profile_id"))
     return identifications.join(done, ["session_id", "speaker_key"], "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
 
 
+def reidentify(speakers: DataFrame, profile_vectors: DataFrame, ranks: DataFrame, actions: DataFrame) -> DataFrame:
+    """Identifications after a person's decisions: speakers against the centroids of all enrolled vectors, decisions beside.
+
+    ``profile_vectors`` are those that ``confirm`` returned; ``ranks``: profile_id, rank for ties.
+    """
+    fresh = centroids(profile_vectors).join(ranks, "profile_id")
+    return overlay_confirmed(identify(speakers, fresh), actions)
+
+
 def profile_list(profiles: DataFrame, profile_vectors: DataFrame, variants: DataFrame, identifications: DataFrame) -> DataFrame:
     """Profiles with enrolment and variant counts, last session and latest match."""
     n = profile_vectors.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n_enrolled"), F.max("session_id").alias("last_seen"))
@@ -106,10 +115,15 @@ def profile_list(profiles: DataFrame, profile_vectors: DataFrame, variants: Data
     return out.na.fill(0, ["n_enrolled", "n_variants"])
 
 
-def profile_detail(profile_vectors: DataFrame, speakers: DataFrame) -> DataFrame:
-    """Enrolments of each profile with the speaker's turn count and duration in that session."""
-    facts = speakers.select("session_id", "speaker_key", "num_segments", "total_duration")
-    return profile_vectors.select("profile_id", "session_id", "speaker_key").join(facts, ["session_id", "speaker_key"], "left")
+def profile_detail(profile_vectors: DataFrame, speakers: DataFrame, samples: DataFrame) -> DataFrame:
+    """Enrolments of each profile with the speaker's turn count, duration and sample clip in that session.
+
+    ``samples``: session_id, speaker_key, start, end of a representative turn.
+    """
+    keys = ["session_id", "speaker_key"]
+    facts = speakers.select(*keys, "num_segments", "total_duration")
+    clips = samples.select(*keys, F.col("start").alias("sample_start"), F.col("end").alias("sample_end"))
+    return profile_vectors.select("profile_id", *keys).join(facts, keys, "left").join(clips, keys, "left")
 
 
 def edit_profiles(profiles: DataFrame, edits: DataFrame) -> DataFrame:

@@ -124,6 +124,8 @@ def sort_sessions(inventory: DataFrame, by: str = "date", descending: bool = Tru
 def assemble_benchmark(parts: DataFrame, cells: Sequence[str], deny: Sequence[str]) -> DataFrame:
     """Stories of all part files in cell order, numbered s001..., with the rules each one breaks.
 
+    A story with missing keys is reported and has its number too.
+
     ``parts``: cell, pos, bucket, difficulty, world_gold, world_aliases, lines, tell_note.
     """
     text = F.lower(F.array_join("lines", " \n "))
@@ -132,17 +134,17 @@ def assemble_benchmark(parts: DataFrame, cells: Sequence[str], deny: Sequence[st
     named = F.filter(F.array(*[F.lit(d) for d in deny]).cast("array<string>"), lambda d: F.contains(text, d))
     missing = F.col("bucket").isNull() | F.col("difficulty").isNull() | F.col("world_gold").isNull() | F.col("world_aliases").isNull() \
         | F.col("lines").isNull() | F.col("tell_note").isNull()
-    errors = F.array_compact(F.array(
-        F.when(missing, "missing keys"), F.when(~F.col("bucket").isin("canon", "hybrid", "made_up"), "bad bucket"),
+    errors = F.when(missing, F.array(F.lit("missing keys"))).otherwise(F.array_compact(F.array(
+        F.when(~F.col("bucket").isin("canon", "hybrid", "made_up"), "bad bucket"),
         F.when(~F.col("difficulty").isin("obvious", "medium", "subtle"), "bad difficulty"), F.when(F.size("lines") < 6, "too few lines"),
-        F.when(made & ((gold != "") | (F.size("world_aliases") > 0)), "made_up names a world"), F.when(~made & (gold == ""), "no world")))
+        F.when(made & ((gold != "") | (F.size("world_aliases") > 0)), "made_up names a world"), F.when(~made & (gold == ""), "no world"))))
     warnings = F.array_compact(F.array(F.when(made & (F.size(named) > 0), "franchise named"),
                                        F.when(~made & F.col("difficulty").isin("medium", "subtle") & (gold != "") & F.contains(text, F.lower(gold)), "world named aloud")))
     order = F.array_position(F.array(*[F.lit(c) for c in cells]), F.col("cell"))
     # the number of a story is its place in its cell after the stories of the cells before
-    sized = parts.filter(~missing).groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", order)
+    sized = parts.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", order)
     offsets = sized.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = running_number(parts.filter(~missing), ["cell"], ["pos"], block_of("pos", 65536), "_i")
+    placed = running_number(parts, ["cell"], ["pos"], block_of("pos", 65536), "_i")
     out = placed.join(offsets.select("cell", "_off"), "cell").withColumn("id", F.format_string("s%03d", F.col("_off") + F.col("_i")))
     return out.withColumn("errors", errors).withColumn("warnings", warnings).drop("_off", "_i")
 
@@ -155,3 +157,10 @@ def key_staleness(keys: DataFrame, current: DataFrame) -> DataFrame:
     met = keys.join(current.select("session_id", "fp"), "session_id", "left")
     state = F.when(F.col("stamp").isNull(), "unstamped").when(F.col("stamp").eqNullSafe(F.col("fp")), "current").otherwise("stale")
     return met.select("session_id", state.alias("state"))
+
+
+def benchmark_counts(stories: DataFrame, expected: DataFrame) -> DataFrame:
+    """(cell, n, expected, ok): stories per cell against the number each should have; either side may lack a cell."""
+    n = stories.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    both = n.join(expected.select("cell", "expected"), "cell", "full_outer").na.fill(0, ["n", "expected"])
+    return both.withColumn("ok", F.col("n") == F.col("expected"))

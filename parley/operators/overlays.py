@@ -85,11 +85,19 @@ def rollup(flags: DataFrame, stale: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def _group_key() -> Column:
+    return (F.when(F.col("detector_id") == ROSTER, F.col("canonical")).when(F.col("detector_id") == SPELLING, F.col("cluster_id"))
+            .otherwise(F.coalesce("canonical", "cleaned")))
+
+
+def flag_spellings(flags: DataFrame) -> DataFrame:
+    """(session_id, detector_id, group_key, spelling, n): the distinct spellings of each shown group."""
+    return flags.groupBy("session_id", "detector_id", _group_key().alias("group_key"), bare("token").alias("spelling")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def flag_groups(flags: DataFrame) -> DataFrame:
     """Flags gathered as shown: roster names by person, spellings by cluster, canon names by name."""
-    key = (F.when(F.col("detector_id") == ROSTER, F.col("canonical")).when(F.col("detector_id") == SPELLING, F.col("cluster_id"))
-           .otherwise(F.coalesce("canonical", "cleaned")))
-    return flags.groupBy("session_id", "detector_id", key.alias("group_key")).agg(
+    return flags.groupBy("session_id", "detector_id", _group_key().alias("group_key")).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(bare("token")).alias("n_spellings"))
 
 

@@ -33,9 +33,10 @@ def time_block(col: str = "start") -> Column:
     return block_of(col, TIME_BLOCK)
 
 
-def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments without timings."""
-    return table(spark, sf, "conversations").select(
+def lines(spark: SparkSession, sf: str, session: int | None = None) -> DataFrame:
+    """Segments without timings; of one session only where it is named, with the filter in the scan."""
+    rows = table(spark, sf, "conversations")
+    return (rows if session is None else rows.filter(F.col("conv_id") == session)).select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("seg_pos"),
         F.col("turn").cast("string").alias("seg_id"), (F.col("role") == "system").alias("is_gap"),
         F.col("role").alias("speaker_label"), "text", F.size(_toks("text")).cast("long").alias("n_words"))

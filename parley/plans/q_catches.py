@@ -240,6 +240,18 @@ def decision_groups(spark, sf):
     return ct.group_decisions(decisions(spark, sf), S).select("session_id", "key", "action", "n_occurrences", "canonical", "how")
 
 
+@query("decision_occurrences", b.with_ctes("cwords", r"""SELECT session_id, blind_c AS key, action, seg_pos, word_index, regexp_replace(blind, '^[\s.,?!]+|[\s.,?!]+$', '', 'g') AS surface FROM dec JOIN (SELECT session_id, seg_pos, word_index, blind FROM cands) USING (session_id, seg_pos, word_index)""", **GATE_PARTS))
+def decision_occurrences(spark, sf):
+    return ct.group_occurrences(decisions(spark, sf), S, "blind_c", "blind", ["action"])
+
+
+@query("queue_sessions", b.with_ctes("cwords", """SELECT world, key, canonical, session_id, n AS n_occurrences FROM (SELECT session_id, blind_c AS key, any_value(world) AS world, count(*) AS n,
+    arg_min(canonical, (seg_pos, word_index)) AS canonical FROM dec WHERE action = 'queued' GROUP BY ALL)""", **GATE_PARTS), bigint="n_occurrences")
+def queue_sessions(spark, sf):
+    from parley.operators.corrections import queue_sessions
+    return queue_sessions(world_of(ct.group_decisions(decisions(spark, sf), S).filter("action = 'queued'")))
+
+
 @query("auto_corrections", b.with_ctes("cwords", """SELECT session_id, blind_c AS transcribed, arg_min(canonical, (seg_pos, word_index)) AS correct FROM dec WHERE action = 'auto' GROUP BY ALL""", **GATE_PARTS))
 def auto_corrections(spark, sf):
     return ct.auto_corrections(ct.group_decisions(decisions(spark, sf), S), ["first_seg", "first_word"])

@@ -111,10 +111,11 @@ def shape_changes(spark, sf):
     return co.shape_changes(w, w.filter("probability is not null"))
 
 
-@query("correction_audit", b.with_ctes("words", """SELECT session_id, seg_pos, word_index, bare AS before, correct || suf || punct AS after, 'namefix' AS stage FROM sp JOIN vmap ON lower(bare) = transcribed""", lib=LIB, vmap=VMAP, sp=SPLIT))
+@query("correction_audit", b.with_ctes("words", """SELECT session_id, seg_pos, word_index, bare AS before, correct || suf || punct AS after, 'namefix' AS stage, line FROM sp JOIN vmap ON lower(bare) = transcribed
+    JOIN (SELECT session_id, seg_pos, trim(string_agg(word, '' ORDER BY word_index)) AS line FROM app GROUP BY ALL) USING (session_id, seg_pos)""", **PARTS))
 def correction_audit(spark, sf):
     w = co.apply_corrections(b.words(spark, sf, timed=False), vmap(spark, sf).withColumn("ordinal", F.lit(0)), "namefix")
-    return co.correction_audit(w).drop("line")
+    return co.correction_audit(w)
 
 
 PEND = "SELECT 'w' || CAST(session_id AS INTEGER) % 4 AS world, c AS key, 'P' || substr(c, 1, 2) AS canonical, session_id, seg_pos, word_index FROM cwords WHERE cap AND length(c) >= 7"

@@ -109,12 +109,34 @@ def profile_list(spark, sf):
     return out.select("profile_id", "n_enrolled", "n_variants", "last_seen")
 
 
-@query("confirmed_speakers", b.with_ctes("vectors", """SELECT i.session_id, i.speaker_key, i.status, i.profile_id, a.action IS NOT NULL AND a.action <> 'skip' AS confirmed, CASE WHEN a.action <> 'skip' THEN a.profile_id END AS confirmed_profile_id
-    FROM ident i LEFT JOIN act a USING (session_id, speaker_key)""", **PARTS, act=ACT))
+@query("confirmed_speakers", b.with_ctes("vectors", """SELECT i.session_id, i.speaker_key, i.status, i.profile_id, a.action IS NOT NULL AND a.action <> 'skip' AS confirmed, CASE WHEN a.action <> 'skip' THEN a.profile_id END AS confirmed_profile_id,
+    CASE WHEN a.action <> 'skip' THEN a.action END AS action FROM ident i LEFT JOIN act a USING (session_id, speaker_key)""", **PARTS, act=ACT))
 def confirmed_speakers(spark, sf):
     return idn.overlay_confirmed(ident(spark, sf), actions(spark, sf)).drop("confidence")
 
 
+NEWCEN = "SELECT * FROM (" + MEAN.format(src="(SELECT v.profile_id, vector FROM vs v JOIN act a USING (session_id, speaker_key) WHERE action IN ('confirm', 'create') QUALIFY row_number() OVER (PARTITION BY v.profile_id, session_id ORDER BY speaker_key) = 1)") + ")"
+
+
+@query("reidentified_speakers", b.with_ctes("vectors", """SELECT i.*, a.action IS NOT NULL AND a.action <> 'skip' AS confirmed, CASE WHEN a.action <> 'skip' THEN a.action END AS action
+    FROM ident i LEFT JOIN act a USING (session_id, speaker_key)""", vs=VEC, act=ACT, cen=NEWCEN, best=BEST, ident=IDENT))
+def reidentified_speakers(spark, sf):
+    v = vs(spark, sf)
+    none = v.filter("false")
+    enrolled, _ = idn.confirm(actions(spark, sf), v, none, none)
+    ranks = v.select("profile_id", F.col("profile_id").cast("int").alias("rank")).distinct()
+    return idn.reidentify(v, enrolled, ranks, actions(spark, sf)).drop("confirmed_profile_id")
+
+
+@query("profile_detail", b.with_ctes("vectors", """SELECT e.profile_id, e.session_id, e.speaker_key, vec_id % 5 AS num_segments, vec_id * 3 AS total_duration, vec_id * 7 AS sample_start, vec_id * 7 + 4 AS sample_end
+    FROM enr e JOIN vs v USING (session_id, speaker_key)""", vs=VEC, enr=ENROLLED))
+def profile_detail(spark, sf):
+    v, i = vs(spark, sf), F.col("vec_id")
+    facts = v.select(*K, (i % 5).alias("num_segments"), (i * 3).alias("total_duration"))
+    samples = v.select(*K, (i * 7).alias("start"), (i * 7 + 4).alias("end"))
+    return idn.profile_detail(idn.enrol(v.filter("false"), v), facts, samples)
+
+
 @query("deleted_profiles", b.with_ctes("vectors", """SELECT session_id, speaker_key, CASE WHEN CAST(profile_id AS INTEGER) < 3 THEN 'unknown' ELSE status END AS status, CASE WHEN CAST(profile_id AS INTEGER) >= 3 THEN profile_id END AS profile_id FROM ident""", **PARTS))
 def deleted_profiles(spark, sf):
     p = profiles(spark, sf)
@@ -122,10 +144,10 @@ def deleted_profiles(spark, sf):
     return cleared.select(*K, "status", "profile_id")
 
 
-@query("removed_enrolments", b.with_ctes("vectors", "SELECT profile_id, count(*) AS n FROM vs WHERE CAST(session_id AS INTEGER) >= 5 GROUP BY ALL", vs=VEC))
+@query("removed_enrolments", b.with_ctes("vectors", "SELECT profile_id, session_id, speaker_key FROM vs WHERE CAST(session_id AS INTEGER) >= 5", vs=VEC))
 def removed_enrolments(spark, sf):
     v = vs(spark, sf)
-    return idn.remove_enrolments(v, v.filter("cast(session_id as int) < 5")).groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"))
+    return idn.remove_enrolments(v, v.filter("cast(session_id as int) < 5")).select("profile_id", *K)
 
 
 @query("edited_profiles", b.with_ctes("vectors", """SELECT coalesce(p.profile_id, e.profile_id) AS profile_id, coalesce(e.name, p.name) AS name, coalesce(p.role, 'guest') AS role FROM (SELECT DISTINCT profile_id, 'P' || profile_id AS name, 'child' AS role FROM vectors) p

@@ -114,12 +114,21 @@ def sorted_sessions(spark, sf):
     return inc.sort_sessions(e.agg(F.count(F.lit(1)).alias("note_count")), "notes")
 
 
-@query("benchmark_assembly", """SELECT printf('s%03d', CAST(row_number() OVER (ORDER BY list_position(['fr', 'en', 'es', 'de'], lang), doc_id) AS INTEGER)) AS id, lang AS cell, array_to_string(list_filter([
-      CASE WHEN n < 6 THEN 'too few lines' END, CASE WHEN made AND src <> '' THEN 'made_up names a world' END, CASE WHEN NOT made AND src = '' THEN 'no world' END], lambda x: x IS NOT NULL), ',') AS errors,
+@query("benchmark_assembly", """SELECT printf('s%03d', CAST(row_number() OVER (ORDER BY list_position(['fr', 'en', 'es', 'de'], lang), doc_id) AS INTEGER)) AS id, lang AS cell, CASE WHEN doc_id % 11 = 0 THEN 'missing keys' ELSE array_to_string(list_filter([
+      CASE WHEN n < 6 THEN 'too few lines' END, CASE WHEN made AND src <> '' THEN 'made_up names a world' END, CASE WHEN NOT made AND src = '' THEN 'no world' END], lambda x: x IS NOT NULL), ',') END AS errors,
     CASE WHEN made AND contains(lower(text), 'tion the') THEN 'franchise named' ELSE '' END AS warnings FROM (SELECT *, len(string_split(text, chr(10))) AS n, doc_id % 3 = 0 AS made, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS src FROM documents)""")
 def benchmark_assembly(spark, sf):
+    return assembled(spark, sf).select("id", "cell", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("benchmark_counts", """SELECT lang AS cell, count(*) AS n, CASE WHEN lang = 'en' THEN 620 ELSE 0 END AS expected, count(*) = CASE WHEN lang = 'en' THEN 620 ELSE 0 END AS ok FROM documents GROUP BY lang
+    UNION ALL SELECT 'it', 0, 5, false""")
+def benchmark_counts(spark, sf):
+    return inc.benchmark_counts(assembled(spark, sf), spark.createDataFrame([("en", 620), ("it", 5)], "cell string, expected long"))
+
+
+def assembled(spark, sf):
     d = b.table(spark, sf, "documents")
-    parts = d.select(F.col("lang").alias("cell"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 3 == 0, "made_up").otherwise("canon").alias("bucket"), F.lit("obvious").alias("difficulty"),
+    parts = d.select(F.col("lang").alias("cell"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 3 == 0, "made_up").otherwise("canon").alias("bucket"), F.when(F.col("doc_id") % 11 > 0, "obvious").alias("difficulty"),
                      F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("world_gold"), F.array().cast("array<string>").alias("world_aliases"), F.split("text", "\n").alias("lines"), F.lit("").alias("tell_note"))
-    a = inc.assemble_benchmark(parts, ["fr", "en", "es", "de"], ["tion the"])
-    return a.select("id", "cell", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+    return inc.assemble_benchmark(parts, ["fr", "en", "es", "de"], ["tion the"])

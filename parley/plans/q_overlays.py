@@ -91,6 +91,11 @@ def flag_groups(spark, sf):
     return ov.flag_groups(ov.overlaid(flags(spark, sf), verdicts(spark, sf)))
 
 
+@query("flag_spellings", sql("""SELECT session_id, detector_id, CASE detector_id WHEN 'm9b' THEN cluster_id ELSE canonical END AS group_key, token AS spelling, count(*) AS n FROM shown GROUP BY ALL"""))
+def flag_spellings(spark, sf):
+    return ov.flag_spellings(ov.overlaid(flags(spark, sf), verdicts(spark, sf)))
+
+
 @query("toggled_verdicts", sql(r"""SELECT * FROM (SELECT * FROM verd EXCEPT SELECT * FROM sent UNION ALL (SELECT * FROM sent EXCEPT SELECT * FROM verd))""").replace("shown AS", r"""sent AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS session_id,
     'correct' AS type, CAST(NULL AS VARCHAR) AS name, 'k' || regexp_extract(props, '(\d+)', 1) AS cleaned FROM events WHERE event_type = 'view'), shown AS"""))
 def toggled_verdicts(spark, sf):

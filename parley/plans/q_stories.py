@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from parley.operators import names as nm
 from parley.operators import stories as st
 from parley.plans import bindings as b
 from parley.plans.catalog import query
@@ -162,3 +163,19 @@ def story_labels(spark, sf):
                     F.when((n % 4 == 0) & (F.col("session_id").cast("int") % 2 == 0), F.concat(F.lit("T"), n.cast("string"))).alias("title"),
                     F.when(n % 3 == 0, F.concat(F.lit("W"), (n % 5).cast("string"))).alias("world"))
     return st.story_labels(made)
+
+
+@query("story_names", b.with_ctes("cwords", """SELECT session_id, story_idx, name, row_number() OVER (PARTITION BY session_id, story_idx ORDER BY name) AS rank FROM (SELECT DISTINCT g.session_id, g.story_idx, c AS name FROM
+    (SELECT g.session_id, g.seg_pos, max(story_idx) AS story_idx FROM segments g JOIN sto s ON g.session_id = s.session_id AND g.seg_pos BETWEEN s.start_pos AND s.end_pos GROUP BY ALL) g
+    JOIN cwords w ON w.session_id = g.session_id AND w.seg_pos = g.seg_pos WHERE cap)""", **U, sto=STORIES))
+def story_names(spark, sf):
+    tagged = st.tag_stories(b.lines(spark, sf), stories(spark, sf), 64)
+    names = nm.cleaned(b.words(spark, sf, timed=False)).filter("cap").select("session_id", "seg_pos", F.col("c").alias("surface"))
+    return st.story_names(tagged, names)
+
+
+@query("region_samples", b.with_ctes("segments", """SELECT session_id, start_pos, end_pos, seg_pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id, start_pos, end_pos ORDER BY seg_pos) AS i,
+    count(*) OVER (PARTITION BY session_id, start_pos, end_pos) AS n FROM lines WHERE trim(text) <> '') WHERE n <= 3 OR i = 1 OR i = n OR i - 1 = n // 2""", **U))
+def region_samples(spark, sf):
+    lines = st.region_text(b.lines(spark, sf), distinct_regions(spark, sf), 64)
+    return st.head_mid_tail(lines, 1, 1, 1).select("session_id", "start_pos", "end_pos", "seg_pos")

@@ -64,24 +64,23 @@ def duplicate_segments_folded(spark, sf):
     return d.select(F.col("seg_pos").alias("doc_id"), F.col("session_id").alias("source"))
 
 
-@query("filter_reasons", f"""WITH s AS (SELECT user_id, date_trunc('hour', ts) AS hr, count(*) AS n, bool_or(event_type = 'error') AS sil,
-      bool_or(value < 5) AS nz FROM events GROUP BY ALL) SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(epoch(hr) - 1704067200 AS BIGINT) // 3600 AS seg_pos,
-      CASE WHEN sil AND nz THEN 'near-zero,silence-gap' WHEN sil THEN 'silence-gap' ELSE 'near-zero' END AS reasons
-      FROM s WHERE n = 1 AND (sil OR nz)""")
+REASONS = """SELECT session_id, seg_pos, array_to_string(list_filter([CASE WHEN seg_pos % 7 = 0 THEN 'duplicate' END, CASE WHEN n = 1 AND nz THEN 'near-zero' END, CASE WHEN n = 1 AND sil THEN 'silence-gap' END], lambda x: x IS NOT NULL), ',') AS reasons
+    FROM (SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(epoch(date_trunc('hour', ts)) - 1704067200 AS BIGINT) // 3600 AS seg_pos, count(*) AS n, bool_or(event_type = 'error') AS sil, bool_or(value < 5) AS nz FROM events GROUP BY ALL)
+    WHERE seg_pos % 7 = 0 OR n = 1 AND (sil OR nz)"""
+
+
+@query("filter_reasons", REASONS)
 def filter_reasons(spark, sf):
     e = b.timed_words(spark, sf)
     value = b.table(spark, sf, "events").select("event_id", "value")
     w = e.join(value, "event_id").select(
         "session_id", F.floor(F.col("start") / 3_600_000_000).alias("seg_pos"), "speaker_label",
         F.when(F.col("speaker_label").isNull(), 0.0).otherwise(1.0).alias("coverage"), (F.col("value") / 500).alias("probability"))
-    none = b.segments(spark, sf).select(*SEG).filter(F.lit(False))
-    r = fl.filter_reasons(w, none)
+    r = fl.filter_reasons(w, w.filter("seg_pos % 7 = 0").select(*SEG).distinct())
     return r.select(*SEG, F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
 
 
-@query("reason_counts", """WITH s AS (SELECT user_id, date_trunc('hour', ts) AS hr, count(*) AS n, bool_or(event_type = 'error') AS sil,
-      bool_or(value < 5) AS nz FROM events GROUP BY ALL) SELECT 'silence-gap' AS reason, count(*) AS n FROM s WHERE n = 1 AND sil
-      UNION ALL SELECT 'near-zero', count(*) FROM s WHERE n = 1 AND nz""")
+@query("reason_counts", f"SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS reason FROM ({REASONS})) GROUP BY reason")
 def reason_counts(spark, sf):
     r = filter_reasons(spark, sf)
     return r.select(F.explode(F.split("reasons", ",")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,7 @@ from parley.operators import catches as ct
 from parley.operators import names as nm
 from parley.operators import speakers
 from parley.operators import stories as st
+from parley.operators.scans import running_number
 from parley.plans import bindings as b
 from parley.plans import q_catches as qc
 from parley.plans import q_names as qn
@@ -83,12 +84,14 @@ def retagged_stories(spark, sf):
     return st.retag_stories(tagged, qs.stories(spark, sf), 64).select("session_id", "seg_pos", "story_idx")
 
 
-@query("injected_segments", b.with_ctes("timed_words", """SELECT session_id, count(*) AS n, count(*) FILTER (gap) AS n_gaps FROM (SELECT session_id, false AS gap FROM timed_words UNION ALL SELECT session_id, true FROM timed_words WHERE speaker_label IS NULL) GROUP BY session_id"""))
+@query("injected_segments", b.with_ctes("timed_words", """SELECT session_id, start_us, event_id, source, row_number() OVER (PARTITION BY session_id ORDER BY start_us, r, event_id) AS place FROM (
+    SELECT session_id, "start" AS start_us, event_id, NULL AS source, 0 AS r FROM timed_words UNION ALL SELECT session_id, "start", NULL, 'diarization_gap', 1 FROM timed_words WHERE speaker_label IS NULL)"""))
 def injected_segments(spark, sf):
     w = b.timed_words(spark, sf)
     gaps = w.filter("speaker_label is null").select("session_id", "start", "end", F.lit("diarization_gap").alias("source"))
     both = speakers.inject_gaps(w, gaps)
-    return both.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count("source").alias("n_gaps"))
+    placed = running_number(both.withColumn("_e", F.coalesce("event_id", F.lit(2**62))), ["session_id"], ["start", "sort_rank", "_e"], b.time_block(), "place")
+    return placed.select("session_id", F.col("start").alias("start_us"), "event_id", "source", "place")
 
 
 @query("speaker_displays", b.with_ctes("vectors", """SELECT speaker_key, profile_id, CAST(min(vec_id % 100) OVER (PARTITION BY grp) AS INTEGER) AS number, CAST(min(vec_id % 100) OVER (PARTITION BY grp) % 5 AS INTEGER) AS color, 'Speaker ' || vec_id % 100 AS display, session_id FROM
@@ -109,7 +112,7 @@ def transcript_lines(spark, sf):
 
 @query("session_rows", b.with_ctes("segments", "SELECT seg_pos, speaker_label, n_words FROM segments WHERE session_id = '7'"))
 def session_rows(spark, sf):
-    return b.lines(spark, sf).filter("session_id = '7'").select("seg_pos", "speaker_label", "n_words")
+    return b.lines(spark, sf, session=7).select("seg_pos", "speaker_label", "n_words")
 
 
 @query("world_answers", r"""SELECT page_id, CASE WHEN lower(trim(w)) IN ('', 'original', 'made up', 'made-up', 'none', 'unknown', 'n/a') THEN '' ELSE w END AS world FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN ' Original' WHEN 1 THEN 'n/a' ELSE url END AS w FROM pages)""")
