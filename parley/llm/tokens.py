@@ -8,7 +8,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 #: Characters whose class, case and normal form no Unicode version changes; other words go the long way.
 PLAIN = regex.compile(r"[!-~¡-ɏ]+")
 
