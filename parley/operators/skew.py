@@ -5,16 +5,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPREAD = 8
-
 
 def keyed_lookup(big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str],
-                 how: str = "inner", spread: int = SPREAD) -> DataFrame:
-    """Join occurrences to a per-key table with every key spread over ``spread`` tasks.
+                 how: str = "inner", spread: int | None = None) -> DataFrame:
+    """Join occurrences to a per-key table.
 
-    The salt is a hash of row identity, so a retried task salts the same way. The small side is
-    repeated ``spread`` times; Spark still broadcasts it when its measured size allows.
+    By default a plain join: Spark broadcasts the small side when its measured size allows, and
+    otherwise cuts partitions that it measures as skewed into as many tasks as they need. With
+    ``spread`` every key is spread over that many tasks beforehand, for plans where Spark can't cut
+    (a grouping by the same key right behind): the salt is a hash of row identity (``salt_by``), so
+    a retried task salts the same way, and the small side is repeated ``spread`` times.
     """
+    if spread is None:
+        return big.join(small, list(on), how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(spread)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -42,17 +42,17 @@ def boundary_zones(candidates: DataFrame, block: int, max_gap: int = 3) -> DataF
         F.array_sort(F.collect_set("signal")).alias("signals"))
 
 
-def zone_windows(found: DataFrame, lengths: DataFrame) -> DataFrame:
+def zone_windows(found: DataFrame, lengths: DataFrame, most: int = MAX_WINDOW, head: int = HEAD, tail: int = TAIL) -> DataFrame:
     """Line positions shown for a zone: three each side, the middle left out when too long."""
     sized = keyed_lookup(found, lengths, S, ["session_id", "zone"])
     lo = F.greatest(F.col("first_pos") - CONTEXT, F.lit(0))
     hi = F.least(F.col("last_pos") + CONTEXT, F.col("n_lines") - 1)
     n = hi - lo + 1
-    shown = F.when(n <= MAX_WINDOW, F.sequence(lo, hi)).otherwise(
-        F.concat(F.sequence(lo, lo + HEAD - 1), F.sequence(hi - TAIL + 1, hi)))
-    return sized.select("session_id", "zone", F.greatest(n - MAX_WINDOW, F.lit(0)).alias("_over"),
+    shown = F.when(n <= most, F.sequence(lo, hi)).otherwise(
+        F.concat(F.sequence(lo, lo + head - 1), F.sequence(hi - tail + 1, hi)))
+    return sized.select("session_id", "zone", F.greatest(n - most, F.lit(0)).alias("_over"),
                         F.explode(shown).alias("seg_pos"), lo.alias("_lo")).withColumn(
-        "after_elision", (F.col("_over") > 0) & (F.col("seg_pos") - F.col("_lo") >= HEAD)).drop("_over", "_lo")
+        "after_elision", (F.col("_over") > 0) & (F.col("seg_pos") - F.col("_lo") >= head)).drop("_over", "_lo")
 
 
 def assemble_stories(events: DataFrame, lengths: DataFrame, block: int) -> DataFrame:

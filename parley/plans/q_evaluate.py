@@ -183,9 +183,13 @@ def planted_recall(spark, sf):
 
 
 ASKEY = """SELECT session_id, note_id, "at", 'ka' || substr('bcdfghjklm', CAST(note_id % 10 AS INTEGER) + 1, 1) || substr('aeiou', CAST(note_id % 5 AS INTEGER) + 1, 1) AS answer FROM notes"""
-ASWORD = """SELECT session_id, event_id AS word_id, "start", 'ka' || substr('bcdfghjklm', CAST(event_id % 7 AS INTEGER) + 1, 1) || substr('aeiou', CAST(event_id % 3 AS INTEGER) + 1, 1) AS c FROM timed_words"""
-KEYED = f"""SELECT session_id, note_id, answer, CASE WHEN answer = 'kaba' THEN 'unknowable' WHEN bool_or(answer = c) THEN 'exact' WHEN bool_or({b.skeleton_sql('answer')}[1] = {b.skeleton_sql('c')}[1]) THEN 'dm' ELSE 'miss' END AS match FROM (
-    SELECT k.*, w.c FROM askey k JOIN asword w ON k.session_id = w.session_id AND w."start" BETWEEN k."at" - 7200000000 AND k."at" + 7200000000) GROUP BY session_id, note_id, answer"""
+ASWORD = """SELECT session_id, event_id AS word_id, "start", 'ka' || substr('bcdfghjklm', CAST(event_id % 7 AS INTEGER) + 1, 1) || substr('aeiou', CAST(event_id % 3 AS INTEGER) + 1, 1) AS c FROM timed_words WHERE speaker_label IS NOT NULL"""
+# notes are no words themselves, so many have none within two hours and go to the nearest one
+MET = """SELECT k.session_id, note_id, answer, w.c FROM askey k JOIN asword w ON k.session_id = w.session_id AND w."start" BETWEEN k."at" - 7200000000 AND k."at" + 7200000000"""
+NEAREST = """SELECT k.session_id, k.note_id, k.answer, (SELECT c FROM asword w WHERE w.session_id = k.session_id ORDER BY abs(w."start" - k."at"), w."start" LIMIT 1) AS c
+    FROM askey k WHERE NOT EXISTS (SELECT 1 FROM met m WHERE m.session_id = k.session_id AND m.note_id = k.note_id)"""
+KEYED = f"""SELECT session_id, note_id, answer, CASE WHEN answer = 'kaba' THEN 'unknowable' WHEN bool_or(answer = c) THEN 'exact' WHEN bool_or({b.skeleton_sql('answer')}[1] = {b.skeleton_sql('c')}[1]) THEN 'dm' ELSE 'miss' END AS match
+    FROM (SELECT * FROM met UNION ALL SELECT * FROM nearest) GROUP BY session_id, note_id, answer"""
 
 
 def key_sides(spark, sf):
@@ -193,18 +197,18 @@ def key_sides(spark, sf):
     def made(i, a, c):
         return F.concat(F.lit("ka"), F.lit("bcdfghjklm").substr((i % a + 1).cast("int"), F.lit(1)), F.lit("aeiou").substr((i % c + 1).cast("int"), F.lit(1)))
     key = b.notes(spark, sf).select("session_id", "note_id", "at", made(i, 10, 5).alias("answer"))
-    words = b.timed_words(spark, sf).select("session_id", F.col("event_id").alias("word_id"), "start", made(F.col("event_id"), 7, 3).alias("word"))
+    words = b.timed_words(spark, sf).filter("speaker_label is not null").select("session_id", F.col("event_id").alias("word_id"), "start", made(F.col("event_id"), 7, 3).alias("word"))
     return key, words
 
 
-@query("key_scores", b.with_ctes("notes", "SELECT * FROM keyed", askey=ASKEY, asword=ASWORD, keyed=KEYED))
+@query("key_scores", b.with_ctes("notes", "SELECT * FROM keyed", askey=ASKEY, asword=ASWORD, met=MET, nearest=NEAREST, keyed=KEYED))
 def key_scores(spark, sf):
     key, words = key_sides(spark, sf)
     return ev.key_scores(key, words, ph.skeleton_codes, 7_200_000_000, b.BUCKET, b.TIME_BLOCK, ["kaba"])
 
 
 @query("key_summary", b.with_ctes("notes", """SELECT session_id, count(*) FILTER (match = 'exact') AS exact, count(*) FILTER (match = 'dm') AS dm, count(*) FILTER (match = 'miss') AS miss, count(*) FILTER (match = 'unknowable') AS unknowable,
-    round(coalesce(count(*) FILTER (match IN ('exact', 'dm')) / nullif(count(*) FILTER (match <> 'unknowable'), 0), 0), 3) AS recall FROM keyed GROUP BY session_id""", askey=ASKEY, asword=ASWORD, keyed=KEYED))
+    round(coalesce(count(*) FILTER (match IN ('exact', 'dm')) / nullif(count(*) FILTER (match <> 'unknowable'), 0), 0), 3) AS recall FROM keyed GROUP BY session_id""", askey=ASKEY, asword=ASWORD, met=MET, nearest=NEAREST, keyed=KEYED))
 def key_summary(spark, sf):
     key, words = key_sides(spark, sf)
     return ev.key_summary(ev.key_scores(key, words, ph.skeleton_codes, 7_200_000_000, b.BUCKET, b.TIME_BLOCK, ["kaba"]))

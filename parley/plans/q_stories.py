@@ -41,11 +41,17 @@ def boundary_zones(spark, sf):
     return st.boundary_zones(candidates(spark, sf), b.SEGMENT_BLOCK, 1).withColumn("signals", F.array_join("signals", "|"))
 
 
-@query("zone_windows", b.with_ctes("segments", """SELECT session_id, zone, unnest(range(greatest(first_pos - 3, 0), least(last_pos + 3, n - 1) + 1)) AS seg_pos FROM zones
-    JOIN (SELECT session_id, count(*) AS n FROM segments GROUP BY session_id) USING (session_id)""", **PARTS), bigint="zone")
+# lines of the sessions are few, so windows stop at five lines here: three first, one last
+WINDOWS = """SELECT *, CAST(n_shown > 5 AND seg_pos = hi AS BOOLEAN) AS after_elision FROM (SELECT session_id, zone, lo, hi, hi - lo + 1 AS n_shown, unnest(range(lo, hi + 1)) AS seg_pos
+    FROM (SELECT session_id, zone, greatest(first_pos - 3, 0) AS lo, least(last_pos + 3, n - 1) AS hi FROM zones JOIN (SELECT session_id, count(*) AS n FROM segments GROUP BY session_id) USING (session_id)))
+    WHERE n_shown <= 5 OR seg_pos < lo + 3 OR seg_pos = hi"""
+SHORT = dict(most=5, head=3, tail=1)
+
+
+@query("zone_windows", b.with_ctes("segments", "SELECT session_id, zone, seg_pos, after_elision FROM wins", **PARTS, wins=WINDOWS), bigint="zone")
 def zone_windows(spark, sf):
     z = st.boundary_zones(candidates(spark, sf), b.SEGMENT_BLOCK, 1)
-    return st.zone_windows(z, lengths(spark, sf)).select("session_id", "zone", "seg_pos")
+    return st.zone_windows(z, lengths(spark, sf), **SHORT).select("session_id", "zone", "seg_pos", "after_elision")
 
 
 EVENTS = """SELECT session_id, seg_pos // 3 AS zone, CAST(greatest(seg_pos - n_words % 4, 0) AS BIGINT) AS pos, CASE n_words % 3 WHEN 0 THEN 'start' ELSE 'end' END AS kind

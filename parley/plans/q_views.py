@@ -22,13 +22,14 @@ from parley.plans.catalog import query
 S = ["session_id"]
 
 
-@query("window_texts", b.with_ctes("segments", r"""SELECT w.session_id, zone, string_agg('[' || g.seg_id || '] "' || trim(text) || '"' || CASE WHEN len(signals) > 0 THEN '   (signals: ' || array_to_string(list_sort(signals), ', ') || ')' ELSE '' END, chr(10) ORDER BY w.seg_pos) AS text
-    FROM (SELECT session_id, zone, unnest(range(greatest(first_pos - 3, 0), least(last_pos + 3, n - 1) + 1)) AS seg_pos FROM zones JOIN (SELECT session_id, count(*) AS n FROM segments GROUP BY session_id) USING (session_id)) w
-    JOIN segments g ON g.session_id = w.session_id AND g.seg_pos = w.seg_pos JOIN cand c ON c.session_id = w.session_id AND c.pos = w.seg_pos GROUP BY ALL""", **qs.PARTS), bigint="zone")
+@query("window_texts", b.with_ctes("segments", r"""SELECT session_id, zone, string_agg(line, chr(10) ORDER BY place) AS text FROM (
+    SELECT w.session_id, zone, CAST(w.seg_pos AS DOUBLE) AS place, '[' || g.seg_id || '] "' || trim(text) || '"' || CASE WHEN len(signals) > 0 THEN '   (signals: ' || array_to_string(list_sort(signals), ', ') || ')' ELSE '' END AS line
+    FROM wins w JOIN segments g ON g.session_id = w.session_id AND g.seg_pos = w.seg_pos JOIN cand c ON c.session_id = w.session_id AND c.pos = w.seg_pos
+    UNION ALL SELECT session_id, zone, lo + 2.5, '   ... [' || (n_shown - 4) || ' lines omitted] ...' FROM wins WHERE after_elision) GROUP BY ALL""", **qs.PARTS, wins=qs.WINDOWS), bigint="zone")
 def window_texts(spark, sf):
     from parley.session import materialize
     c = materialize(qs.candidates(spark, sf))
-    w = st.zone_windows(st.boundary_zones(c, b.SEGMENT_BLOCK, 1), qs.lengths(spark, sf))
+    w = st.zone_windows(st.boundary_zones(c, b.SEGMENT_BLOCK, 1), qs.lengths(spark, sf), **qs.SHORT)
     return render.window_texts(w, b.lines(spark, sf), c)
 
 
