@@ -57,7 +57,7 @@ class Packer:
         for start in range(0, cut, self.window):
             self._emit([(doc, start, ids[start:start + self.window], len(ids))])
         if cut < len(ids):
-            self._keep((doc, cut, ids[cut:], len(ids)))
+            self._keep((doc, cut, ids[cut:].copy(), len(ids)))  # a copy: the pool must not hold whole documents
 
     def _keep(self, piece) -> None:
         self.pool[len(piece[2])].append(piece)
