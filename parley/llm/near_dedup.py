@@ -14,7 +14,7 @@ from parley.session import staged
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 30, 6
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES, POSTINGS = 512, 500_000, 4_000_000
 HASH_BYTES = 6
 NO_ID = -(2**63)
 SIGMA, STEP = np.uint64(0x5851F42D4C957F2D), 256
@@ -82,20 +82,20 @@ def _sign(bands: int, rows: int):
 
 
 def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, g, c, set): the text replaced by the ``HASH_BYTES`` low bytes of each shingle hash."""
+    """(k, g, blocks, set): the text replaced by the ``HASH_BYTES`` low bytes of each shingle hash."""
     for batch in batches:
         sets = [s for _, _, words in chunks(batch.column(3), fold=True) for s in shingle_sets(words)]
         packed = [s.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes() for s in sets]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["k", "g", "c", "set"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["k", "g", "blocks", "set"])
 
 
-def _tasks(sets: DataFrame, block: int) -> DataFrame:
+def _tasks(sets: DataFrame) -> DataFrame:
     """(task, side, k, set): one row per task that a set takes part in.
 
-    A group of up to ``block`` documents is one task. A larger one is cut into blocks by hash of
-    the id; a set goes to the tasks of its block with every block, on side 0 as the lesser block.
+    A group of one block is one task. A larger one is cut into its blocks by hash of the id; a set
+    goes to the tasks of its block with every block, on side 0 as the lesser block.
     """
-    many = F.ceil(F.col("c") / F.lit(block)).cast("int")
+    many = F.col("blocks")
     own = F.pmod(F.xxhash64("k"), many).cast("int")
     dealt = sets.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), many - 1)))
     task = F.concat_ws(":", "g", F.least("i", "j"), F.greatest("i", "j"))
@@ -135,9 +135,11 @@ def link_group(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nda
     links = []
     for i in range(len(left)):
         ids = mine[ends[i] - sizes[i]:ends[i]]
-        low, span = edge[ids], edge[ids + 1] - edge[ids]
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-        common = np.bincount(owner[at], minlength=len(docs))
+        common = np.zeros(len(docs), np.int64)
+        for part in np.array_split(ids, 1 + len(ids) * len(docs) // POSTINGS):
+            low, span = edge[part], edge[part + 1] - edge[part]
+            at = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
+            common += np.bincount(owner[at], minlength=len(docs))
         first = len(left) if right is not None else i + 1
         near = first + np.flatnonzero(100 * common[first:] >= percent * (sizes[i] + sizes[first:] - common[first:]))
         for j in near:
@@ -187,8 +189,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
        shares no band with probability (1 - 0.85 ** 6) ** 30, below 1e-6.
     3. A bucket links each member to its least member: as many edges as members, never pairs.
        Components of these edges are candidate groups; every pair that shares a band is inside one.
-    4. Groups are compared on whole sets: in one task up to ``block`` documents, larger groups
-       as blocks, each pair of blocks being a task of its own. Tasks return at most one link per document they hold.
+    4. Groups are compared on whole sets: in one task up to ``block`` documents and
+       ``BLOCK_SHINGLES`` shingles, larger groups as blocks of about that size, each pair of
+       blocks being a task of its own. Tasks return at most one link per document they hold.
     5. Components of the confirmed links give the classes.
 
     Sets are compared as 48-bit hashes. Null, empty and blank texts have an empty set and no link;
@@ -206,11 +209,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     edges = members.join(least, "b").filter("k <> a").select("a", F.col("k").alias("b")).distinct()
     groups = components(edges).withColumnRenamed("node", "k").withColumnRenamed("root", "g")
 
-    counts = groups.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    sizes = classes.groupBy(F.col("lead").alias("k")).agg(F.max("n").alias("n"))
+    counts = groups.join(sizes, "k").groupBy("g").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     # texts move once, by id, whatever the number of grouped documents
-    sets = staged(texts.join(groups.join(counts, "g").hint("merge"), "k").select("k", "g", "c", "text")
-                  .mapInArrow(_packed_sets, "k long, g long, c long, set binary"))
-    links = _tasks(sets, block).repartition("task").sortWithinPartitions("task").mapInArrow(
+    sets = staged(texts.join(groups.join(counts, "g").hint("merge"), "k").select("k", "g", "blocks", "text")
+                  .mapInArrow(_packed_sets, "k long, g long, blocks int, set binary"))
+    links = _tasks(sets).repartition("task").sortWithinPartitions("task").mapInArrow(
         _link_rows(percent), "a long, b long")
     roots = components(links.distinct()).withColumnRenamed("node", "lead")
     named = classes.join(roots, "lead", "left").select("x", "y", "n", F.coalesce("root", "lead").alias("root"))
