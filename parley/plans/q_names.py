@@ -1,5 +1,7 @@
 """Queries over names. The phonetic key is the consonant skeleton, which SQL can state too."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from parley.functions import phonetic as ph
@@ -150,6 +152,39 @@ def name_cards(spark, sf):
     return cards_of(spark, sf)[1]
 
 
+STORY = ["session_id", "story_idx"]
+
+
+def story_words(spark, sf):
+    """Words of stories of three lines; every seventh line is outside all stories."""
+    w = b.words(spark, sf, timed=False).filter(F.col("seg_pos") % 7 < 6)
+    return w.withColumn("story_idx", F.floor(F.col("seg_pos") / 3).cast("int"))
+
+
+def per_story(sql):
+    """The same SQL with each story as a session of its own."""
+    renamed = re.sub(r"(?<![a-z_])words AS \(", "all_words AS (", sql, count=1)
+    own = "words AS (SELECT * REPLACE (session_id || '#' || seg_pos // 3 AS session_id) FROM all_words WHERE seg_pos % 7 < 6),\ncwords AS ("
+    return renamed.replace("cwords AS (", own, 1)
+
+
+def story_key(df):
+    return df.withColumn("session_id", F.concat_ws("#", *STORY)).drop("story_idx")
+
+
+@query("story_name_cards", per_story(b.with_ctes("cwords", "SELECT * FROM cards", **CARDS)))
+def story_name_cards(spark, sf):
+    return story_key(nm.name_cards(story_words(spark, sf), STORY, common_words(spark, sf), codes=ph.skeleton_codes)[0])
+
+
+@query("story_card_occurrences", per_story(b.with_ctes("cwords", """SELECT w.session_id, seg_pos, word_index, card_key, false AS is_phrase, word AS token FROM iw w JOIN mem m ON w.session_id = m.session_id AND w.c = m.c
+    UNION ALL SELECT w.session_id, seg_pos, word_index, w.c || ' ' || w.c2, true, word || ' ' || word2 FROM iw w JOIN phr p ON w.session_id = p.session_id AND w.c = p.c AND w.c2 = p.c2""", **CARDS)))
+def story_card_occurrences(spark, sf):
+    w = story_words(spark, sf)
+    _, members = nm.name_cards(w, STORY, common_words(spark, sf), codes=ph.skeleton_codes)
+    return story_key(nm.card_occurrences(w, members, STORY).drop("c"))
+
+
 @query("card_occurrences", b.with_ctes("cwords", """SELECT w.session_id, seg_pos, word_index, card_key, false AS is_phrase, word AS token FROM iw w JOIN mem m ON w.session_id = m.session_id AND w.c = m.c
     UNION ALL SELECT w.session_id, seg_pos, word_index, w.c || ' ' || w.c2, true, word || ' ' || word2 FROM iw w JOIN phr p ON w.session_id = p.session_id AND w.c = p.c AND w.c2 = p.c2""", **CARDS))
 def card_occurrences(spark, sf):
