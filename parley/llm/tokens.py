@@ -1,6 +1,8 @@
 """Token ids of whole texts by a tokenizer file, with one encoding per distinct word."""
 
 import json
+import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -8,7 +10,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 #: Characters whose class, case and normal form no Unicode version changes; other words go the long way.
 PLAIN = regex.compile(r"[!-~¡-ɏ]+")
 
@@ -24,16 +26,37 @@ class TextEncoder:
         return [np.asarray(g.ids, dtype="<u4").tobytes() for g in got]
 
 
+class _Store(dict):
+    """Encoded words in two generations: a full one becomes the old one, and words still in use move on."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder(TextEncoder):
     """The same ids for tokenizers that drop white space and never join what it parts.
 
-    Each distinct word is encoded once per worker (the store is emptied when it is full). Plain
-    words of a word-end vocabulary go through its merge ranks; anything else through the tokenizer.
+    Each distinct word is encoded once per worker while it is in the store, which holds at most
+    two times ``CACHED_WORDS`` and one text's words. Plain words of a word-end vocabulary go
+    through its merge ranks; anything else through the tokenizer.
     """
 
     def __init__(self, tokenizer: Tokenizer, model: dict, pieces: str):
         super().__init__(tokenizer)
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Store(self._word)
         self.pieces = regex.compile(pieces)
         letters = {c: b for b, c in _byte_letters().items()}
         end = model["model"]["end_of_word_suffix"]
@@ -46,28 +69,27 @@ class WordEncoder(TextEncoder):
                 ranks[bytes(letters[c] for c in body) + (b"\xff" if whole else b"")] = i
         self.ranks = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.ranks._encode_single_piece(piece.encode() + b"\xff")
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _word(self, word: bytes) -> bytes:
+        """Plain words are lower-cased and cut into pieces, each of which is a word of its own in the store."""
         text = word.decode()
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            ids = [i for p in self.pieces.findall(text.lower())
-                   for i in self.ranks._encode_single_piece(p.encode() + b"\xff")]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+        if (text.isascii() and text.isalpha()) or (PLAIN.fullmatch(text) and "<|" not in text):
+            low = text.lower()
+            pieces = [low] if low.isalpha() else self.pieces.findall(low)
+            if pieces == [text]:
+                return self._piece(text)
+            return b"".join([self.known[p.encode()] for p in pieces])
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, out = self.known, []
+        out, get = [], self.known.__getitem__
         for text in texts:
-            words = (text or "").encode().split()
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = self._word(w)
-                out.append(b"".join([known[w] for w in words]))
+            out.append(b"".join(map(get, (text or "").encode().split())))
+            self.known.turn()
         return out
 
 
