@@ -14,6 +14,13 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 ESCAPE = rf"([<\[])(\\*)({CONTROL})"
 UNESCAPE = rf"([<\[])\\(\\*)({CONTROL})"
 TURNS = "array<struct<role:string,text:string>>"
+#: A JSON string; possessive, so that Java reads one of any length in a loop.
+STRING = r'"(?s:[^"\\]++|\\.)*+(?:"|\z)'
+#: Bytes of JSON that are parsed as they stand. A variant takes up to 13 bytes for 4 (``1e9,``), so it stays
+#: below the 128 MiB from which on ``try_parse_json`` gives null.
+WHOLE = 16 << 20
+#: Jackson reads strings of up to 20 million characters only, unless told otherwise.
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
 @dataclass(frozen=True)
@@ -52,13 +59,23 @@ LAYOUTS: Mapping[str, Layout] = {
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def field_paths(record: Column) -> Column:
+def outline(record: Column) -> Column:
+    """A JSON record of the same field paths: string values empty, one of each run of equal flat objects."""
+    marked = F.regexp_replace(record, rf"({STRING}\s*+:)|{STRING}", "$1\u0001")
+    emptied = F.replace(F.replace(marked, F.lit(":\u0001"), F.lit(":")), F.lit("\u0001"), F.lit('""'))
+    return F.regexp_replace(emptied, rf'(\{{(?:[^{{}}\[\]"]++|{STRING})*+\}})(?:\s*+,\s*+\1)++|({STRING})', "$1$2")
+
+
+def field_paths(record: Column, whole: int = WHOLE) -> Column:
     """Sorted nested field paths of a JSON record (a string), lists marked ``[]``, types left out.
 
     ``schema_of_variant`` gives the merged shape of a record, lists included; what stands between
-    its brackets is walked once, with the open path as state.
+    its brackets is walked once, with the open path as state. A record of more than ``whole`` bytes
+    is parsed by its outline, so texts of any length and any number of messages have their paths;
+    where even the outline is too large for a variant, the query fails instead of giving null.
     """
-    shape = F.schema_of_variant(F.try_parse_json(record))
+    parsed = let(outline(record), lambda r: F.when(F.octet_length(r) <= whole, F.try_parse_json(r)).otherwise(F.parse_json(r)))
+    shape = F.schema_of_variant(F.when(F.octet_length(record) <= whole, F.try_parse_json(record)).otherwise(parsed))
     tokens = F.regexp_extract_all(shape, F.lit(r"(OBJECT<|ARRAY<|>|`[^`]*`(?=:)|[^\s<>,:`]+(?=:))"), F.lit(1))
     start = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("name"), F.array().cast("array<string>").alias("paths"))
 
@@ -93,7 +110,8 @@ def canonical_turns(records: DataFrame, record_col: str = "record", layouts: Map
     The fingerprint of each record's field paths picks the mapping. Single fields that are null
     or absent in the layout give no turn; a null text of a listed message is empty, a null role is
     the empty string. Records of no known layout, broken JSON and null keep null turns, so that they can be
-    counted and sent elsewhere; none is dropped.
+    counted and sent elsewhere; none is dropped. A record and its turns are one value each, below the
+    2 GiB of a Spark value.
     """
     record = F.col(record_col)
     marked = records.withColumn("_f", fingerprint(field_paths(record)))
@@ -103,10 +121,10 @@ def canonical_turns(records: DataFrame, record_col: str = "record", layouts: Map
         hit = F.col("_f") == fingerprint(F.array(*map(F.lit, sorted(m.paths))))
         if m.messages:
             at, role, text = m.messages
-            parsed = F.from_json(record, f"`{at}` array<struct<`{role}`:string,`{text}`:string>>")[at]
+            parsed = F.from_json(record, f"`{at}` array<struct<`{role}`:string,`{text}`:string>>", ANY_LENGTH)[at]
             made = F.transform(parsed, _turn(role, text, spelled if m.rename else None))
         else:
-            parsed = F.from_json(record, ", ".join(f"`{f}` string" for f, _ in m.fields))
+            parsed = F.from_json(record, ", ".join(f"`{f}` string" for f, _ in m.fields), ANY_LENGTH)
             made = F.filter(F.array(*[F.struct(F.lit(r).alias("role"), parsed[f].alias("text")) for f, r in m.fields]),
                             lambda x: x["text"].isNotNull())
         layout, turns = F.when(hit, name).otherwise(layout), F.when(hit, made.cast(TURNS)).otherwise(turns)
