@@ -102,6 +102,20 @@ def _runs(size: int, gram: int):
     return run
 
 
+def _marks(runs: DataFrame) -> DataFrame:
+    """(k, s, m, later) of the runs that repeat an earlier one, and of first runs under an anchor of several.
+
+    What a run needs to know of its anchor and of its equals comes from aggregates, which combine on
+    the map side; the runs themselves meet one row per key in joins, which Spark splits where a key is hot.
+    """
+    place, open_ = F.struct("k", "s"), runs.filter("not later").drop("later")
+    anchors = open_.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("r") != F.max("r")).alias("mixed")).filter("n > 1").drop("n")
+    shared = staged(open_.join(anchors.hint("merge"), "h"))
+    firsts = shared.groupBy("h", "r").agg(F.min(place).alias("first"))
+    judged = shared.join(firsts.hint("merge"), ["h", "r"]).withColumn("later", place != F.col("first")).filter("later or mixed")
+    return judged.select("k", "s", "m", "later").unionByName(runs.filter("later").select("k", "s", "m", "later"))
+
+
 def _windows(size: int):
     """Map function: rows (w, k, p, later) of the windows of undecided runs; later: an equal one is earlier in the flush."""
     def flush(parts) -> pa.RecordBatch:
@@ -178,9 +192,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, id_col
     A word goes when a window of ``size`` words around it starts earlier somewhere (smaller id, or
     same document and earlier). All windows are hashed; which hashes repeat is settled in two steps:
 
-    1. Windows are held in runs that share their least ``gram``-word hash (their anchor). Rows of
-       one anchor meet: a run equal to an earlier run is a repeat as a whole; an anchor that only
-       equal runs share is settled. All windows under an anchor that occurs once occur once.
+    1. Windows are held in runs that share their least ``gram``-word hash (their anchor). A run
+       equal to an earlier run is a repeat as a whole; an anchor that only equal runs share is
+       settled. All windows under an anchor that occurs once occur once.
     2. Windows of the remaining first runs, of anchors in differing surroundings, are compared
        one by one; the earliest of equal hashes stays.
 
@@ -196,13 +210,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, id_col
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"),
                        F.shiftrightunsigned(F.xxhash64(text), 33).alias("part"), text.alias("text"))
-    place, spot = F.struct("k", "s"), F.struct("k", "p")
-    runs = rows.mapInArrow(_runs(size, gram), "h long, r long, k long, s long, m int, later boolean").repartition("h")
-    same_run, same_anchor = Window.partitionBy("later", "h", "r"), Window.partitionBy("later", "h")
-    marks = staged(
-        runs.withColumn("first", F.min(place).over(same_run))
-        .withColumn("mixed", F.min("r").over(same_anchor) != F.max("r").over(same_anchor))
-        .withColumn("later", F.col("later") | (place != F.col("first"))).filter("later or mixed").select("k", "s", "m", "later"))
+    spot = F.struct("k", "p")
+    runs = staged(rows.mapInArrow(_runs(size, gram), "h long, r long, k long, s long, m int, later boolean"))
+    marks = staged(_marks(runs))
     entry = F.struct("s", "m")
     undecided = marks.filter("not later").groupBy("k").agg(F.collect_list(entry).alias("open"))
     moved = rows.repartition("k")
