@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from parley.llm import sql
 from parley.llm.chat import format_chats, loss_text, parse, rows_to_records
+from parley.llm.divergence import audit
 from parley.llm.exact_dedup import exact_copies
+from parley.llm.hard_negatives import mine
 from parley.llm.language_id import identify
 from parley.llm.licenses import scan_licenses
 from parley.llm.mixing import mix
 from parley.llm.near_dedup import near_duplicates
 from parley.llm.packing import pack
 from parley.llm.quality import decide, ledger
+from parley.llm.quality_classifier import classify
 from parley.llm.substring_dedup import remove_repeats
 from parley.llm.token_counts import token_counts
 
@@ -83,9 +86,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_tokens", "sequence_id", "offset")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set a source apart."""
+    return audit(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten negatives within the score window of each anchor's five positives."""
+    return mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibrated quality score of every document, learned from four fifths of the labels."""
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_minhash_near_dedup, op5_language_id, op6_chat_formatting,
-                            op7_exact_dedup, op8_license_scans, op9_substring_dedup, op10_packing)}
+                            op7_exact_dedup, op8_license_scans, op9_substring_dedup, op10_packing, op11_source_divergence,
+                            op12_hard_negatives, op13_quality_classifier)}
 SQL: dict[str, str] = {
     "op2_quality_rules": sql.QUALITY, "op3_mixing": sql.MIXING, "op6_chat_formatting": sql.CHAT,
-    "op7_exact_dedup": sql.EXACT, "op8_license_scans": sql.licenses()}
+    "op7_exact_dedup": sql.EXACT, "op8_license_scans": sql.licenses(),
+    "op11_source_divergence": sql.DIVERGENCE, "op12_hard_negatives": sql.HARD_NEGATIVES}

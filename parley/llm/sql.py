@@ -123,3 +123,46 @@ SELECT s.doc_id, (SELECT list_position(list_distinct_ordered, s.t) - 1 FROM (
        license, template, dice
 FROM scored s WHERE dice >= {FLOOR}
 """
+
+
+DIVERGENCE = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT lang, source, r, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS lc FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+    lt AS (SELECT lang, count(*) AS v, sum(lc) AS ln FROM kept GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+    gt AS (SELECT lang, source, coalesce(sum(n), 0) AS gn FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+    p AS (SELECT gt.lang, gt.source, kept.term, coalesce(c.n, 0) AS n,
+            CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // (gn + 5 * v) AS BIGINT) AS p,
+            CAST(1 + CAST(1000000000 AS HUGEINT) * (lc + 5) // (ln + 5 * v) AS BIGINT) AS q
+        FROM gt JOIN lt ON lt.lang = gt.lang JOIN kept ON kept.lang = gt.lang
+        LEFT JOIN c ON c.lang = gt.lang AND c.source = gt.source AND c.term = kept.term),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pr AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source)
+SELECT lang, source, 'pair' AS part, item, value,
+    CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS "rank" FROM pr
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term', term, p - q,
+    CAST(row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS INTEGER) AS r FROM p WHERE n > 0 AND p > q) WHERE r <= 50
+"""
+
+HARD_NEGATIVES = """
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.rid AS a, a.vec_id AS anchor_id, b.rid AS b, b.vec_id AS other_id, a.label = b.label AS same,
+            CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+        FROM e a JOIN e b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0),
+    pos AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id, b) <= 5)
+SELECT pos.anchor_id, pos.other_id AS positive_id,
+    CAST(row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY neg.score DESC, neg.other_id) AS INTEGER) AS "rank",
+    neg.other_id AS negative_id, pos.score AS positive_score, neg.score AS negative_score
+FROM pos JOIN s neg ON neg.a = pos.a AND NOT neg.same AND 30 * pos.score <= 100 * neg.score AND 100 * neg.score <= 90 * pos.score
+QUALIFY "rank" <= 10
+"""

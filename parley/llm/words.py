@@ -33,3 +33,8 @@ def lower_ascii(text: Column) -> Column:
 def whole_rows(df: DataFrame) -> DataFrame:
     """All columns as one struct ``row``, so that working columns beside it clash with none of them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def renewed(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, for a co-group with a table of the same origin."""
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
