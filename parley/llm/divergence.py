@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.words import renewed
+from parley.operators.skew import keyed_lookup
 from parley.session import staged
 
 MIN_DOCS, SMOOTHING, TOP = 30, 5, 50
-UNIT = 1_000_000_000
 #: Kept terms of a segment, sources of a bucket, words of a text held at once, terms a task holds before it hands them on.
-SEGMENT, BUCKET, PIECE, HELD = 65_536, 16, 1 << 20, 200_000
+SEGMENT, BUCKET, PIECE, HELD = 8_192, 16, 1 << 20, 1_000_000
+
+#: Tasks that share a language's rows where a table with one row per language is looked up.
+SPREAD = 32
 
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -37,14 +40,13 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs) of a task, in parts of about ``HELD`` terms; each group also under the term ''."""
-    def emit() -> pa.RecordBatch:
-        rows = [(*group, term, n, docs[group][term]) for group, c in counts.items() for term, n in c.items()]
-        rows += [(*group, b"", 0, 0) for group in counts]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-        arrays[2] = arrays[2].cast(pa.string())
-        return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "n", "docs"])
+    def emit() -> Iterator[pa.RecordBatch]:
+        for (lang, source), c in counts.items():
+            n = len(c) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n),
+                 pa.array([b"", *c], pa.binary()).cast(pa.string()), pa.array([0, *c.values()], pa.int64()),
+                 pa.array([0, *map(docs[lang, source].__getitem__, c)], pa.int64())], ["lang", "source", "term", "n", "docs"])
 
     counts, docs, held = {}, {}, 0
     for batch in batches:
@@ -59,9 +61,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs[group].update(seen)
             held += 1 + len(counts[group]) - before
             if held > HELD:
-                yield emit()
+                yield from emit()
                 counts, docs, held = {}, {}, 0
-    yield emit()
+    yield from emit()
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -82,7 +84,7 @@ def kept_terms(counts: DataFrame, min_docs: int = MIN_DOCS, segment: int = SEGME
     kept = (counts.filter("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
             .filter(F.col("docs") >= min_docs).drop("docs"))
     totals = kept.groupBy("lang").agg(F.count("term").alias("v"), F.sum("n").alias("total"))
-    placed = kept.join(totals, "lang").withColumn("segment", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / segment)).cast("int"))
+    placed = keyed_lookup(kept, totals, ["lang"], ["term"], spread=SPREAD).withColumn("segment", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / segment)).cast("int"))
     return placed.withColumn("k", (F.row_number().over(Window.partitionBy("lang", "segment").orderBy("term")) - 1).cast("int"))
 
 
@@ -172,7 +174,7 @@ def pair_values(groups: DataFrame, arrays: DataFrame, bucket: int = BUCKET) -> D
     a segment's arrays travel once per other bucket and not once per other source.
     """
     buckets = groups.groupBy("lang").agg(F.ceil(F.count("source") / bucket).cast("int").alias("nb"))
-    dealt = arrays.join(buckets, "lang").withColumn("_b", F.pmod(F.xxhash64("source"), F.col("nb")).cast("int"))
+    dealt = keyed_lookup(arrays, buckets, ["lang"], ["source", "segment"], spread=SPREAD).withColumn("_b", F.pmod(F.xxhash64("source"), F.col("nb")).cast("int"))
     key = ["lang", "segment", "i", "j"]
     left = dealt.withColumn("j", F.explode(F.sequence(F.col("_b"), F.col("nb") - 1))).withColumnRenamed("_b", "i")
     right = renewed(dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_b")))).withColumnRenamed("_b", "j"))
@@ -194,8 +196,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_col: s
     """
     counts = staged(term_counts(docs, text_col, lang_col, source_col))
     kept = staged(kept_terms(counts, min_docs, segment))
-    held = counts.filter("term <> ''").drop("docs").join(
-        kept.select("lang", "term", "segment", "k", "v", F.col("n").alias("lang_n"), F.col("total").alias("lang_total")), ["lang", "term"])
+    held = staged(counts.filter("term <> ''").drop("docs").join(
+        kept.select("lang", "term", "segment", "k", "v", F.col("n").alias("lang_n"), F.col("total").alias("lang_total")), ["lang", "term"]))
     groups = counts.filter("term = ''").select("lang", "source")
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = staged(groups.join(totals, ["lang", "source"], "left").fillna(0, ["total"]))
