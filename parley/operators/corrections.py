@@ -31,8 +31,8 @@ def variant_scan(texts: DataFrame, ids: Sequence[str], variants: DataFrame, text
 
     ``transcribed`` is the first place as the text has it; apostrophes, hyphens and spaces must agree.
     """
-    found = phrases_in(texts, ids, text, variants.select(F.col("transcribed").alias("variant"), "correct"), "variant")
-    return found.select(*ids, F.regexp_substr(text, F.col("_pattern")).alias("transcribed"), "correct")
+    wanted = variants.select(F.col("transcribed").alias("_variant"), "correct")
+    return phrases_in(texts, ids, text, wanted, "_variant", written="transcribed").select(*ids, "transcribed", "correct")
 
 
 def last_mapping(corrections: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -119,7 +119,7 @@ def occurrences_by_pattern(texts: DataFrame, ids: Sequence[str], names: DataFram
     """
     kept = [c for c in ("canonical", "variant", "prefix") if c in names.columns]
     hits = phrases_in(texts, ids, text, names.select(*kept).distinct(), "variant", "prefix" if "prefix" in kept else None)
-    return hits.groupBy("canonical").agg(F.sum(F.regexp_count(text, F.col("_pattern"))).alias("n"),
+    return hits.groupBy("canonical").agg(F.sum("_n").alias("n"),
                                          F.countDistinct("variant").alias("n_variants"), F.countDistinct(*ids).alias("n_texts"))
 
 

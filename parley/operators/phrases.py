@@ -1,47 +1,170 @@
-"""Literal phrases of any length found in texts as whole words."""
+"""Phrases found in texts as whole words, by walking a trie of their tokens."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.skew import keyed_lookup
+from parley.session import staged
 
 TOKEN = r"(?U)\w+"
 
 
-def literal_pattern(phrase: Column, prefix: Column | None = None) -> Column:
-    """Case-insensitive pattern of a phrase between word boundaries; a prefix may go on behind."""
-    quoted = F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    end = F.lit(r"\E\b") if prefix is None else F.when(prefix, F.lit(r"\E")).otherwise(F.lit(r"\E\b"))
-    return F.concat(F.lit(r"(?iuU)\b\Q"), quoted, end)
+def tokens_and_gaps(text: Column) -> tuple[Column, Column]:
+    """The words of a text, and the n + 1 stretches before, between and behind them."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.split(text, TOKEN, -1)
+
+
+def word_rows(texts: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
+    """(ids, _at, _token, _raw): each word of each text, in lower case and as it is."""
+    words = texts.select(*ids, F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("_at", "_raw"))
+    return words.select(*ids, "_at", F.lower("_raw").alias("_token"), "_raw")
+
+
+def words_at(texts: DataFrame, ids: Sequence[str], text: str, places: DataFrame) -> DataFrame:
+    """``word_rows`` at the given (ids, _at), with ``_after``: the stretch behind the word, in lower case."""
+    asked = texts.join(places.select(*ids).distinct(), list(ids), "left_semi")
+    pieces = asked.select(*ids, F.posexplode(F.regexp_extract_all(text, F.lit(r"(?U)\w+\W*"), F.lit(0))).alias("_at", "_z"))
+    cut = pieces.join(places, [*ids, "_at"], "left_semi").withColumn("_raw", F.regexp_extract("_z", r"(?U)^\w+", 0))
+    return cut.select(*ids, "_at", F.lower("_raw").alias("_token"), "_raw", F.lower(F.substr("_z", F.length("_raw") + 1)).alias("_after"))
+
+
+def _open_ends(parts: DataFrame, words: DataFrame) -> DataFrame:
+    """Phrases that may go on behind their last letter, with every last word the texts have for it."""
+    longest = parts.filter("_open").agg(F.max(F.length(F.element_at("_t", -1)))).first()[0]
+    if longest is None:
+        return parts.drop("_open")
+    starts = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("_word"), F.lit(longest))), lambda n: F.substring("_word", F.lit(1), n)))
+    reach = words.select(F.col("_token").alias("_word")).distinct().select("_word", starts.alias("_end"))
+    ended = parts.filter("_open").withColumn("_end", F.element_at("_t", -1)).join(reach, "_end")
+    grown = ended.withColumn("_t", F.concat(F.slice("_t", 1, F.size("_t") - 1), F.array("_word"))).drop("_end", "_word")
+    return parts.filter("not _open").unionByName(grown)
+
+
+def phrase_paths(phrases: DataFrame, phrase: str, prefix: str | None, words: DataFrame) -> DataFrame:
+    """(_p, _start, _n, _lead, _ends, _path): the trie path of each phrase with a word in it.
+
+    A path starts at the phrase's word with the fewest uses in the texts, goes right to the phrase's end
+    and then left to its beginning. A step is the offset from the first step, the
+    word, and the stretch that must stand behind it, null for any; a ``loose`` stretch may go on.
+    ``_lead`` is what the phrase has before its first word, ``_ends`` tells that it ends with a
+    stretch that some word must follow.
+    """
+    toks, gaps = tokens_and_gaps(F.lower(phrase))
+    parts = phrases.select(F.struct(*phrases.columns).alias("_p"), toks.alias("_t"), gaps.alias("_g"),
+                           (F.coalesce(F.col(prefix), F.lit(False)) if prefix else F.lit(False)).alias("_open")).filter(F.size("_t") > 0)
+    # an open end is a matter of the last word, or of the stretch behind it where the phrase ends with one
+    tail = F.element_at("_g", -1)
+    parts = parts.withColumn("_loose", F.col("_open") & (tail != "")).withColumn("_open", F.col("_open") & (tail == ""))
+    parts = parts if prefix is None else _open_ends(parts, words)
+    asked = parts.select(F.explode("_t").alias("_token")).distinct()
+    uses = words.join(asked, "_token", "left_semi").groupBy(F.col("_token").alias("_w")).agg(F.count(F.lit(1)).alias("_u"))
+    kept = ["_p", "_t", "_g", "_loose"]
+    # a phrase with a word that no text has stands nowhere
+    parts = (parts.select(*kept, F.posexplode("_t").alias("_i", "_w")).join(uses, "_w").groupBy(*kept)
+             .agg(F.min_by("_i", F.struct("_u", "_i")).alias("_a"), F.count_distinct("_i").alias("_held")).filter(F.col("_held") == F.size("_t")))
+    n, a = F.size("_t"), F.col("_a")
+
+    def step(i: Column) -> Column:
+        behind = F.get("_g", i + 1)
+        return F.struct((i - a).alias("o"), F.get("_t", i).alias("t"), F.when((i < n - 1) | (behind != ""), behind).alias("a"),
+                        (F.col("_loose") & (i == n - 1)).alias("loose"))
+
+    order = F.concat(F.sequence(a, n - 1), F.when(a > 0, F.sequence(a - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>")))
+    return parts.select("_p", (-a).alias("_start"), n.alias("_n"), F.get("_g", F.lit(0)).alias("_lead"),
+                        (~F.col("_loose") & (F.element_at("_g", -1) != "")).alias("_ends"), F.transform(order, step).alias("_path"))
+
+
+def _node(k: Column) -> Column:
+    """The trie node after the first ``k`` steps of a path."""
+    return F.sha2(F.to_json(F.slice("_path", F.lit(1), k)), 256)
+
+
+def trie(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (level, node, step, child) and ends (node, _p, ...) of the trie; a node is the hash of the steps to it."""
+    steps = F.transform(F.col("_path"), lambda s, k: F.struct(k.alias("level"), _node(k).alias("node"), s.alias("step"), _node(k + 1).alias("child")))
+    edges = paths.select(F.explode(steps).alias("_e")).select("_e.level", "_e.node", "_e.step.*", "_e.child").distinct()
+    return edges, paths.select(_node(F.size("_path")).alias("node"), "_p", "_start", "_n", "_lead", "_ends")
+
+
+def _fits() -> Column:
+    """What stands behind a word agrees with the step."""
+    return F.col("a").isNull() | F.when(F.col("loose"), F.col("_after").startswith(F.col("a"))).otherwise(F.col("_after") == F.col("a"))
+
+
+def _edges_hold(places: DataFrame, texts: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
+    """Places of phrases that begin or end with a stretch, which must lie between two words."""
+    edged = staged(places.filter((F.col("_lead") != "") | F.col("_ends")))
+    sides = F.explode(F.array(F.col("_s") - 1, F.col("_s") + F.col("_n")))
+    around = words_at(texts, ids, text, edged.select(*ids, sides.alias("_at")).distinct())
+    before = edged.filter("_lead <> ''").withColumn("_at", F.col("_s") - 1).join(around.select(*ids, "_at", "_after"), [*ids, "_at"])
+    led = edged.filter("_lead = ''").unionByName(before.filter("_after = _lead").drop("_at", "_after"))
+    behind = led.filter("_ends").withColumn("_at", F.col("_s") + F.col("_n")).join(around.select(*ids, "_at"), [*ids, "_at"]).drop("_at")
+    return places.filter("_lead = '' and not _ends").unionByName(led.filter("not _ends")).unionByName(behind)
 
 
 def phrases_in(texts: DataFrame, ids: Sequence[str], text: str, phrases: DataFrame, phrase: str,
-               prefix: str | None = None) -> DataFrame:
-    """(ids, text, the columns of ``phrases``, _pattern): each phrase of each text that holds it.
-
-    A phrase can only stand where its first word does, so texts and phrases meet on that word, an
-    equi-join over the distinct words of a text; the literal phrase, punctuation included, is then
-    looked for in the text itself, one regular expression per candidate. Phrases may have any number of words; one
-    without any letter or digit has no first word and is never found. Phrases with ``prefix`` set
-    may go on behind their last letter; one-word prefixes are matched once per distinct word.
+               prefix: str | None = None, written: str | None = None) -> DataFrame:
+    """(ids, the columns of ``phrases``, _n): each phrase of each text that holds it, and how often.
+
+    ``_n`` counts places that don't overlap; ``written`` names a column for the phrase as the text
+    has it at its first place. Words are compared without case; what stands between a phrase's
+    words, before its first or behind its last one must stand in the text just so. A phrase without
+    a letter or digit is never found. Phrases with ``prefix`` set may go on behind their last letter.
+
+    The trie's first step is an equi-join of the texts' words with the phrases' rarest words; each
+    further level joins the places still alive with the word at the next offset and with the edges
+    out of their node. Phrases that share words share nodes, so the work follows the places that
+    match and not their product with the phrases. Words around the first steps' places are looked up
+    once for all levels, in the texts that have such places; the places alive after a level are
+    written, for the next level and for the phrases ending there.
     """
     ids = list(ids)
-    marked = phrases.withColumn("_p", F.struct(*phrases.columns)).withColumn("_first", F.regexp_substr(F.lower(phrase), F.lit(TOKEN)))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
-    per = texts.select(*ids, F.explode(words).alias("_k"))
-    held = marked.filter("_first is not null")
-    if prefix is None:
-        keyed = held.select(F.col("_first").alias("_k"), "_p")
+    rows = word_rows(texts, ids, text)
+    paths = staged(phrase_paths(phrases, phrase, prefix, rows))
+    edges, ends = trie(paths)
+    facts = paths.agg(F.max("_n").alias("depth"), F.bool_or((F.col("_lead") != "") | F.col("_ends")).alias("edged")).first()
+    depth = facts["depth"] or 0
+    here = [*ids, "_at"]
+    roots = edges.filter("level = 0").select(F.col("t").alias("_token"), "a", "loose", F.col("child").alias("node"))
+    seen = F.array(F.struct("_at", "_raw", "_after"))
+    first = F.array(F.struct("_at", "_raw", F.lit("").alias("_after")))
+    alive = rows.join(roots, "_token").select(*ids, F.col("_at").alias("_root"), "node", "a", "loose", *([first.alias("_w")] if written else []))
+    more = paths.filter((F.col("_n") > 1) | F.col("_path")[0]["a"].isNotNull())
+    if more.isEmpty():
+        found = [alive.join(ends, "node")]
     else:
-        open_end = F.col(prefix) & (F.lower(phrase) == F.col("_first"))
-        vocabulary = per.select("_k").distinct().withColumn("_first", F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("_k")), lambda n: F.substring("_k", F.lit(1), n))))
-        keyed = held.filter(~open_end).select(F.col("_first").alias("_k"), "_p").unionByName(
-            vocabulary.join(held.filter(open_end).select("_first", "_p"), "_first").select("_k", "_p"))
-    candidates = keyed_lookup(per, keyed, ["_k"], ids).groupBy(*ids).agg(F.collect_set("_p").alias("_ps"))
-    rows = texts.select(*ids, F.col(text).alias("_text")).join(candidates, ids).withColumn("_p", F.explode("_ps"))
-    pattern = literal_pattern(F.col("_p")[phrase], None if prefix is None else F.col("_p")[prefix])
-    found = rows.withColumn("_pattern", pattern).filter(F.regexp_like("_text", F.col("_pattern")))
-    return found.select(*ids, F.col("_text").alias(text), "_p.*", "_pattern")
+        edges, alive = staged(edges), staged(alive)
+        found = [alive.filter("a is null").join(ends, "node")]
+        reach = more.select(F.explode("_path").alias("_e"), _node(F.lit(1)).alias("node")).select("node", "_e.o").distinct()
+        near = staged(words_at(texts, ids, text, alive.join(reach, "node").select(*ids, (F.col("_root") + F.col("o")).alias("_at")).distinct()))
+        met = alive.join(reach.select("node").distinct(), "node", "left_semi").withColumn("_at", F.col("_root")).drop("_w").join(near, here).filter(_fits())
+        alive = staged(met.select(*ids, "_root", "node", "a", *([seen.alias("_w")] if written else [])))
+        found.append(alive.filter("a is not null").join(ends, "node"))
+        alive = alive.drop("a")
+    for level in range(1, depth):
+        out = edges.filter(F.col("level") == level).withColumnRenamed("t", "_token")
+        probes = alive.join(out.select("node", "o").distinct(), "node").withColumn("_at", F.col("_root") + F.col("o"))
+        met = probes.join(near, here).join(out, ["node", "o", "_token"]).filter(_fits())
+        alive = staged(met.select(*ids, "_root", F.col("child").alias("node"), *([F.concat("_w", seen).alias("_w")] if written else [])))
+        if alive.isEmpty():
+            break
+        found.append(alive.join(ends, "node"))
+    kept = [*ids, "_root", *(["_w"] if written else []), "_p", "_start", "_n", "_lead", "_ends"]
+    places = reduce(DataFrame.unionByName, [f.select(*kept) for f in found])
+    places = places.withColumn("_s", F.col("_root") + F.col("_start"))
+    if facts["edged"]:
+        places = _edges_hold(places, texts, ids, text)
+    # a place takes its words, and where it both begins and ends with a stretch, that one too
+    places = places.withColumn("_span", F.col("_n") + ((F.col("_lead") != "") & F.col("_ends")).cast("int"))
+    own = [F.min_by("_w", "_s").alias("_w")] if written else []
+    gathered = places.groupBy(*ids, "_p", "_span").agg(F.array_sort(F.collect_set("_s")).alias("_at"), *own)
+    apart = F.aggregate("_at", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end")), lambda s, p: F.when(
+        p >= s["end"], F.struct((s["n"] + 1).alias("n"), (p + F.col("_span")).alias("end"))).otherwise(s))
+    if written is None:
+        return gathered.select(*ids, "_p.*", apart["n"].alias("_n"))
+    _, gaps = tokens_and_gaps(F.col("_p")[phrase])
+    words = F.transform(F.array_sort("_w"), lambda w, i: F.concat(w["_raw"], F.when(i < F.size("_w") - 1, w["_after"]).otherwise("")))
+    whole = F.concat(F.get(gaps, F.lit(0)), F.array_join(words, ""), F.element_at(gaps, -1))
+    return gathered.select(*ids, "_p.*", apart["n"].alias("_n"), whole.alias(written))
