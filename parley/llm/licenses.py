@@ -1,5 +1,6 @@
 """License scans: passages against licence templates by Dice coefficient over word bigrams."""
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -66,6 +67,23 @@ def _plain_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
 
+def pivot_words(grams: list[str], floor: float) -> list[str]:
+    """Words of which every passage with a Dice of ``floor`` to a template has at least one; none where there is no such list.
+
+    Of the template's T bigrams a match lacks at most T - T * floor / (2 - floor). Words that occur
+    in more bigrams than that can't all be missing; long words are taken first, as the rarer ones.
+    """
+    lacking = len(grams) - math.ceil(len(grams) * floor / (2 - floor) - 1e-9)
+    covered, chosen = set(), []
+    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+        if len(covered) > lacking:
+            return chosen
+        new = {g for g in grams if word in g.split()} - covered
+        chosen += [word] if new else []
+        covered |= new
+    return chosen if len(covered) > lacking else []
+
+
 def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, floor: float = FLOOR,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Matches of all passages: doc_id, passage (its place), license, template (its place), dice.
@@ -75,7 +93,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
     templates of m * floor / (2 - floor) to m * (2 - floor) / floor bigrams; only those are
     compared. The templates are a short list given with the query, so they are literals in the
     plan: no join, no shuffle. Passages of fewer than two words have no bigrams and match nothing.
-    Null and empty texts give no rows, repeated rows give theirs each, other columns are ignored.
+    Texts and passages without any of the templates' ``pivot_words`` can't match and are left before
+    they are split. Null and empty texts give no rows, repeated rows give theirs each, other columns are ignored.
     """
     held = [(name, k, b) for name, texts in templates.items() for k, b in enumerate(map(_plain_bigrams, texts)) if b]
     if not held:
@@ -84,10 +103,17 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
                        for n, k, b in held])
     low = min(len(b) for _, _, b in held) * floor / (2 - floor)
     high = max(len(b) for _, _, b in held) * (2 - floor) / floor
+    pivots = [pivot_words(b, floor) for _, _, b in held]
+    words = sorted({w for p in pivots for w in p})
+
+    def may_match(t: Column) -> Column:
+        return F.lower(t).rlike("|".join(words)) if all(pivots) else F.lit(True)
+
+    docs = docs.filter(may_match(F.col(f"`{text_col}`")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n\s*"), lambda p: p.contains("\n"))
     passages = F.array_distinct(F.concat(F.split(text, "\n"), paragraphs, F.array(text)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(passages).alias("passage", "_t")).filter(F.length("_t") >= 3)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(passages).alias("passage", "_t")).filter((F.length("_t") >= 3) & may_match(F.col("_t")))
     worded = rows.select("doc_id", "passage", normal_words(F.col("_t")).alias("_w")).filter(
         (F.size("_w") > low) & (F.size("_w") >= 2))
     sized = worded.select("doc_id", "passage", bigrams(F.col("_w")).alias("_g")).filter(F.size("_g").between(low, high))
