@@ -240,16 +240,49 @@ def find_spellings(words: DataFrame, spellings: DataFrame) -> DataFrame:
     return starts.filter("_n = 1").select(*AT, "cleaned").unionByName(met.filter("_hits = _n").select(*AT, "cleaned"))
 
 
-def review_list(words: DataFrame, family: DataFrame, inconsistent: DataFrame, members: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Every use of a flagged or candidate name with the detectors that name it.
+def phrase_uses(words: DataFrame, phrases: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, AT, key, cap): where the phrases of a scope stand; a use is capitalised if one of its words is."""
+    pairs = bigrams(words).withColumn("_cap2", tx.is_capitalized(tx.strip("word2")))
+    return keyed_lookup(pairs, phrases.select(*scope, "c", "c2"), [*scope, "c", "c2"], AT).select(
+        *dict.fromkeys([*scope, *AT]), F.concat_ws(" ", "c", "c2").alias("key"), (F.col("cap") | F.col("_cap2")).alias("cap"))
 
-    Words inside a phrase name are shown as the phrase only.
+
+def review_list(words: DataFrame, family: DataFrame, inconsistent: DataFrame, scope: Sequence[str],
+                watch: DataFrame | None = None, coded: DataFrame | None = None) -> DataFrame:
+    """Every use of a flagged or candidate name, in any case, with the detectors that name its card.
+
+    A card is a cleaned form, or a recurring phrase. Forms of interest are those a detector flagged,
+    proper names, and the forms of ``watch`` (scope, c); all their uses are listed. A phrase takes the
+    uses of its words out of their own cards and takes over those cards' detectors; of phrases that
+    overlap, the one that first occurs later takes the word. A card left without uses disappears.
+
+    Columns: AT, c, detectors, cap, watch (a candidate that no detector named), is_phrase, coded (the
+    use lies in a segment of ``coded``), line (the segment's words).
     """
-    cards = card_occurrences(words, members, scope)
-    phrase = cards.filter("is_phrase")
-    covered = phrase.select("session_id", "seg_pos", F.explode(F.array("word_index", F.col("word_index") + 1)).alias("word_index")).distinct()
-    single = (family.select(*AT, "c", F.lit("m9a").alias("detector"))
-              .unionByName(inconsistent.select(*AT, "c", F.lit("m9b").alias("detector")))
-              .unionByName(cards.filter("not is_phrase").select(*AT, "c", F.lit(None).cast("string").alias("detector"))))
-    rows = single.join(covered, AT, "left_anti").unionByName(phrase.select(*AT, F.col("card_key").alias("c"), F.lit(None).cast("string").alias("detector")))
-    return rows.groupBy(*AT, "c").agg(F.array_sort(F.collect_set("detector")).alias("detectors"))
+    scope = list(scope)
+    singles = materialize(proper_names(words, scope))
+    wanted = singles if watch is None else singles.unionByName(watch.select(*scope, "c")).distinct()
+    flagged = materialize(family.select(*scope, "c", F.lit("m9a").alias("detector"))
+                          .unionByName(inconsistent.select(*scope, "c", F.lit("m9b").alias("detector"))).filter("c <> ''").distinct())
+    named = flagged.groupBy(*scope, "c").agg(F.array_sort(F.collect_set("detector")).alias("detectors"))
+    cards = (wanted.join(named, [*scope, "c"], "full_outer")
+             .withColumn("watch", F.col("detectors").isNull()).withColumn("detectors", F.coalesce("detectors", F.array().cast("array<string>"))))
+    uses = keyed_lookup(cleaned(words), cards, [*scope, "c"], AT).select(*dict.fromkeys([*scope, *AT]), "c", "detectors", "cap", "watch")
+    phrased = materialize(phrase_uses(words, name_phrases(words, wanted, scope), scope))
+    first = phrased.groupBy(*scope, "key").agg(F.min(F.struct("seg_pos", "word_index")).alias("_first"))
+    covered = (keyed_lookup(phrased, first, [*scope, "key"], AT)
+               .withColumn("word_index", F.explode(F.array("word_index", F.col("word_index") + 1)))
+               .groupBy(*AT).agg(F.max_by("key", "_first").alias("key")))
+    met = materialize(uses.join(covered, AT, "left"))
+    taken = (met.filter("key is not null").select(*scope, "key", F.explode("detectors").alias("_d"))
+             .groupBy(*scope, "key").agg(F.array_sort(F.collect_set("_d")).alias("detectors")))
+    phrases = phrased.join(taken, [*scope, "key"], "left").select(
+        *AT, F.col("key").alias("c"), F.coalesce("detectors", F.array().cast("array<string>")).alias("detectors"), "cap",
+        F.lit(False).alias("watch"), F.lit(True).alias("is_phrase"))
+    rows = met.filter("key is null").select(*AT, "c", "detectors", "cap", "watch", F.lit(False).alias("is_phrase")).unionByName(phrases)
+    ordered = F.array_sort(F.collect_list(F.struct("word_index", tx.strip("word").alias("w"))))
+    lines = words.join(rows.select(*SEG).distinct(), SEG, "left_semi").groupBy(*SEG).agg(
+        F.array_join(F.transform(ordered, lambda s: s["w"]), " ").alias("line"))
+    marks = lines.withColumn("coded", F.lit(False)) if coded is None else lines.join(
+        coded.select(*SEG).distinct().withColumn("coded", F.lit(True)), SEG, "left").withColumn("coded", F.coalesce("coded", F.lit(False)))
+    return rows.join(marks, SEG)

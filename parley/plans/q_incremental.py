@@ -1,10 +1,15 @@
 """Queries over intake, fingerprints and bookkeeping tables."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from parley.operators import incremental as inc
+from parley.operators.filters import near_zero
+from parley.operators.registry import Detector, ledger, scan
 from parley.plans import bindings as b
 from parley.plans.catalog import query
+from parley.session import ensure_checkpoint_dir
 from parley.sources import tables
 
 SEGFP = "SELECT session_id, seg_pos, sha256(string_agg(word, chr(10) ORDER BY word_index)) AS fp FROM words GROUP BY ALL"
@@ -132,3 +137,29 @@ def assembled(spark, sf):
     parts = d.select(F.col("lang").alias("cell"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 3 == 0, "made_up").otherwise("canon").alias("bucket"), F.when(F.col("doc_id") % 11 > 0, "obvious").alias("difficulty"),
                      F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("world_gold"), F.array().cast("array<string>").alias("world_aliases"), F.split("text", "\n").alias("lines"), F.lit("").alias("tell_note"))
     return inc.assemble_benchmark(parts, ["fr", "en", "es", "de"], ["tion the"])
+
+
+def long_words(words, _judge):
+    return words.filter(F.length("word") >= 12).select("session_id", "seg_pos", "word_index", F.lit("long").alias("kind"), F.col("word").alias("detail"))
+
+
+def doubtful(threshold):
+    """A detector of words under a probability, with the threshold as its settings."""
+    def run(words, _judge):
+        return words.filter(near_zero(threshold)).select("session_id", "seg_pos", "word_index", F.lit("low").alias("kind"), F.col("word").alias("detail"))
+    return Detector("doubtful", "Doubtful words", "M1", "1", run, config=f"threshold={threshold}")
+
+
+@query("detector_rescan", b.with_ctes("words", """SELECT session_id, detector_id, CASE WHEN detector_id = 'doubtful' OR CAST(session_id AS BIGINT) % 5 = 0 THEN 2 ELSE 1 END AS run_no,
+    count(*) AS n_word_tokens, count(*) FILTER (CASE detector_id WHEN 'doubtful' THEN coalesce(probability < 0.5, false) ELSE length(w) >= 12 END) AS n_flags,
+    CASE detector_id WHEN 'doubtful' THEN 'threshold=0.5' END AS config
+    FROM (SELECT *, CASE WHEN CAST(session_id AS BIGINT) % 5 = 0 AND word_index = 0 THEN word || '-edited' ELSE word END AS w FROM words), (SELECT unnest(['doubtful', 'long_words']) AS detector_id) GROUP BY ALL"""))
+def detector_rescan(spark, sf):
+    """The ledger after a second scan: every fifth recording was edited, and one detector has other settings."""
+    path = f"{ensure_checkpoint_dir(spark)}/sections-{uuid4().hex}"
+    words = b.words(spark, sf, timed=False)
+    plain = Detector("long_words", "Long words", "M2", "1", long_words)
+    scan(words, path, [doubtful(0.3), plain])
+    edited = F.when((F.col("session_id").cast("long") % 5 == 0) & (F.col("word_index") == 0), F.concat("word", F.lit("-edited"))).otherwise(F.col("word"))
+    scan(words.withColumn("word", edited), path, [doubtful(0.5), plain])
+    return ledger(spark, path).select("session_id", "detector_id", F.col("run_no").cast("int").alias("run_no"), "n_word_tokens", "n_flags", "config")

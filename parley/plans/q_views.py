@@ -65,18 +65,26 @@ REVIEW = qn.M9B | {_TWO.get(k, k): (v if k == "common" else _renamed(v)) for k,
     "ph": "SELECT w.session_id, w.seg_pos, w.word_index, w.c || ' ' || w.c2 AS c FROM iw w JOIN phr p ON w.session_id = p.session_id AND w.c = p.c AND w.c2 = p.c2"}
 
 
-@query("review_list", b.with_ctes("cwords", """SELECT session_id, seg_pos, word_index, c, coalesce(string_agg(DISTINCT det, ',' ORDER BY det), '') AS detectors FROM (SELECT * FROM (
-      SELECT w.session_id, w.seg_pos, w.word_index, w.c, 'm9a' AS det FROM cwords w JOIN hit h ON w.c = h.c WHERE cap UNION ALL SELECT session_id, seg_pos, word_index, c, 'm9b' FROM flags
-      UNION ALL SELECT w.session_id, w.seg_pos, w.word_index, w.c, NULL FROM iw w JOIN mem m ON w.session_id = m.session_id AND w.c = m.c) s
-      WHERE (session_id, seg_pos, word_index) NOT IN (SELECT session_id, seg_pos, word_index FROM ph UNION SELECT session_id, seg_pos, word_index + 1 FROM ph)
-      UNION ALL SELECT session_id, seg_pos, word_index, c, NULL FROM ph) GROUP BY session_id, seg_pos, word_index, c""", **REVIEW))
+@query("review_list", b.with_ctes("cwords", """SELECT session_id, seg_pos, word_index, c, detectors, cap, watch, is_phrase, line FROM (
+      SELECT o.session_id, o.seg_pos, o.word_index, o.c, coalesce(dets, '') AS detectors, cap, dets IS NULL AS watch, false AS is_phrase FROM occ2 o
+      LEFT JOIN named n ON o.session_id = n.session_id AND o.c = n.c LEFT JOIN cov v ON o.session_id = v.session_id AND o.seg_pos = v.seg_pos AND o.word_index = v.wi WHERE v.p IS NULL
+      UNION ALL SELECT h.session_id, h.seg_pos, h.word_index, h.c, coalesce(dets, ''), cap, false, true FROM phx h LEFT JOIN carried k ON h.session_id = k.session_id AND h.c = k.p)
+    JOIN (SELECT session_id, seg_pos, string_agg(word, ' ' ORDER BY word_index) AS line FROM cwords GROUP BY ALL) USING (session_id, seg_pos)""", **REVIEW,
+    found="SELECT DISTINCT session_id, cwords.c, 'm9a' AS det FROM cwords JOIN hit ON cwords.c = hit.c WHERE cap UNION SELECT DISTINCT session_id, c, 'm9b' FROM flags",
+    named="SELECT session_id, c, string_agg(det, ',' ORDER BY det) AS dets FROM found GROUP BY ALL",
+    interest="SELECT session_id, c FROM found UNION SELECT session_id, c FROM sing",
+    occ2="SELECT w.session_id, w.seg_pos, w.word_index, w.c, w.cap FROM cwords w JOIN interest i ON w.session_id = i.session_id AND w.c = i.c",
+    phx=f"""SELECT w.session_id, w.seg_pos, w.word_index, w.c || ' ' || w.c2 AS c, cap OR regexp_matches(word2, {b.CAP}) AS cap, min((w.seg_pos, w.word_index)) OVER (PARTITION BY w.session_id, w.c, w.c2) AS first
+      FROM iw w JOIN phr p ON w.session_id = p.session_id AND w.c = p.c AND w.c2 = p.c2""",
+    cov="SELECT session_id, seg_pos, wi, arg_max(c, first) AS p FROM (SELECT *, word_index AS wi FROM phx UNION ALL SELECT *, word_index + 1 FROM phx) GROUP BY ALL",
+    carried="""SELECT o.session_id, p, string_agg(DISTINCT det, ',' ORDER BY det) AS dets FROM occ2 o JOIN cov v ON o.session_id = v.session_id AND o.seg_pos = v.seg_pos AND o.word_index = v.wi
+      JOIN found f ON o.session_id = f.session_id AND o.c = f.c GROUP BY o.session_id, p"""))
 def review_list(spark, sf):
-    w, _, members = qn.cards_of(spark, sf)
+    w = b.words(spark, sf, timed=False)
     people, aliases = qn.roster(spark, sf)
-    family = nm.family_names(w, people, aliases, ph.skeleton_codes)
     flags, _ = qn.m9b(spark, sf)
-    r = nm.review_list(w, family, flags, members, S)
-    return r.withColumn("detectors", F.array_join("detectors", ","))
+    r = nm.review_list(w, nm.family_names(w, people, aliases, ph.skeleton_codes), flags, S)
+    return r.drop("coded").withColumn("detectors", F.array_join("detectors", ","))
 
 
 @query("retagged_stories", b.with_ctes("segments", """SELECT g.session_id, g.seg_pos, max(story_idx) AS story_idx FROM segments g LEFT JOIN sto s ON g.session_id = s.session_id AND g.seg_pos BETWEEN s.start_pos AND s.end_pos GROUP BY ALL""", **qs.U, sto=qs.STORIES))
