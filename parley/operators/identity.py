@@ -1,5 +1,6 @@
 """Speaker vectors, voice profiles, identification and enrolment."""
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 from parley.functions import vectors as vec
 from parley.operators.scans import RunSum, block_of, scan
 from parley.operators.skew import keyed_lookup
+from parley.session import staged
 
 IDENTIFIED, SUGGESTED = 0.75, 0.45
-PACKS = 16
+#: Profiles that others are packed around, profiles of a pack, tasks for a pack's speakers, what rounding may add to an angle's bound.
+PIVOTS, PACK_SIZE, SPREAD, SLACK = 16, 1024, 8, 1e-6
 
 
 def centroids(profile_vectors: DataFrame, key: str = "profile_id") -> DataFrame:
@@ -33,24 +36,80 @@ def speaker_vectors(turn_vectors: DataFrame, keys: Sequence[str] = ("session_id"
     return means.join(sizes, keys).select(*keys, vec.unit(F.col("_mean")).alias("vector"), "num_segments", "total_duration")
 
 
-def best_profiles(speakers: DataFrame, profiles: DataFrame, ids: Sequence[str], packs: int = PACKS) -> DataFrame:
+def _angle(a: Column, b: Column) -> Column:
+    """Angle between unit vectors; a right one where either is zero."""
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vec.dot(a, b))))
+
+
+def profile_packs(profiles: DataFrame, pivots: int = PIVOTS, size: int = PACK_SIZE) -> tuple[DataFrame, list[list[float]]]:
+    """(_k, _chunk, _r, _ps): profiles by nearest pivot, in packs of about ``size``; and the pivots.
+
+    Pivots are ``pivots`` of the profiles, drawn by a hash. ``_r`` is the largest angle between a
+    pack's pivot and its profiles: no profile of the pack is closer to a vector than the vector's
+    angle to the pivot less ``_r``. A pack with a zero centroid has no such bound.
+    """
+    usable = staged(profiles.filter("centroid is not null").select("profile_id", "rank", vec.unit(F.col("centroid")).alias("centroid")))
+    drawn = usable.filter(vec.norm(F.col("centroid")) > 0).orderBy(F.xxhash64("profile_id"), "profile_id").limit(pivots)
+    chosen = [list(r["centroid"]) for r in drawn.select("centroid").collect()]
+    near = usable.withColumn("_n", _nearest(F.col("centroid"), chosen)).select("*", "_n.*").drop("_n")
+    radius = F.when(vec.norm(F.col("centroid")) > 0, F.col("_a")).otherwise(F.lit(math.pi))
+    counts = usable.count()
+    dealt = near.withColumn("_chunk", F.pmod(F.xxhash64("profile_id"), F.lit(max(1, -(-counts // size)))).cast("int"))
+    packed = dealt.groupBy("_k", "_chunk").agg(F.max(radius).alias("_r"), F.collect_list(F.struct("profile_id", "rank", "centroid")).alias("_ps"))
+    return staged(packed), chosen
+
+
+def _nearest(v: Column, pivots: list[list[float]]) -> Column:
+    """Number of the nearest pivot and the angle to it; pivot 0 at a right angle where there are none."""
+    if not pivots:
+        return F.struct(F.lit(0).alias("_k"), F.lit(math.pi / 2).alias("_a"))
+    near = F.array_min(F.array(*[F.struct(_angle(v, _literal(p)).alias("a"), F.lit(k).alias("k")) for k, p in enumerate(pivots)]))
+    return F.struct(near["k"].alias("_k"), near["a"].alias("_a"))
+
+
+def _literal(p: list[float]) -> Column:
+    return F.array(*map(F.lit, p))
+
+
+def nearest_profiles(speakers: DataFrame, profiles: DataFrame, ids: Sequence[str], pivots: int = PIVOTS, size: int = PACK_SIZE,
+                     spread: int = SPREAD) -> DataFrame:
+    """(ids, profile_id, similarity, n_scored): each speaker's most similar profile; ties go to the lesser rank.
+
+    A speaker first meets the packs of its nearest pivot. Of the others it meets only those whose
+    bound (the triangle inequality over angles) reaches the best similarity found, so the answer is
+    that of all pairs; ``n_scored`` counts the pairs that were scored. Packs have a bounded number of
+    profiles, and a pack's speakers are spread over ``spread`` tasks.
+    """
+    ids = list(ids)
+    packed, chosen = profile_packs(profiles, pivots, size)
+    vectors = staged(speakers.select(*ids, vec.unit(F.col("vector")).alias("vector")))
+    radii = packed.select("_k", "_chunk", "_r")
+
+    def score(meetings: DataFrame) -> DataFrame:
+        scored = keyed_lookup(meetings, packed.select("_k", "_chunk", "_ps"), ["_k", "_chunk"], ids, spread=spread)
+        return scored.select(*ids, F.size("_ps").alias("_n"), F.array_max(F.transform("_ps", lambda p: F.struct(
+            vec.dot(F.col("vector"), p["centroid"]).alias("s"), (-p["rank"]).alias("r"), p["profile_id"].alias("id")))).alias("_b"))
+
+    homes = vectors.withColumn("_n", _nearest(F.col("vector"), chosen)).select(*ids, "vector", "_n._k")
+    first = staged(score(homes.join(radii.select("_k", "_chunk"), "_k")))
+    so_far = first.groupBy(*ids).agg(F.max("_b.s").alias("_s"))
+    angles = F.array(*[F.struct(F.lit(k).alias("_k"), _angle(F.col("vector"), _literal(p)).alias("_a")) for k, p in enumerate(chosen)]) if chosen \
+        else F.array(F.struct(F.lit(0).alias("_k"), F.lit(math.pi / 2).alias("_a")))
+    others = (homes.withColumnRenamed("_k", "_home").withColumn("_o", F.explode(angles)).select(*ids, "_home", "_o.*").filter("_k <> _home")
+              .join(so_far, ids, "left").join(radii, "_k"))
+    bound = F.cos(F.greatest(F.lit(0.0), F.col("_a") - F.col("_r")))
+    hopeful = others.filter(F.col("_s").isNull() | (bound >= F.col("_s") - F.lit(SLACK))).select(*ids, "_k", "_chunk")
+    both = first.unionByName(score(hopeful.join(vectors, ids)))
+    return both.groupBy(*ids).agg(F.max("_b").alias("_b"), F.sum("_n").alias("n_scored")).select(
+        *ids, F.col("_b.id").alias("profile_id"), F.col("_b.s").alias("similarity"), "n_scored")
+
+
+def best_profiles(speakers: DataFrame, profiles: DataFrame, ids: Sequence[str], pivots: int = PIVOTS) -> DataFrame:
     """Each speaker's most similar profile: (ids, profile_id, similarity); ties go to the lesser rank.
 
-    ``profiles``: profile_id, rank, centroid. All pairs are scored by nature; both sides are brought
-    to unit length once, centroids travel in ``packs`` rows, and a speaker row meets whole packs.
-    Packs are repeated per salt of the speakers, so a pack that is too large to broadcast does not
-    gather all speakers in one task. Only (ids, best) leaves the scoring task. Take more packs for
-    a profile table of many millions.
+    ``profiles``: profile_id, rank, centroid. Exact, without scoring all pairs (``nearest_profiles``).
     """
-    usable = profiles.filter("centroid is not null").select("profile_id", "rank", vec.unit(F.col("centroid")).alias("centroid"))
-    packed = (usable.withColumn("_pack", F.pmod(F.xxhash64("profile_id"), F.lit(packs)))
-              .groupBy("_pack").agg(F.collect_list(F.struct("profile_id", "rank", "centroid")).alias("_ps")))
-    spread = (speakers.select(*ids, vec.unit(F.col("vector")).alias("vector"))
-              .withColumn("_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long")))))
-    scored = keyed_lookup(spread, packed, ["_pack"], ids).select(*ids, F.array_max(F.transform("_ps", lambda p: F.struct(
-        vec.dot(F.col("vector"), p["centroid"]).alias("s"), (-p["rank"]).alias("r"), p["profile_id"].alias("id")))).alias("_b"))
-    return scored.groupBy(*ids).agg(F.max("_b").alias("_b")).select(
-        *ids, F.col("_b.id").alias("profile_id"), F.col("_b.s").alias("similarity"))
+    return nearest_profiles(speakers, profiles, ids, pivots).drop("n_scored")
 
 
 def identify(speakers: DataFrame, profiles: DataFrame, ids: Sequence[str] = ("session_id", "speaker_key")) -> DataFrame:
