@@ -1,7 +1,7 @@
 """License scans: passages against licence templates by Dice coefficient over word bigrams."""
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from parley.llm.words import let
 
 FLOOR = 0.8
+#: Letters from which on a word of a template may stand for a bigram by itself.
+RARE = 7
 
 #: Wordings of public licence notices.
 TEMPLATES: Mapping[str, tuple[str, ...]] = {
@@ -68,22 +70,32 @@ def _plain_bigrams(text: str) -> list[str]:
 
 
 def pivot_words(grams: list[str], floor: float) -> list[str]:
-    """Words of which every passage with a Dice of ``floor`` to a template has at least one; none where there is no such list.
+    """Words and word pairs of which every passage with a Dice of ``floor`` to a template has at least one; none where there is no such list.
 
-    Of the template's T bigrams a match lacks at most T - T * floor / (2 - floor). Words that occur
-    in more bigrams than that can't all be missing; long words are taken first, as the rarer ones.
+    Of the template's T bigrams a match lacks at most T - T * floor / (2 - floor). Any words and
+    pairs that stand in more bigrams than that can't all be missing: long words, as the rarer ones,
+    are taken first, then long pairs, since a short word alone stands in most texts.
     """
     lacking = len(grams) - math.ceil(len(grams) * floor / (2 - floor) - 1e-9)
+    by_length = sorted({w for g in grams for w in g.split() if len(w) >= RARE} | set(grams), key=lambda w: (" " in w, -len(w), w))
     covered, chosen = set(), []
-    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+    for pivot in by_length:
         if len(covered) > lacking:
             return chosen
-        new = {g for g in grams if word in g.split()} - covered
-        chosen += [word] if new else []
+        new = {g for g in grams if pivot == g or pivot in g.split()} - covered
+        chosen += [pivot] if new else []
         covered |= new
     return chosen if len(covered) > lacking else []
 
 
+def pivot_pattern(pivots: Iterable[str]) -> str:
+    """One pattern for all pivots, those with the same first letter together."""
+    by_letter: dict[str, list[str]] = {}
+    for p in sorted(set(pivots)):
+        by_letter.setdefault(p[0], []).append(p[1:].replace(" ", r"[^\p{L}\p{N}]+"))
+    return "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
+
+
 def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, floor: float = FLOOR,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Matches of all passages: doc_id, passage (its place), license, template (its place), dice.
@@ -104,10 +116,10 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
     low = min(len(b) for _, _, b in held) * floor / (2 - floor)
     high = max(len(b) for _, _, b in held) * (2 - floor) / floor
     pivots = [pivot_words(b, floor) for _, _, b in held]
-    words = sorted({w for p in pivots for w in p})
+    pattern = pivot_pattern(w for p in pivots for w in p)
 
     def may_match(t: Column) -> Column:
-        return F.lower(t).rlike("|".join(words)) if all(pivots) else F.lit(True)
+        return F.lower(t).rlike(pattern) if all(pivots) else F.lit(True)
 
     docs = docs.filter(may_match(F.col(f"`{text_col}`")))
     text = F.coalesce(F.col(text_col), F.lit(""))
