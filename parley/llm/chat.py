@@ -146,8 +146,9 @@ def _role_out(role: Column) -> Column:
 
 
 def _role_in(role: Column) -> Column:
-    kept = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(kept, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # between doubled backslashes, each left alone stands before an n
+    parts = F.split(unescape(role), r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def render(turns: Column) -> Column:
