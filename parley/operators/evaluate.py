@@ -275,3 +275,13 @@ def forced_rates(clips: DataFrame, cast: DataFrame, codes) -> DataFrame:
     per = keyed_lookup(w, hits, ["c"], ["clip_id"], "left").groupBy("mode", "clip_id").agg(F.bool_or(F.coalesce("_h", F.lit(False))).alias("_f"))
     return per.groupBy("mode").agg(F.count(F.lit(1)).alias("n_clips"), F.count_if("_f").alias("n_forced"),
                                    F.round(F.avg(F.col("_f").cast("int")), 3).alias("rate"))
+
+
+def net_forcing(rates: DataFrame, primed: str, plain: str) -> DataFrame:
+    """One row: clips of both modes, forced ones of each, and what is left to the priming (net, and as a share of its clips)."""
+    def of(mode: str, col: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("mode") == mode, F.col(col))), F.lit(0)).cast("long")
+    sums = rates.agg(of(primed, "n_clips").alias("n_primed"), of(plain, "n_clips").alias("n_plain"),
+                     of(primed, "n_forced").alias("forced_primed"), of(plain, "n_forced").alias("forced_plain"))
+    net = F.col("forced_primed") - F.col("forced_plain")
+    return sums.withColumn("net", net).withColumn("net_rate", F.coalesce(F.round(F.try_divide("net", "n_primed"), 3), F.lit(0.0)))

@@ -289,10 +289,21 @@ def filter_scorecard(spark, sf):
     return ev.filter_scorecard(m, m.select("user_id", "cluster", (F.col("cluster") < 2).alias("is_name")), ["user_id", "cluster"])
 
 
-@query("forced_rates", b.with_ctes("cwords", f"""SELECT mode, count(*) AS n_clips, count(*) FILTER (f) AS n_forced, round(avg(CASE WHEN f THEN 1 ELSE 0 END), 3) AS rate FROM (SELECT w.session_id, w.seg_pos, s.speaker_label AS mode, bool_or(len(list_intersect({b.skeleton_sql('w.c')}, (SELECT list(DISTINCT code) FROM (SELECT unnest({b.skeleton_sql('form')}) AS code FROM cst)))) > 0) AS f
-    FROM cwords w JOIN segments s ON w.session_id = s.session_id AND w.seg_pos = s.seg_pos GROUP BY ALL) GROUP BY mode""", casts=qc.CASTS, cst=qc.CAST))
+FORCED = f"""SELECT mode, count(*) AS n_clips, count(*) FILTER (f) AS n_forced, round(avg(CASE WHEN f THEN 1 ELSE 0 END), 3) AS rate FROM (SELECT w.session_id, w.seg_pos, s.speaker_label AS mode, bool_or(len(list_intersect({b.skeleton_sql('w.c')}, (SELECT list(DISTINCT code) FROM (SELECT unnest({b.skeleton_sql('form')}) AS code FROM cst)))) > 0) AS f
+    FROM cwords w JOIN segments s ON w.session_id = s.session_id AND w.seg_pos = s.seg_pos GROUP BY ALL) GROUP BY mode"""
+
+
+@query("forced_rates", b.with_ctes("cwords", FORCED, casts=qc.CASTS, cst=qc.CAST))
 def forced_rates(spark, sf):
     from parley.operators import catches as ct
     roles = b.lines(spark, sf).select("session_id", "seg_pos", F.col("speaker_label").alias("mode"))
     clips = b.words(spark, sf, timed=False).select("session_id", "seg_pos", "word").join(roles, ["session_id", "seg_pos"]).select("mode", F.concat_ws("/", "session_id", F.col("seg_pos").cast("string")).alias("clip_id"), "word")
     return ev.forced_rates(clips, ct.correction_cast(qc.casts(spark, sf)), ph.skeleton_codes)
+
+
+@query("net_forcing", b.with_ctes("cwords", """SELECT n_primed, n_plain, forced_primed, forced_plain, forced_primed - forced_plain AS net, coalesce(round((forced_primed - forced_plain) / nullif(n_primed, 0), 3), 0) AS net_rate FROM
+    (SELECT coalesce(sum(n_clips) FILTER (mode = 'assistant'), 0)::BIGINT AS n_primed, coalesce(sum(n_clips) FILTER (mode = 'user'), 0)::BIGINT AS n_plain,
+     coalesce(sum(n_forced) FILTER (mode = 'assistant'), 0)::BIGINT AS forced_primed, coalesce(sum(n_forced) FILTER (mode = 'user'), 0)::BIGINT AS forced_plain FROM forced)""", casts=qc.CASTS, cst=qc.CAST, forced=FORCED))
+def net_forcing(spark, sf):
+    """What the primed mode forces beyond the plain one."""
+    return ev.net_forcing(forced_rates(spark, sf), "assistant", "user")

@@ -150,6 +150,15 @@ def removed_enrolments(spark, sf):
     return idn.remove_enrolments(v, v.filter("cast(session_id as int) < 5")).select("profile_id", *K)
 
 
+@query("centroids_after_removal", b.with_ctes("vectors", "SELECT profile_id, array_to_string(list_transform(centroid, lambda x: printf('%.5f', x + 1e-12)), ',') AS centroid FROM cen",
+    vs=VEC, left_over="SELECT * FROM vs WHERE CAST(session_id AS INTEGER) >= 5", cen=MEAN.format(src="left_over")))
+def centroids_after_removal(spark, sf):
+    """Every profile's centroid once the first recordings' enrolments are gone."""
+    v = vs(spark, sf)
+    c = idn.centroids(idn.remove_enrolments(v, v.filter("cast(session_id as int) < 5")))
+    return c.select("profile_id", F.array_join(F.transform("centroid", lambda x: F.format_string("%.5f", x + 1e-12)), ",").alias("centroid"))
+
+
 @query("edited_profiles", b.with_ctes("vectors", """SELECT coalesce(p.profile_id, e.profile_id) AS profile_id, coalesce(e.name, p.name) AS name, coalesce(p.role, 'guest') AS role FROM (SELECT DISTINCT profile_id, 'P' || profile_id AS name, 'child' AS role FROM vectors) p
     FULL JOIN (SELECT DISTINCT 'n' || profile_id AS profile_id, 'N' AS name FROM vectors UNION SELECT DISTINCT profile_id, 'Q' FROM vectors WHERE profile_id > '5') e ON p.profile_id = e.profile_id"""))
 def edited_profiles(spark, sf):
