@@ -30,6 +30,9 @@ def sentence_initial(words: DataFrame) -> DataFrame:
 
 
 def cleaned(words: DataFrame) -> DataFrame:
+    """Words with their cleaned form and whether they are capitalised; a table that has both is left as it is."""
+    if {"c", "cap"} <= set(words.columns):
+        return words
     return words.withColumn("c", tx.clean("word")).withColumn("cap", tx.is_capitalized(tx.strip("word")))
 
 

@@ -218,8 +218,7 @@ GATE_PARTS = dict(iw=qn.IW, sing=qn.SING, common=qn.COMMON, casts=CASTS, cst=CAS
 
 
 def decisions(spark, sf):
-    w = b.words(spark, sf)
-    c = nm.cleaned(w)
+    w = c = qn.cleaned_words(spark, sf, timed=True)
     cands = world_of(c.filter("cap").filter(F.length("c") >= 6).select(*nm.AT, "start", F.col("word").alias("blind")))
     # the second hearing: the words around the candidate with their vowels shifted
     near = cands.select(*nm.AT, "start", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("d"))

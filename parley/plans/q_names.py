@@ -9,6 +9,7 @@ from parley.functions import text as tx
 from parley.operators import names as nm
 from parley.plans import bindings as b
 from parley.plans.catalog import query
+from parley.session import staged
 
 S = ["session_id"]
 COMMON = f"SELECT w AS word FROM (SELECT {b.clean_sql('t')} AS w FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS t FROM documents)) GROUP BY w HAVING w <> '' AND count(*) >= 20"
@@ -25,8 +26,15 @@ ROSTER = dict(people=PEOPLE, aliases=ALIASES, pform=f"SELECT *, {b.clean_sql('ca
 
 
 def common_words(spark, sf):
-    toks = b.table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("t")).select(tx.clean("t").alias("word"))
-    return toks.filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20").select("word")
+    """Frequent words of the documents, cleaned once per spelling and written, since detectors look them up several times."""
+    spelled = b.table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    words = spelled.select(tx.clean("t").alias("word"), "n").filter("word <> ''")
+    return staged(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n >= 20").select("word"))
+
+
+def cleaned_words(spark, sf, timed=False):
+    """Words with their cleaned forms, written once: every detector reads them several times."""
+    return staged(nm.cleaned(b.words(spark, sf, timed=timed)))
 
 
 def roster(spark, sf):
@@ -77,7 +85,7 @@ def roster_problems(spark, sf):
     snd="SELECT c, 'phonetic' AS match_type, list_sort(list_distinct(list(person_id))) AS ids FROM vc JOIN pcode USING (code) GROUP BY c",
     hit="""SELECT * FROM snd UNION ALL SELECT c, 'alias', list_sort(list_distinct(list(person_id))) FROM v JOIN aform ON c = form WHERE c NOT IN (SELECT c FROM snd) GROUP BY c"""))
 def family_names(spark, sf):
-    f = nm.family_names(b.words(spark, sf, timed=False), *roster(spark, sf), codes=ph.skeleton_codes)
+    f = nm.family_names(cleaned_words(spark, sf), *roster(spark, sf), codes=ph.skeleton_codes)
     return f.select(*nm.AT, "word", "match_type", F.array_join("person_ids", ",").alias("person_ids"))
 
 
@@ -100,7 +108,7 @@ M9B = {k: FORMS[k] for k in _order} | {"edge": CLUSTER["edge"].format(src="occ")
 
 def m9b(spark, sf):
     people, aliases = roster(spark, sf)
-    return nm.inconsistent_names(b.words(spark, sf, timed=False), S, common_words(spark, sf), people, aliases, codes=ph.skeleton_codes)
+    return nm.inconsistent_names(cleaned_words(spark, sf), S, common_words(spark, sf), people, aliases, codes=ph.skeleton_codes)
 
 
 @query("name_clusters", b.with_ctes("cwords", "SELECT * FROM clu", edge=CLUSTER["edge"].format(src="(SELECT * FROM cwords WHERE cap AND length(c) >= 4)"), walk=CLUSTER["walk"], clu=CLUSTER["clu"]))
@@ -125,7 +133,7 @@ def inconsistent_spellings(spark, sf):
 @query("inconsistent_names_by_sound")
 def inconsistent_names_by_sound(spark, sf):
     people, aliases = roster(spark, sf)
-    flags, _ = nm.inconsistent_names(b.words(spark, sf, timed=False), S, common_words(spark, sf), people, aliases)
+    flags, _ = nm.inconsistent_names(cleaned_words(spark, sf), S, common_words(spark, sf), people, aliases)
     return flags.select(*nm.AT, "word", "c", "cluster_id", "n_spellings", "n_occurrences", "majority_form")
 
 
@@ -143,7 +151,7 @@ CARDS = {"iw": IW, "sing": SING, "phr": PHR, "prt": "SELECT session_id, c FROM p
 
 
 def cards_of(spark, sf):
-    w = b.words(spark, sf, timed=False)
+    w = cleaned_words(spark, sf)
     return (w, *nm.name_cards(w, S, common_words(spark, sf), codes=ph.skeleton_codes))
 
 
@@ -157,7 +165,7 @@ STORY = ["session_id", "story_idx"]
 
 def story_words(spark, sf):
     """Words of stories of three lines; every seventh line is outside all stories."""
-    w = b.words(spark, sf, timed=False).filter(F.col("seg_pos") % 7 < 6)
+    w = cleaned_words(spark, sf).filter(F.col("seg_pos") % 7 < 6)
     return w.withColumn("story_idx", F.floor(F.col("seg_pos") / 3).cast("int"))
 
 

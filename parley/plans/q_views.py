@@ -80,7 +80,7 @@ REVIEW = qn.M9B | {_TWO.get(k, k): (v if k == "common" else _renamed(v)) for k,
     carried="""SELECT o.session_id, p, string_agg(DISTINCT det, ',' ORDER BY det) AS dets FROM occ2 o JOIN cov v ON o.session_id = v.session_id AND o.seg_pos = v.seg_pos AND o.word_index = v.wi
       JOIN found f ON o.session_id = f.session_id AND o.c = f.c GROUP BY o.session_id, p"""))
 def review_list(spark, sf):
-    w = b.words(spark, sf, timed=False)
+    w = qn.cleaned_words(spark, sf)
     people, aliases = qn.roster(spark, sf)
     flags, _ = qn.m9b(spark, sf)
     r = nm.review_list(w, nm.family_names(w, people, aliases, ph.skeleton_codes), flags, S)
