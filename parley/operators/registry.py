@@ -41,7 +41,7 @@ class Detector:
     offline_only: bool = False
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A written table, empty where nothing is written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -53,8 +53,8 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     """The latest committed section of each (recording, detector): ``LEDGER`` and its run."""
-    commits = _read(spark, f"{path}/commits", COMMIT).select("run")
-    rows = _read(spark, f"{path}/ledger", f"{LEDGER}, run string").join(commits, "run", "left_semi")
+    commits = read_or_empty(spark, f"{path}/commits", COMMIT).select("run")
+    rows = read_or_empty(spark, f"{path}/ledger", f"{LEDGER}, run string").join(commits, "run", "left_semi")
     rest = [c for c in rows.columns if c not in ("session_id", "detector_id")]
     latest = rows.groupBy("session_id", "detector_id").agg(F.max_by(F.struct(*rest), F.struct("run_no", "run")).alias("_r"))
     return latest.select("session_id", "detector_id", "_r.*")
@@ -62,7 +62,7 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def flags(spark: SparkSession, path: str) -> DataFrame:
     """The flags of all current sections: detector_id and ``FLAG``."""
-    written = _read(spark, f"{path}/flags", f"{FLAG}, run string, detector_id string")
+    written = read_or_empty(spark, f"{path}/flags", f"{FLAG}, run string, detector_id string")
     return written.join(ledger(spark, path).select("session_id", "detector_id", "run"), ["session_id", "detector_id", "run"], "left_semi").drop("run")
 
 
@@ -103,7 +103,7 @@ def scan(words: DataFrame, path: str, detectors: Sequence[Detector], force: bool
     todo = [d for d in offered if d.id in named]
     if not todo:
         return []
-    last = _read(spark, f"{path}/commits", COMMIT).agg(F.max("run_no")).first()[0]
+    last = read_or_empty(spark, f"{path}/commits", COMMIT).agg(F.max("run_no")).first()[0]
     run_no, run = (last or 0) + 1, uuid4().hex
     for d in todo:
         mine = words.join(sections.filter(F.col("detector_id") == d.id).select("session_id"), "session_id", "left_semi")
