@@ -1,12 +1,16 @@
 """Queries over dictionaries, corrections and alignment."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.operators import corrections as co
+from parley.operators import decisions as dc
 from parley.operators import names as nm
 from parley.plans import bindings as b
 from parley.plans.catalog import query
+from parley.session import ensure_checkpoint_dir, staged
 
 AT = nm.AT
 LIB = r"""SELECT item_id AS entry_pos, i, lower(t) AS v, 'N' || item_id || substr(t, 1, 3) AS canonical FROM (SELECT item_id, unnest(p) AS t, unnest(range(len(p))) AS i FROM
@@ -175,3 +179,53 @@ def alignment_merge(spark, sf):
     n = words.groupBy("session_id", "seg_pos").agg(F.count(F.lit(1)).alias("n_words"))
     return segs.drop("n_words").join(n, ["session_id", "seg_pos"], "left").na.fill(0, ["n_words"]).select(
         "session_id", "seg_pos", "status", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "n_words")
+
+
+QUEUE = """SELECT *, CASE WHEN length(key) % 4 = 3 THEN 'auto' ELSE 'pending' END AS state, length(key) % 4 = 0 OR (length(key) % 4 = 1 AND seg_pos % 2 = 0) AS picked
+    FROM (SELECT DISTINCT 'w' || CAST(session_id AS INTEGER) % 4 AS world, c AS key, 'P' || substr(c, 1, 2) AS canonical, session_id, seg_pos, word_index FROM cwords WHERE cap AND length(c) >= 4)"""
+FATE = """SELECT session_id, key, world, canonical, state, count(*) AS n, count(*) FILTER (picked) AS n_picked, length(key) % 4 AS m, CAST(session_id AS INTEGER) % 2 = 0 AS even FROM queue GROUP BY ALL"""
+DECIDED = dict(queue=QUEUE, fate=FATE)
+
+
+def decision_store(spark, sf):
+    """A store after one batch: groups blessed whole or in even segments, rejected, and (in every other recording) demoted."""
+    w = nm.cleaned(b.words(spark, sf, timed=False))
+    n = F.length("key") % 4
+    queue = w.filter("cap").filter(F.length("c") >= nm.MIN_NAME).select(
+        F.concat(F.lit("w"), (F.col("session_id").cast("int") % 4).cast("string")).alias("world"), F.col("c").alias("key"), F.col("c").alias("heard"),
+        F.concat(F.lit("P"), F.substring("c", 1, 2)).alias("canonical"), *AT)
+    queue = staged(queue.withColumn("state", F.when(n == 3, "auto").otherwise("pending")))
+    path = f"{ensure_checkpoint_dir(spark)}/decisions-{uuid4().hex}"
+    dc.create(w.drop("c", "cap"), queue, queue.limit(0).select("world", "canonical", F.col("key").alias("variant")), path, parts=8)
+    asked = queue.select("session_id", "key").distinct().filter((n != 3) | (F.col("session_id").cast("int") % 2 == 0)).select(
+        F.xxhash64("session_id", "key").alias("ordinal"), "session_id", "key",
+        F.when(n < 2, "bless").when(n == 2, "reject").otherwise("demote").alias("action"), F.lit(None).cast("string").alias("canonical"))
+    # a group meant in even segments only has such places named, one that has none a place that is not there
+    some = queue.filter(n == 1)
+    named = some.filter("seg_pos % 2 = 0").select("session_id", "key", "seg_pos", "word_index").unionByName(
+        some.select("session_id", "key").distinct().select("*", F.lit(-1).alias("seg_pos"), F.lit(-1).alias("word_index")))
+    return path, dc.decide(spark, path, asked, named)
+
+
+@query("decided_words", b.with_ctes("cwords", f"""SELECT w.session_id, w.seg_pos, w.word_index, CASE WHEN p.canonical IS NOT NULL THEN p.canonical || CASE WHEN regexp_matches(word, {PUNCT}) THEN regexp_extract(word, {PUNCT}, 2) ELSE '' END ELSE word END AS word,
+    CASE WHEN p.canonical IS NOT NULL THEN word END AS original FROM cwords w LEFT JOIN (SELECT * FROM queue WHERE picked) p USING (session_id, seg_pos, word_index)""", **DECIDED))
+def decided_words(spark, sf):
+    path, _ = decision_store(spark, sf)
+    return dc.state(spark, path, "words").select(*AT, "word", "original")
+
+
+@query("decided_state", b.with_ctes("cwords", """SELECT 'waiting' AS part, session_id AS scope, key, canonical, CASE WHEN m = 2 THEN 'rejected' WHEN m = 3 AND even THEN 'pending' ELSE state END AS state, n - n_picked AS n FROM fate WHERE n > n_picked
+    UNION ALL SELECT DISTINCT 'dictionary', world, key, arg_canon, NULL, 1 FROM (SELECT *, min(canonical) OVER (PARTITION BY world, lower(canonical)) AS arg_canon FROM fate WHERE n_picked = n) WHERE lower(key) <> lower(canonical)
+    UNION ALL SELECT 'audit', session_id, key, canonical, CASE WHEN m < 2 THEN 'blessed' WHEN m = 2 THEN 'rejected' ELSE 'demoted' END, CASE WHEN m < 2 THEN n_picked ELSE n END FROM fate WHERE n_picked > 0 OR m = 2 OR (m = 3 AND even)
+    UNION ALL SELECT 'audit', session_id, key, canonical, 'variant', 0 FROM fate WHERE n_picked = n
+    UNION ALL SELECT 'outcome', session_id, key, NULL, CASE WHEN m = 2 THEN 'rejected' WHEN m = 3 THEN 'demoted' WHEN n_picked = 0 THEN 'no matching place' WHEN n_picked < n THEN 'partly blessed' ELSE 'blessed' END, CASE WHEN m < 2 THEN n_picked ELSE n END FROM fate WHERE m < 3 OR even""", **DECIDED), bigint="n")
+def decided_state(spark, sf):
+    """Queue, dictionary and audit after the batch, and what became of each decision."""
+    path, outcome = decision_store(spark, sf)
+    waiting = dc.state(spark, path, "waiting").groupBy(F.lit("waiting").alias("part"), F.col("session_id").alias("scope"), "key", "canonical", "state").agg(F.count(F.lit(1)).alias("n"))
+    learnt = dc.state(spark, path, "dictionary").select(F.lit("dictionary").alias("part"), F.col("world").alias("scope"), F.col("variant").alias("key"), "canonical",
+                                                       F.lit(None).cast("string").alias("state"), F.lit(1).cast("long").alias("n"))
+    audit = dc.state(spark, path, "audit").select(F.lit("audit").alias("part"), F.col("session_id").alias("scope"), "key", "canonical", F.col("kind").alias("state"),
+                                                  F.coalesce("n_places", F.lit(0).cast("long")).alias("n"))
+    told = outcome.select(F.lit("outcome").alias("part"), F.col("session_id").alias("scope"), "key", F.lit(None).cast("string").alias("canonical"), F.col("status").alias("state"), F.col("n_places").alias("n"))
+    return waiting.unionByName(learnt).unionByName(audit).unionByName(told)
