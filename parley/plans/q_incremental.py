@@ -10,7 +10,7 @@ from parley.operators.registry import Detector, ledger, scan
 from parley.plans import bindings as b
 from parley.plans.catalog import query
 from parley.session import ensure_checkpoint_dir
-from parley.sources import tables
+from parley.sources import layout, tables
 
 SEGFP = "SELECT session_id, seg_pos, sha256(string_agg(word, chr(10) ORDER BY word_index)) AS fp FROM words GROUP BY ALL"
 
@@ -163,3 +163,15 @@ def detector_rescan(spark, sf):
     edited = F.when((F.col("session_id").cast("long") % 5 == 0) & (F.col("word_index") == 0), F.concat("word", F.lit("-edited"))).otherwise(F.col("word"))
     scan(words.withColumn("word", edited), path, [doubtful(0.5), plain])
     return ledger(spark, path).select("session_id", "detector_id", F.col("run_no").cast("int").alias("run_no"), "n_word_tokens", "n_flags", "config")
+
+
+@query("clustered_segments", b.with_ctes("words", """SELECT session_id, seg_pos, s.is_gap, s.text, count(*) AS n_words, sum(length(word)) AS n_letters
+    FROM words w JOIN segments s USING (session_id, seg_pos) GROUP BY ALL"""), bigint="n_letters")
+def clustered_segments(spark, sf):
+    """Words and segments written as bucketed tables, joined and counted by segment where they lie."""
+    name = f"clustered_{uuid4().hex}"
+    made = layout.Layout(name, f"{ensure_checkpoint_dir(spark)}/{name}", buckets=8, by_day=False)
+    layout.save(b.words(spark, sf, timed=False).select("session_id", "seg_pos", "word_index", "word"), made, "words")
+    layout.save(b.lines(spark, sf).select("session_id", "seg_pos", "is_gap", "text"), made, "segments")
+    return layout.segment_words(spark, made).groupBy("session_id", "seg_pos", "is_gap", "text").agg(
+        F.count(F.lit(1)).alias("n_words"), F.sum(F.length("word")).cast("long").alias("n_letters"))

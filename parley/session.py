@@ -28,7 +28,7 @@ def build_session(app: str = "parley", master: str | None = None, **conf) -> Spa
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; where it is unset, one in the warehouse.
 
-    Both lie on the cluster's shared file system; a machine's own temporary folder is never used.
+    On a cluster set it, or a warehouse that all machines share: Spark's default warehouse is a local folder.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -42,7 +42,7 @@ def staged(df: DataFrame) -> DataFrame:
     """Write an intermediate as Parquet into the checkpoint folder and read it from there.
 
     For tables read by several branches of a plan: smaller than a checkpoint, and Spark knows their
-    size when it plans. They lie under the application's id and go with its checkpoints.
+    size when it plans. They lie under the application's id; nothing removes them when it ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/staged-{spark.sparkContext.applicationId}/{uuid4().hex}"
