@@ -24,7 +24,7 @@ LOUD = f"""SELECT w.session_id, w.event_id, w.word, w."start", w."end", {_window
     FROM timed_words w JOIN lst l ON w.session_id = l.session_id WHERE (w.session_id, w."start" // 86400000000) NOT IN (SELECT session_id, d FROM folded)"""
 FOLDED = """SELECT s.session_id, d FROM (SELECT session_id, "start" // 86400000000 AS d, arg_min(word, event_id) AS text FROM timed_words GROUP BY ALL) s
     JOIN (SELECT session_id, min("start" // 86400000000) AS d0, min(word) AS filler FROM timed_words GROUP BY ALL) f ON s.session_id = f.session_id AND d BETWEEN d0 + 1 AND d0 + 12 AND trim(text) = filler"""
-TOTAL = """SELECT w.session_id, w.event_id, least(coalesce(sum(least(w."end", t."end") - greatest(w."start", t."start")) FILTER (t.speaker IS NOT NULL), 0) / any_value(w."end" - w."start"), 1.0) AS total FROM timed_words w
+TOTAL = """SELECT w.session_id, w.event_id, CASE WHEN any_value(w."end" - w."start") > 0 THEN least(coalesce(sum(least(w."end", t."end") - greatest(w."start", t."start")) FILTER (t.speaker IS NOT NULL), 0) / any_value(w."end" - w."start"), 1.0) ELSE 0.0 END AS total FROM timed_words w
     LEFT JOIN (SELECT * FROM turns WHERE speaker = 'view') t ON w.session_id = t.session_id AND w."start" < t."end" AND t."start" < w."end" GROUP BY w.session_id, w.event_id"""
 CLASS = """SELECT *, CASE WHEN loud_db >= threshold THEN 'ok' WHEN total < 0.1 AND near_db >= threshold AND coded THEN 'drifted_coded' WHEN total < 0.1 AND near_db >= threshold THEN 'drifted' WHEN total < 0.1 THEN 'isolated' ELSE 'quiet_ambiguous' END AS category,
     round(CASE WHEN loud_db >= threshold THEN 0 WHEN total < 0.1 AND near_db >= threshold THEN 0.6 + 0.4 * q WHEN total < 0.1 THEN 0.4 + 0.2 * q ELSE 0.3 + 0.2 * q END, 3) AS score FROM
