@@ -23,7 +23,7 @@ def events(spark, tmp_path_factory):
     return sf, con
 
 
-@pytest.mark.parametrize("name", ["timestamp_drift"])
+@pytest.mark.parametrize("name", ["timestamp_drift", "drift_tally"])
 def test_empty_words_are_covered_by_nobody(spark, events, name):
     sf, con = events
     df = catalog.QUERIES[name](spark, sf)
