@@ -160,7 +160,20 @@ def speaker_number(col) -> Column:
 
 
 def gap_id(start_seconds) -> Column:
-    return F.format_string("gap_%.3f", _c(start_seconds))
+    """'gap_' and the seconds with three decimals, rounded from the double's exact value, an exact half to the even digit.
+
+    Spark's own formats round the shortest decimal form of a double instead: 375908.6985 is a little less than that.
+    The fraction is cut in two so that both parts times 1000 are exact.
+    """
+    x = _c(start_seconds)
+    fraction = F.abs(x) - F.floor(F.abs(x))
+    high = F.floor(fraction * 2 ** 26) / F.lit(float(2 ** 26))
+    whole = F.floor(high * 1000)
+    rest = (high * 1000 - whole) + (fraction - high) * 1000
+    up = (rest > 0.5) | ((rest == 0.5) & (whole % 2 == 1))
+    thousandths = F.floor(F.abs(x)) * 1000 + whole + up.cast("int")
+    return F.concat(F.lit("gap_"), F.when(x < 0, "-").otherwise(""), ((thousandths - thousandths % 1000) / 1000).cast("long").cast("string"),
+                    F.lit("."), F.lpad((thousandths % 1000).cast("string"), 3, "0"))
 
 
 def forms(cleaned) -> Column:
