@@ -11,7 +11,7 @@ from parley.operators.filters import word_text
 from parley.operators.names import AT, SEG
 from parley.operators.phrases import phrases_in
 from parley.operators.skew import keyed_lookup
-from parley.session import materialize
+from parley.session import materialize, staged
 
 HISTORY = ArrayType(StructType([StructField(c, StringType()) for c in ("stage", "from", "to")]))
 
@@ -116,11 +116,21 @@ def occurrences_by_pattern(texts: DataFrame, ids: Sequence[str], names: DataFram
 
     ``names`` has canonical, variant (any number of words) and, optionally, ``prefix``: true where the variant may go on,
     as in "pandava" for "pandavas".
+
+    Each variant is searched and counted once, however many names have it; texts with several variants are
+    counted once per set of variants that some name has.
     """
-    kept = [c for c in ("canonical", "variant", "prefix") if c in names.columns]
-    hits = phrases_in(texts, ids, text, names.select(*kept).distinct(), "variant", "prefix" if "prefix" in kept else None)
-    return hits.groupBy("canonical").agg(F.sum("_n").alias("n"),
-                                         F.countDistinct("variant").alias("n_variants"), F.countDistinct(*ids).alias("n_texts"))
+    keys = [c for c in ("variant", "prefix") if c in names.columns]
+    names = names.select("canonical", "variant", *[F.coalesce("prefix", F.lit(False)).alias("prefix")][:len(keys) - 1]).distinct()
+    hits = staged(phrases_in(texts, ids, text, names.select(*keys).distinct(), "variant", "prefix" if "prefix" in keys else None))
+    counts = hits.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.countDistinct(*ids).alias("_texts"))
+    found = staged(names.join(counts, keys).groupBy("canonical").agg(
+        F.sum("_n").alias("n"), F.countDistinct("variant").alias("n_variants"), F.array_sort(F.collect_set(F.struct(*keys))).alias("_set"),
+        F.max("_texts").alias("_texts")))
+    several = found.filter(F.size("_set") > 1).select("_set").distinct()
+    members = several.select("_set", F.explode("_set").alias("_v")).select("_set", "_v.*")
+    together = hits.join(members, keys).select("_set", *ids).distinct().groupBy("_set").agg(F.count(F.lit(1)).alias("_all"))
+    return found.join(together, "_set", "left").select("canonical", "n", "n_variants", F.coalesce("_all", "_texts").alias("n_texts"))
 
 
 def queue_sessions(pending: DataFrame) -> DataFrame:
