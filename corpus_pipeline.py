@@ -1,4 +1,4 @@
-"""A training corpus from raw documents: language, exact and near copies, mix, packed sequences."""
+"""An English training corpus from raw documents: language, exact and near copies, mix, packed sequences."""
 
 from functools import reduce
 
@@ -12,10 +12,13 @@ from parley.llm.near_dedup import keep_one_of_each
 from parley.llm.packing import pack
 from parley.session import staged
 
+#: Languages of the corpus, as the labels name them.
+LANGUAGES = ["en"]
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; texts without a letter and null texts go."""
-    return known_language(docs)
+    """Documents predicted to be in the corpus's languages, whatever their label; texts without a letter and null texts go."""
+    return known_language(docs, languages=LANGUAGES)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

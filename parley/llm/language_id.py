@@ -4,7 +4,7 @@ Weights come from follow-the-regularised-leader with elastic-net penalties, prob
 temperature fitted on rows that the weights haven't seen.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -220,9 +220,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(keyed.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, floor: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a language of at least ``floor``, columns as they are."""
+def known_language(docs: DataFrame, floor: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                   languages: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` predicted as one of ``languages`` (any, where it is None) with a score of at least ``floor``.
+
+    Columns stay as they are. A row's own label decides nothing about it; without any labelled row no row is kept.
+    """
     model = train(docs.filter(~held_out(F.col(id_col))), id_col, text_col, lang_col)
     named = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)])
     judged = predict(named, model, f"_{docs.columns.index(text_col)}").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= floor))
+    if languages is not None:
+        judged = judged.filter(F.col("lang_pred").isin(list(languages)))
     return judged.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
