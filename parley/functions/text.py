@@ -54,12 +54,15 @@ def strip(col) -> Column:
 
 
 def clean(col) -> Column:
-    """Bare lower-case letters of a token, without edge punctuation and possessive."""
+    """Bare lower-case letters of a token, without edge punctuation and possessive.
+
+    Most tokens are letters alone and need none of the replacements.
+    """
     t = F.lower(strip(col))
     t = F.regexp_replace(t, r"[^a-z'’]+$", "")
     t = F.regexp_replace(t, r"^[^a-z'’]+", "")
     t = F.regexp_replace(t, r"['’]s?$", "")
-    return F.regexp_replace(t, r"[^a-z]", "")
+    return F.when(_c(col).rlike(r"^[A-Za-z]+\z"), F.lower(_c(col))).otherwise(F.regexp_replace(t, r"[^a-z]", ""))
 
 
 def letters(col) -> Column:

@@ -50,14 +50,14 @@ def proper_names(spark, sf):
 
 @query("name_phrases", b.with_ctes("cwords", "SELECT * FROM phr", iw=IW, sing=SING, phr=PHR))
 def name_phrases(spark, sf):
-    w = b.words(spark, sf, timed=False)
+    w = cleaned_words(spark, sf)
     return nm.name_phrases(w, nm.proper_names(w, S), S)
 
 
 @query("common_forms", b.with_ctes("cwords", """SELECT c, c IN (SELECT word FROM common) OR (c LIKE '%s' AND substr(c, 1, length(c) - 1) IN (SELECT word FROM common)) AS is_common,
     c IN (SELECT word FROM common) AS is_listed FROM (SELECT DISTINCT c FROM cwords WHERE c <> '')""", common=COMMON))
 def common_forms(spark, sf):
-    forms = b.words(spark, sf, timed=False).select(tx.clean("word").alias("c")).filter("c <> ''").distinct()
+    forms = staged(b.words(spark, sf, timed=False).select("word").distinct().select(tx.clean("word").alias("c")).filter("c <> ''").distinct())
     common = common_words(spark, sf)
     return nm.flag_common(nm.flag_common(forms, common), common, plural=False, name="is_listed")
 
