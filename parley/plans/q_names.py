@@ -211,7 +211,7 @@ def card_examples(spark, sf):
 @query("find_spellings", b.with_ctes("cwords", """SELECT w.session_id, seg_pos, word_index, t AS cleaned FROM line w JOIN (SELECT DISTINCT t, string_split(t, ' ') AS parts FROM key) ON c = parts[1] AND list_slice(cs, spot, spot + len(parts) - 1) = parts""",
     line="SELECT a.*, cs FROM (SELECT session_id, seg_pos, word_index, c, row_number() OVER (PARTITION BY session_id, seg_pos ORDER BY word_index) AS spot FROM cwords) a JOIN (SELECT session_id, seg_pos, list(c ORDER BY word_index) AS cs FROM cwords GROUP BY ALL) USING (session_id, seg_pos)",
     toks="SELECT list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda t: " + b.clean_sql("t") + "), lambda t: t <> '') AS t FROM benchmark",
-    key="SELECT unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 3], ' ')))) AS t FROM toks"))
+    key="SELECT unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' ')))) AS t FROM toks"))
 def find_spellings(spark, sf):
     clean = F.filter(F.transform(F.split("text", r"\s+"), tx.clean), lambda x: x != "")
     def runs(n):
