@@ -189,12 +189,13 @@ def expand(flags: DataFrame, words: DataFrame, scope: Sequence[str], codes: Code
     sure = coded.select(F.col("c").alias("key"), F.col("r").alias("_r"), F.arrays_overlap("_a", "_b").alias("confident"))
     rated = materialize(keyed_lookup(flags.withColumn("_r", tx.clean("canonical")), sure, ["key", "_r"], list(scope)).drop("_r"))
     rest = [a for a in AT if a not in scope]
-    single = cleaned(words).select(*scope, *rest, tx.strip("word").alias("token"), F.col("c").alias("key"), F.lit(0).alias("_two"))
-    double = bigrams(words).select(*scope, *rest, F.concat_ws(" ", tx.strip("word"), tx.strip("word2")).alias("token"),
-                                   tx.clean(F.concat("c", "c2")).alias("key"), F.lit(1).alias("_two"))
+    single = cleaned(words).select(*scope, *rest, "word", F.lit(None).cast("string").alias("word2"), F.col("c").alias("key"), F.lit(0).alias("_two"))
+    # cleaned forms hold letters alone, and so do two run together
+    double = bigrams(words).select(*scope, *rest, "word", "word2", F.concat("c", "c2").alias("key"), F.lit(1).alias("_two"))
     uses = keyed_lookup(single.unionByName(double), rated, [*scope, "key"], AT)
     where = list(dict.fromkeys([*scope, *AT, "case"]))
-    return first_row(uses, where, [F.col("_two"), F.col("flag_id")]).drop("_two")
+    first = first_row(uses, where, [F.col("_two"), F.col("flag_id")]).drop("_two")
+    return first.withColumn("token", F.concat_ws(" ", tx.strip("word"), tx.strip("word2"))).drop("word", "word2")
 
 
 def canon_tier() -> Column:

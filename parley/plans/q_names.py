@@ -26,15 +26,25 @@ ROSTER = dict(people=PEOPLE, aliases=ALIASES, pform=f"SELECT *, {b.clean_sql('ca
 
 
 def common_words(spark, sf):
-    """Frequent words of the documents, cleaned once per spelling and written, since detectors look them up several times."""
-    spelled = b.table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    words = spelled.select(tx.clean("t").alias("word"), "n").filter("word <> ''")
-    return staged(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n >= 20").select("word"))
+    """Frequent words of the documents, written, since detectors look them up several times."""
+    return staged(frequent_words(b.table(spark, sf, "documents")))
+
+
+def frequent_words(documents):
+    """Words used twenty times or more, cleaned once per spelling."""
+    spelled = documents.select(F.explode(F.split("text", r"\s+")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    words = spelled.select(tx.clean("t").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    # a test of the word alone would be pushed below both counts, and every token cleaned for it
+    return words.filter(F.when(F.col("word") != "", F.col("n")) >= 20).select("word")
 
 
 def cleaned_words(spark, sf, timed=False):
-    """Words with their cleaned forms, written once: every detector reads them several times."""
-    return staged(nm.cleaned(b.words(spark, sf, timed=timed)))
+    """Words with their cleaned forms, written once: every detector reads them several times.
+
+    Without times their neighbours are written too; of the timed ones only one step asks for those.
+    """
+    w = b.words(spark, sf, timed=timed)
+    return staged(nm.cleaned(w) if timed else nm.beside(w))
 
 
 def roster(spark, sf):
@@ -106,9 +116,9 @@ M9B = {k: FORMS[k] for k in _order} | {"edge": CLUSTER["edge"].format(src="occ")
         WHERE NOT (top * 2 > n_occurrences AND o.c = mc)"""}
 
 
-def m9b(spark, sf):
+def m9b(spark, sf, words=None):
     people, aliases = roster(spark, sf)
-    return nm.inconsistent_names(cleaned_words(spark, sf), S, common_words(spark, sf), people, aliases, codes=ph.skeleton_codes)
+    return nm.inconsistent_names(cleaned_words(spark, sf) if words is None else words, S, common_words(spark, sf), people, aliases, codes=ph.skeleton_codes)
 
 
 @query("name_clusters", b.with_ctes("cwords", "SELECT * FROM clu", edge=CLUSTER["edge"].format(src="(SELECT * FROM cwords WHERE cap AND length(c) >= 4)"), walk=CLUSTER["walk"], clu=CLUSTER["clu"]))
@@ -150,9 +160,11 @@ CARDS = {"iw": IW, "sing": SING, "phr": PHR, "prt": "SELECT session_id, c FROM p
     "cards": "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, card_key) AS card_id FROM cards0"}
 
 
-def cards_of(spark, sf):
+def cards_of(spark, sf, common=None):
+    """(words, cards, members); ``common`` is the word list, where the caller needs it too."""
     w = cleaned_words(spark, sf)
-    return (w, *nm.name_cards(w, S, common_words(spark, sf), codes=ph.skeleton_codes))
+    common = common_words(spark, sf) if common is None else common
+    return (w, *nm.name_cards(w, S, common, codes=ph.skeleton_codes))
 
 
 @query("name_cards", b.with_ctes("cwords", "SELECT * FROM cards", **CARDS))

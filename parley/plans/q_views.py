@@ -82,7 +82,7 @@ REVIEW = qn.M9B | {_TWO.get(k, k): (v if k == "common" else _renamed(v)) for k,
 def review_list(spark, sf):
     w = qn.cleaned_words(spark, sf)
     people, aliases = qn.roster(spark, sf)
-    flags, _ = qn.m9b(spark, sf)
+    flags, _ = qn.m9b(spark, sf, w)
     r = nm.review_list(w, nm.family_names(w, people, aliases, ph.skeleton_codes), flags, S)
     return r.drop("coded").withColumn("detectors", F.array_join("detectors", ","))
 
