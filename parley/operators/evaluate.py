@@ -269,10 +269,11 @@ def filter_scorecard(majorities: DataFrame, truth: DataFrame, keys: Sequence[str
 def forced_rates(clips: DataFrame, cast: DataFrame, codes) -> DataFrame:
     """Share of control clips in which a cast name appears, per mode: mode, clip_id, word."""
     from parley.functions.phonetic import code_rows, with_codes
-    w = clips.withColumn("c", tx.clean("word"))
+    spelled = materialize(clips.select("word").distinct()).withColumn("c", tx.clean("word"))
     cast_codes = code_rows(with_codes(cast, "form", codes)).select("code").distinct()
-    hits = (code_rows(with_codes(w, "c", codes)).join(cast_codes, "code", "left_semi").select("c").distinct().withColumn("_h", F.lit(True)))
-    per = keyed_lookup(w, hits, ["c"], ["clip_id"], "left").groupBy("mode", "clip_id").agg(F.bool_or(F.coalesce("_h", F.lit(False))).alias("_f"))
+    alike = code_rows(with_codes(spelled, "c", codes)).join(cast_codes, "code", "left_semi").select("c").distinct()
+    hits = spelled.join(alike, "c", "left_semi").select("word").withColumn("_h", F.lit(True))
+    per = keyed_lookup(clips, hits, ["word"], ["clip_id"], "left").groupBy("mode", "clip_id").agg(F.bool_or(F.coalesce("_h", F.lit(False))).alias("_f"))
     return per.groupBy("mode").agg(F.count(F.lit(1)).alias("n_clips"), F.count_if("_f").alias("n_forced"),
                                    F.round(F.avg(F.col("_f").cast("int")), 3).alias("rate"))
 
