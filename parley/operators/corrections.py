@@ -147,9 +147,11 @@ def queue_rollup(pending: DataFrame) -> DataFrame:
 def bless(dictionary: DataFrame, decided: DataFrame) -> DataFrame:
     """Dictionary with the decided (world, heard, canonical) variants added, compared without case."""
     held = dictionary.select("world", F.lower("canonical").alias("_c"), F.lower("variant").alias("_v")).distinct()
-    fresh = (decided.withColumn("_c", F.lower("canonical")).withColumn("_v", F.lower("heard")).filter("_c <> _v")
-             .join(held, ["world", "_c", "_v"], "left_anti")
+    # one row per variant before the join: a decision may come once per use
+    asked = (decided.groupBy("world", "canonical", "heard").agg(F.lit(1).alias("_n"))
+             .withColumn("_c", F.lower("canonical")).withColumn("_v", F.lower("heard")).filter("_c <> _v")
              .groupBy("world", "_c", "_v").agg(F.min("canonical").alias("canonical"), F.min("heard").alias("variant")))
+    fresh = asked.join(held, ["world", "_c", "_v"], "left_anti")
     return dictionary.unionByName(fresh.select("world", "canonical", "variant"))
 
 

@@ -142,7 +142,7 @@ def bless_split(spark, sf):
 @query("bless_dictionary", b.with_ctes("cwords", """SELECT world, canonical, key AS variant FROM (SELECT DISTINCT world, key, canonical FROM pend WHERE lower(key) <> lower(canonical))
     UNION ALL SELECT 'w9', 'Old', 'olde'""", pend=PEND))
 def bless_dictionary(spark, sf):
-    p = pending(spark, sf).select("world", "canonical", F.col("key").alias("heard"))
+    p = staged(pending(spark, sf).select("world", "canonical", F.col("key").alias("heard")).distinct())
     # one world known before, and half of the pairs twice in another case
     old = p.limit(0).select("world", "canonical", F.col("heard").alias("variant")).unionByName(
         p.sparkSession.range(1).select(F.lit("w9").alias("world"), F.lit("Old").alias("canonical"), F.lit("olde").alias("variant")))
