@@ -34,6 +34,7 @@ STAGE = "namefix_bless"
 GROUP = ["session_id", "key"]
 PLACE = [*GROUP, "state", "seg_pos", "word_index"]
 BLOCK = 4096
+SHARDS = 64          # tasks that may write one part's recordings
 
 
 class Conflict(RuntimeError):
@@ -49,8 +50,12 @@ def _columns(schema: str) -> list[str]:
 
 
 def _write(df: DataFrame, path: str, name: str, run: str, spread: Sequence[str] = ()) -> None:
-    """Write the parts of one table; ``spread`` keeps a part of one long recording off a single task."""
-    df.repartition("part", *[F.floor(F.col(c) / BLOCK) for c in spread]).write.partitionBy("part").parquet(f"{path}/{name}/run={run}")
+    """Write the parts of one table; ``spread`` keeps a part, and one long recording, off a single task.
+
+    Spark puts small shares together, so a small table still has one file a part.
+    """
+    shard = [F.pmod(F.xxhash64("session_id"), F.lit(SHARDS))] if spread else []
+    df.repartition("part", *shard, *[F.floor(F.col(c) / BLOCK) for c in spread]).write.partitionBy("part").parquet(f"{path}/{name}/run={run}")
 
 
 def _publish(spark: SparkSession, path: str, row: tuple) -> None:
