@@ -181,7 +181,7 @@ def alignment_merge(words: DataFrame, segments: DataFrame, aligned: DataFrame, m
     nt, nw = F.size("_toks"), F.col("_nw")
     status = (F.when(F.col("_conf").isNull(), "skipped").when(nt == nw, "realigned")
               .when((nt > nw) & (nt <= F.greatest(2 * nw, nw + 4)) & (F.col("_conf") >= min_confidence), "rescued").otherwise("guarded"))
-    facts = materialize(facts.withColumn("status", status))
+    facts = staged(facts.withColumn("status", status))
     spans = aligned.select(*SEG, F.col("token_no").alias("word_index"), "s", "e", F.round("conf", 3).alias("_c"))
     same = (words.join(facts.filter("status <> 'rescued'").select(*SEG, "status"), SEG, "left").filter(
         F.col("status").isNotNull()).join(spans, AT, "left"))
