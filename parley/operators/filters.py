@@ -97,22 +97,34 @@ def text_word_mismatch(segments: DataFrame, words: DataFrame, per_second: float
                     ((dur < 0.30) | (wps > 6.0)).alias("crammed")))
 
 
-def garbage_census(words: DataFrame, coded: DataFrame, owned: DataFrame) -> DataFrame:
+def bare_word(word: Column) -> Column:
+    """Letters of a word's surface; null without any."""
+    return F.get(F.transform(F.array(tx.letters(word["word"])), lambda x: F.when(x != "", x)), 0)
+
+
+def garbage_census(lines: DataFrame, coded: DataFrame, owned: DataFrame) -> DataFrame:
     """Script and symbol tokens, repeat runs and zero-probability runs, each with a coded flag.
 
-    ``coded`` lists segments a person labelled; repeat runs skip ``owned`` segments.
+    ``lines`` are segments with their ``words`` as arrays (see ``runs_in_segment``); only findings are moved. ``coded``
+    lists segments a person labelled; repeat runs skip ``owned`` segments.
     """
-    body = ["session_id", "seg_pos", "word_index", "start", "end"]
-    odd = words.withColumn("cls", tx.token_class("word")).filter("cls is not null").select(
-        "cls", *body, tx.strip("word").alias("token"))
-    bare = F.nullif(tx.letters("word"), F.lit(""))
-    repeats = runs_in_segment(words.join(owned.select(*SEG), SEG, "left_anti"), bare, 3).select(
-        F.lit("repeat").alias("cls"), *body, F.concat(tx.strip("first_word"), F.lit(" x"), F.col("length").cast("string")).alias("token"))
-    zero = runs_in_segment(words, F.when(near_zero(), F.lit(1)), 1).select(
-        F.lit("zeroprob").alias("cls"), *body, tx.strip("first_word").alias("token"))
-    found = odd.unionByName(repeats).unionByName(zero)
-    marked = coded.select(*SEG).distinct().withColumn("coded", F.lit(True))
-    return found.join(marked, SEG, "left").withColumn("coded", F.coalesce("coded", F.lit(False)))
+    def finding(cls: Column, w: Column, token: Column) -> Column:
+        return F.struct(cls.alias("cls"), w["word_index"].alias("word_index"), w["start"].alias("start"), w["end"].alias("end"), token.alias("token"))
+
+    each = F.transform("words", lambda w: finding(F.lit(None).cast("string"), w, w["word"]))
+    repeats = F.transform(runs_in_segment(F.col("words"), bare_word, 3), lambda r: finding(
+        F.lit("repeat"), r, F.concat(tx.strip(r["first_word"]), F.lit(" x"), r["length"].cast("string"))))
+    zero = F.transform(runs_in_segment(F.col("words"), lambda w: F.when(w["probability"] < 0.01, F.lit(1)), 1),
+                       lambda r: finding(F.lit("zeroprob"), r, tx.strip(r["first_word"])))
+    found = lines.select(*SEG, F.inline(F.concat(each, repeats, zero)))
+    odd = F.col("cls").isNull()
+    found = (found.withColumn("token", F.when(odd, tx.strip("token")).otherwise(F.col("token")))
+             .withColumn("cls", F.when(odd, tx.token_class("token")).otherwise(F.col("cls"))).filter("cls is not null"))
+    marks = (coded.select(*SEG, F.lit(True).alias("coded"), F.lit(False).alias("_owned"))
+             .unionByName(owned.select(*SEG, F.lit(False).alias("coded"), F.lit(True).alias("_owned")))
+             .groupBy(*SEG).agg(F.bool_or("coded").alias("coded"), F.bool_or("_owned").alias("_owned")))
+    both = found.join(marks, SEG, "left").na.fill(False, ["coded", "_owned"])
+    return both.filter(~(F.col("_owned") & (F.col("cls") == "repeat"))).select("cls", *SEG, "word_index", "start", "end", "token", "coded")
 
 
 def census_table(findings: DataFrame) -> DataFrame:

@@ -60,15 +60,25 @@ def zones(candidates: DataFrame, keys: Sequence[str], max_gap: int, width: int)
                        starts=lambda prev, row: row - prev > max_gap, name="zone")
 
 
-def runs_in_segment(words: DataFrame, value: Column, min_length: int) -> DataFrame:
-    """Runs of an equal non-null value inside one segment (a segment is one source row)."""
-    w = Window.partitionBy("session_id", "seg_pos").orderBy("word_index")
-    tagged = words.withColumn("_v", value)
-    prev = F.lag("_v").over(w)
-    tagged = tagged.withColumn("_new", F.when(F.col("_v").isNotNull() & prev.eqNullSafe(F.col("_v")), 0).otherwise(1))
-    tagged = tagged.withColumn("run", F.sum("_new").over(w)).filter("_v is not null")
-    return (tagged.groupBy("session_id", "seg_pos", "run")
-            .agg(F.count(F.lit(1)).alias("length"), F.min("word_index").alias("word_index"),
-                 F.min("start").alias("start"), F.max_by("end", "word_index").alias("end"),
-                 F.min_by("word", "word_index").alias("first_word"))
-            .filter(F.col("length") >= min_length).drop("run"))
+def runs_in_segment(words: Column, value: Callable[[Column], Column], min_length: int) -> Column:
+    """Runs of an equal non-null value inside one segment (a segment is one source row).
+
+    ``words`` is the segment's array of (word_index, word, start, end, ...) in order. Runs are found in
+    the row itself, so words are neither moved nor sorted and a task holds one segment at a time.
+    """
+    def among(a: Column) -> Column:
+        def edge(step: int) -> Column:
+            return F.array_compact(F.transform(a, lambda x, i: F.when(x["v"].isNotNull() & ~x["v"].eqNullSafe(F.get(a, i + step)["v"]), i)))
+
+        def run(span: Column) -> Column:
+            first, last = span["first"], span["last"]
+            head, inside = F.get(a, first)["w"], F.slice(a, first + 1, last - first + 1)
+            return F.struct((last - first + 1).cast("long").alias("length"), head["word_index"].alias("word_index"),
+                            F.array_min(F.transform(inside, lambda x: x["w"]["start"])).alias("start"),
+                            F.get(a, last)["w"]["end"].alias("end"), head["word"].alias("first_word"))
+
+        spans = F.zip_with(edge(-1), edge(1), lambda first, last: F.struct(first.alias("first"), last.alias("last")))
+        return F.transform(F.filter(spans, lambda s: s["last"] - s["first"] >= min_length - 1), run)
+
+    valued = F.transform(words, lambda w: F.struct(w.alias("w"), value(w).alias("v")))
+    return F.get(F.transform(F.array(valued), among), 0)  # bound once, not once per word

@@ -54,28 +54,38 @@ def _toks(col: str) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
 
 
+def _word(raw: Column, i: Column, role: Column, seg_pos: Column, start: Column | None) -> list[Column]:
+    """Columns of the ``i``-th word of a line; every few longer words are written with a capital, to act as names."""
+    n = F.length(raw)
+    named = (n >= 6) & ((n + i) % 3 == 0) & raw.rlike("^[a-z]")
+    surface = F.when(named, F.concat(F.upper(F.substring(raw, 1, 1)), F.substring(raw, F.lit(2), n))).otherwise(raw)
+    silent = (n + i) % 13 == 0
+    return [surface.alias("word"),
+            *([] if start is None else [(start + 300 * i).alias("start"), (start + 300 * i + 300).alias("end")]),
+            F.when((n + i) % 17 == 0, F.lit(None)).otherwise(((n * 37 + i * 11) % 100) / F.lit(100.0)).alias("probability"),
+            F.when(silent, F.lit(None)).when((i + seg_pos) % 5 == 0, F.lit("guest")).otherwise(role).alias("speaker_label"),
+            F.when(silent, F.lit(0.0)).otherwise(((n * 29) % 100 + 1) / F.lit(100.0)).alias("coverage")]
+
+
 def words(spark: SparkSession, sf: str, timed: bool = True) -> DataFrame:
-    """One row per word; every few longer words are written with a capital, to act as names."""
+    """One row per word."""
     if timed:
         s = segments(spark, sf)
     else:
         s = table(spark, sf, "conversations").select(
             F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("seg_pos"),
             F.col("role").alias("speaker_label"), "text")
-    n, i = F.length("_raw"), F.col("word_index")
     w = s.select("session_id", "seg_pos", F.col("speaker_label").alias("_role"),
                  *([F.col("start").alias("_s")] if timed else []),
                  F.posexplode(_toks("text")).alias("word_index", "_raw"))
-    named = (n >= 6) & ((n + i) % 3 == 0) & F.col("_raw").rlike("^[a-z]")
-    surface = F.when(named, F.concat(F.upper(F.substring("_raw", 1, 1)), F.expr("substring(_raw, 2)"))).otherwise(F.col("_raw"))
-    silent = (n + i) % 13 == 0
-    return w.select(
-        "session_id", "seg_pos", "word_index", surface.alias("word"),
-        *([(F.col("_s") + 300 * i).alias("start"), (F.col("_s") + 300 * i + 300).alias("end")] if timed else []),
-        F.when((n + i) % 17 == 0, F.lit(None)).otherwise(((n * 37 + i * 11) % 100) / F.lit(100.0)).alias("probability"),
-        F.when(silent, F.lit(None)).when((i + F.col("seg_pos")) % 5 == 0, F.lit("guest"))
-         .otherwise(F.col("_role")).alias("speaker_label"),
-        F.when(silent, F.lit(0.0)).otherwise(((n * 29) % 100 + 1) / F.lit(100.0)).alias("coverage"))
+    return w.select("session_id", "seg_pos", "word_index", *_word(
+        F.col("_raw"), F.col("word_index"), F.col("_role"), F.col("seg_pos"), F.col("_s") if timed else None))
+
+
+def lines_of_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments, each with its words of ``words`` as one array in order."""
+    return segments(spark, sf).select("session_id", "seg_pos", F.transform(_toks("text"), lambda raw, i: F.struct(
+        i.alias("word_index"), *_word(raw, i, F.col("speaker_label"), F.col("seg_pos"), F.col("start")))).alias("words"))
 
 
 def timed_words(spark: SparkSession, sf: str) -> DataFrame:

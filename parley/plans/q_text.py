@@ -130,7 +130,7 @@ LW = "SELECT *, nullif(regexp_replace(lower(word), '[^a-z]', '', 'g'), '') AS l,
 @query("repeat_runs", b.with_ctes("words", """SELECT session_id, seg_pos, min(word_index) AS word_index, count(*) AS length, any_value(l) AS token FROM rr
     WHERE l IS NOT NULL GROUP BY session_id, seg_pos, r HAVING count(*) >= 2""", lw=LW, rr=RUN_SQL.format(v="l")))
 def repeat_runs(spark, sf):
-    r = runs.runs_in_segment(b.words(spark, sf), F.nullif(tx.letters("word"), F.lit("")), 2)
+    r = b.lines_of_words(spark, sf).select(*SEG, F.inline(runs.runs_in_segment(F.col("words"), fl.bare_word, 2)))
     return r.select(*SEG, "word_index", "length", tx.letters("first_word").alias("token"))
 
 
@@ -145,8 +145,8 @@ CENSUS = dict(lw=LW, rr=RUN_SQL.format(v="l"), zr=RUN_SQL.format(v="z"), found="
 
 
 def census(spark, sf):
-    s = b.segments(spark, sf)
-    return fl.garbage_census(b.words(spark, sf), s.filter("speaker_label = 'user'"), s.filter("is_gap"))
+    s = b.lines(spark, sf)
+    return fl.garbage_census(b.lines_of_words(spark, sf), s.filter("speaker_label = 'user'"), s.filter("is_gap"))
 
 
 @query("garbage_census", b.with_ctes("words", 'SELECT cls, session_id, seg_pos, word_index, "start" AS start_ms, "end" AS end_ms, token, coded FROM census', **CENSUS))
