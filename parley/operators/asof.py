@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.scans import LastSeen, NextSeen, RunMax, block_of, scan
+from parley.session import staged
 
 
 def asof(probe: DataFrame, build: DataFrame, keys: Sequence[str], at: str, time: str, tie: str,
@@ -36,24 +37,26 @@ def bracket(probe: DataFrame, build: DataFrame, keys: Sequence[str], payload: Se
             before_at: str = "start", after_at: str = "end", time: str = "start") -> DataFrame:
     """Nearest build row before ``before_at`` (strictly) and nearest at or after ``after_at``.
 
-    Each probe row enters the time line at both points, so one scan serves both directions.
+    Each probe row enters the time line at both points, so one scan serves both directions. The scan reads its input
+    twice, so probes are numbered and written once; the two points of a probe meet again by its number.
     """
     tie_id = F.col(tie).cast("long")
+    probe = staged(probe.withColumn("_id", F.monotonically_increasing_id()))
+    columns = probe.columns[:-1]
     point = F.explode(F.array(F.struct(F.col(before_at).alias("t"), F.lit(0).alias("d")),
                               F.struct(F.col(after_at).alias("t"), F.lit(2).alias("d"))))
-    p = probe.select(*keys, point.alias("_x"), F.struct(*probe.columns).alias("_p")).select(
-        *keys, F.col("_x.t").alias("_t"), F.lit(0).alias("_k"), F.lit(0).cast("long").alias("_tie"), "_p",
-        F.col("_x.d").alias("_d"))
+    p = probe.select(*keys, "_id", point.alias("_x"), F.struct(*columns).alias("_p")).select(
+        *keys, F.col("_x.t").alias("_t"), F.lit(0).alias("_k"), F.lit(0).cast("long").alias("_tie"), "_id",
+        F.when((F.col("_x.d") == 0) | F.col(f"_p.{before_at}").isNull(), F.col("_p")).alias("_p"), F.col("_x.d").alias("_d"))
     b = build.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_k"), tie_id.alias("_tie"),
                      F.struct(F.struct(F.col(time).alias("t"), (-tie_id).alias("n")).alias("r"), *payload).alias("_b"))
     line = p.unionByName(b, allowMissingColumns=True)
     # among equal start times the backward match is the least tie: a first-of-time value
     found = scan(line, keys, ["_t", "_k", "_tie", "_d"], block_of("_t", width),
                  _back=RunMax(F.col("_b")), _fwd=NextSeen(F.col("_b")))
-    both = found.filter("_p is not null").groupBy("_p").agg(
-        F.count_if(F.col("_d") == 0).alias("_copies"),
-        F.max(F.when(F.col("_d") == 0, F.col("_back"))).alias("_back"),
-        F.max(F.when(F.col("_d") == 2, F.col("_fwd"))).alias("_fwd"))
-    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    both = found.filter("_id is not null").groupBy("_id").agg(
+        F.any_value("_p", F.lit(True)).alias("_p"),
+        F.any_value(F.when(F.col("_d") == 0, F.col("_back")), F.lit(True)).alias("_back"),
+        F.any_value(F.when(F.col("_d") == 2, F.col("_fwd")), F.lit(True)).alias("_fwd"))
     return both.select("_p.*", *[F.col("_back")[c].alias(f"prev_{c}") for c in payload],
                        *[F.col("_fwd")[c].alias(f"next_{c}") for c in payload])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley.operators.runs import number_runs
 from parley.operators.scans import block_of
 from parley.operators.skew import keyed_lookup
+from parley.session import staged
 
 
 def _buckets(start: Column, end: Column, width: int) -> Column:
@@ -53,7 +54,7 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], width: int,
     local = (cut.withColumn("_new", F.when(F.col("_s") <= reach, 0).otherwise(1))
              .withColumn("_i", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
              .groupBy(*keys, "_b", "_i").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e")))
-    runs = number_runs(local, keys, ["_s"], block_of("_s", width * 64), F.struct("_s", "_e"),
+    runs = number_runs(staged(local.drop("_b", "_i")), keys, ["_s"], block_of("_s", width * 64), F.struct("_s", "_e"),
                        starts=lambda prev, row: row["_s"] > prev["_e"], prev_name="_p")
     return (runs.groupBy(*keys, "run").agg(F.min("_s").alias(start), F.max("_e").alias(end),
                                            F.min_by("_p", "_s").alias("_p"))
@@ -63,13 +64,14 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], width: int,
 def subtract(targets: DataFrame, cover: DataFrame, keys: Sequence[str], width: int, min_length=0) -> DataFrame:
     """Parts of ``targets`` (start, end, payload), at least ``min_length`` long, outside the union of ``cover``.
 
-    Holes between covers meet the targets in one overlap join. What sticks out before a key's
+    Holes between covers meet the targets in one overlap join; what is too short for a piece stays out of it. What sticks out before a key's
     first cover or after its last needs only those two bounds.
     """
-    t = targets.filter(F.col("end") > F.col("start"))
+    t = targets.filter((F.col("end") > F.col("start")) & (F.col("end") - F.col("start") >= F.lit(min_length)))
     payload = [c for c in targets.columns if c not in ("start", "end")]
     holes = (merge_intervals(cover, keys, width).filter("prev_end is not null")
-             .select(*keys, F.col("prev_end").alias("r_start"), F.col("start").alias("r_end")))
+             .select(*keys, F.col("prev_end").alias("r_start"), F.col("start").alias("r_end"))
+             .filter(F.col("r_end") - F.col("r_start") >= F.lit(min_length)))
     inner = overlap_join(t, holes, keys, width).select(
         *payload, F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"))
     bounds = cover.filter("end > start").groupBy(*keys).agg(F.min("start").alias("_lo"), F.max("end").alias("_hi"))

@@ -66,6 +66,16 @@ def block_of(column: str | Column, width: int) -> Column:
     return F.floor(col / F.lit(width)).cast("long")
 
 
+def _next_seen(column: str, keys: Sequence[str], order: Sequence[str]) -> Column:
+    """Earliest non-null value strictly after the row.
+
+    A frame that runs to the end of a partition is computed anew for each row, so its work grows with
+    the square of the partition; this ``lead`` goes over the rows once.
+    """
+    by, along = (", ".join(f"`{c}`" for c in names) for names in (keys, order))
+    return F.expr(f"lead(`{column}`) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY {along})")
+
+
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, **specs) -> DataFrame:
     """Add one column per spec, computed over ``keys`` in ``order``, block by block.
 
@@ -78,7 +88,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column
 
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(BLOCK)
-    before, after = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    before = (Window.unboundedPreceding, -1)
     rank = F.struct(*order)
 
     totals, carries, local, final = [], [], base, {}
@@ -113,10 +123,10 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column
             carries.append(F.last(total, ignorenulls=True).over(across.rowsBetween(*before)).alias(carry))
             final[name] = F.coalesce(F.col(here), F.col(carry))
         elif isinstance(spec, NextSeen):
-            frame = inside.rowsBetween(0 if spec.inclusive else 1, Window.unboundedFollowing)
-            local = local.withColumn(here, F.first(value, ignorenulls=True).over(frame))
+            following = _next_seen(f"_in_{name}", [*keys, BLOCK], order)
+            local = local.withColumn(here, F.coalesce(value, following) if spec.inclusive else following)
             totals.append(F.min_by(value, F.when(seen, rank)).alias(total))
-            carries.append(F.first(total, ignorenulls=True).over(across.rowsBetween(*after)).alias(carry))
+            carries.append(_next_seen(total, keys, [BLOCK]).alias(carry))
             final[name] = F.coalesce(F.col(here), F.col(carry))
         else:
             raise TypeError(f"unknown scan {spec!r}")

@@ -9,6 +9,7 @@ from parley.operators.asof import bracket
 from parley.operators.scans import block_of
 from parley.plans import bindings as b
 from parley.plans.catalog import query
+from parley.session import staged
 
 S = ["session_id"]
 J1_SQL = """SELECT w.session_id, w.event_id, t.speaker, sum(least(w."end", t."end") - greatest(w."start", t."start")) AS ov,
@@ -126,7 +127,7 @@ GAP_PARTS = {"short": SHORT_SQL, "m": MERGED.format(src="short"), "holes": HOLES
 
 
 def gap_table(spark, sf):
-    return gp.find_gaps(turn_table(spark, sf), short_words(spark, sf), S, b.BUCKET, 3_600_000_000)
+    return gp.find_gaps(staged(turn_table(spark, sf)), short_words(spark, sf), S, b.BUCKET, 3_600_000_000)
 
 
 @query("missed_speech_gaps", b.with_ctes("turns", 'SELECT session_id, speaker, "start" AS start_us, "end" AS end_us, "end" - "start" AS duration FROM gaps', **GAP_PARTS))
@@ -139,7 +140,8 @@ def missed_speech_gaps(spark, sf):
     (SELECT arg_min(word, (w."start", event_id)) FROM timed_words w WHERE w.session_id = g.session_id AND w."start" >= g."end") AS next_word
     FROM gaps g""", **GAP_PARTS))
 def gap_context(spark, sf):
-    r = bracket(gap_table(spark, sf), b.timed_words(spark, sf), S, ["word"], "event_id", b.TIME_BLOCK)
+    g = gap_table(spark, sf).select("session_id", "start", "end")
+    r = bracket(g, b.timed_words(spark, sf), S, ["word"], "event_id", b.TIME_BLOCK)
     return r.select("session_id", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "prev_word", "next_word")
 
 
