@@ -54,13 +54,18 @@ def _toks(col: str) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
 
 
-def _word(raw: Column, i: Column, role: Column, seg_pos: Column, start: Column | None) -> list[Column]:
-    """Columns of the ``i``-th word of a line; every few longer words are written with a capital, to act as names."""
+def _surface(raw: Column, i: Column) -> Column:
+    """The ``i``-th word of a line as written; every few longer words have a capital, to act as names."""
     n = F.length(raw)
     named = (n >= 6) & ((n + i) % 3 == 0) & raw.rlike("^[a-z]")
-    surface = F.when(named, F.concat(F.upper(F.substring(raw, 1, 1)), F.substring(raw, F.lit(2), n))).otherwise(raw)
+    return F.when(named, F.concat(F.upper(F.substring(raw, 1, 1)), F.substring(raw, F.lit(2), n))).otherwise(raw)
+
+
+def _word(raw: Column, i: Column, role: Column, seg_pos: Column, start: Column | None) -> list[Column]:
+    """Columns of the ``i``-th word of a line."""
+    n = F.length(raw)
     silent = (n + i) % 13 == 0
-    return [surface.alias("word"),
+    return [_surface(raw, i).alias("word"),
             *([] if start is None else [(start + 300 * i).alias("start"), (start + 300 * i + 300).alias("end")]),
             F.when((n + i) % 17 == 0, F.lit(None)).otherwise(((n * 37 + i * 11) % 100) / F.lit(100.0)).alias("probability"),
             F.when(silent, F.lit(None)).when((i + seg_pos) % 5 == 0, F.lit("guest")).otherwise(role).alias("speaker_label"),
@@ -88,6 +93,13 @@ def lines_of_words(spark: SparkSession, sf: str) -> DataFrame:
         i.alias("word_index"), *_word(raw, i, F.col("speaker_label"), F.col("seg_pos"), F.col("start")))).alias("words"))
 
 
+def surfaces(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments, each with the spellings of its words as one array in order."""
+    return table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("seg_pos"),
+        F.transform(_toks("text"), _surface).alias("words"))
+
+
 def timed_words(spark: SparkSession, sf: str) -> DataFrame:
     """Events as words: [ts, ts + 10 minutes per unit of value) in microseconds since 2024."""
     e = table(spark, sf, "events")

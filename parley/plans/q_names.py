@@ -229,4 +229,4 @@ def find_spellings(spark, sf):
     def runs(n):
         return F.filter(F.transform("t", lambda x, i: F.when(i <= F.size("t") - n, F.array_join(F.slice("t", i + 1, n), " "))), lambda x: x.isNotNull())
     key = b.table(spark, sf, "benchmark").select(clean.alias("t")).select(F.explode(F.concat(runs(1), runs(2), runs(4))).alias("cleaned"))
-    return nm.find_spellings(b.words(spark, sf, timed=False), key)
+    return nm.find_spellings(b.surfaces(spark, sf), key)
