@@ -123,7 +123,7 @@ def occurrences_by_pattern(texts: DataFrame, ids: Sequence[str], names: DataFram
     keys = [c for c in ("variant", "prefix") if c in names.columns]
     names = names.select("canonical", "variant", *[F.coalesce("prefix", F.lit(False)).alias("prefix")][:len(keys) - 1]).distinct()
     hits = staged(phrases_in(texts, ids, text, names.select(*keys).distinct(), "variant", "prefix" if "prefix" in keys else None))
-    counts = hits.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.countDistinct(*ids).alias("_texts"))
+    counts = hits.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.expr(f"count({', '.join(ids)})").alias("_texts"))  # a text and key have one row
     found = staged(names.join(counts, keys).groupBy("canonical").agg(
         F.sum("_n").alias("n"), F.countDistinct("variant").alias("n_variants"), F.array_sort(F.collect_set(F.struct(*keys))).alias("_set"),
         F.max("_texts").alias("_texts")))

@@ -21,3 +21,13 @@ def keyed_lookup(big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: S
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(spread)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+#: Bytes, about, of a table that ``sent`` sends to all tasks.
+SENT = 16 << 20
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A written table of keys, to be sent to all tasks where its measured size allows; Spark joins a larger one as it sees fit."""
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))).first()[0] or 0
+    return F.broadcast(table) if size <= SENT else table

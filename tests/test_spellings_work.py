@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from parley.operators import names as nm
+from parley.operators import skew
 from parley.plans import catalog
 
 catalog.load()
@@ -25,7 +25,7 @@ def both(spark, sf, lines, texts):
 
 @pytest.mark.parametrize("sent", [0, 16 << 20])
 def test_odd_lines_equal_sql(spark, tmp_path, monkeypatch, sent):
-    monkeypatch.setattr(nm, "SENT", sent)
+    monkeypatch.setattr(skew, "SENT", sent)
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["the", "an", "cat", "dog's", "12", "Ünder"]) for _ in range(k)) for k in range(9)] + [None, "", " the  cat\n", "an cat the the"]
     lines = [(k, j, "user", " ".join(rng.choice(["The", "an", "cat,", "dogs", "--", "Ünder"]) for _ in range(rng.randrange(12)))) for k in range(12) for j in range(3)]
