@@ -2,8 +2,8 @@
 
 Every vector carries the means and deviations of its segments. For two vectors and one segment the
 inner product lies within the product of the means, times the length, plus or minus the product of
-the deviations; the sum over segments bounds the score. Segments are halved step by step, and what
-no bound can rule out is scored exactly.
+the deviations; the sum over segments bounds the score. Segments are halved step by step, as long as
+that costs less than the scores it may save, and what no bound can rule out is scored exactly.
 """
 
 from collections.abc import Iterator
@@ -23,6 +23,10 @@ COARSEST, FINEST = 4, 32
 #: Numbers in a slice of rows, anchors of a block, anchors bounded together.
 CELLS, ANCHORS, TOGETHER = 1 << 20, 2_048, 32
 LARGEST = 2.0**62
+#: Products of whole numbers are exact in floating point up to here.
+EXACT = 2.0**53
+#: Share of an exact score that a level of bounds may always cost; share of pairs alive from which a whole block is multiplied at once.
+CHEAP, DENSE = 1 / 8, 1 / 8
 
 
 def clean_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -81,7 +85,7 @@ class Slice:
     """Rows of a task with the summaries of all levels, made once."""
 
     def __init__(self, ids: np.ndarray, rids: np.ndarray, labels: np.ndarray, x: np.ndarray):
-        self.ids, self.rids, self.labels, self.x = ids, rids, labels, x
+        self.ids, self.rids, self.labels, self.x, self.real = ids, rids, labels, x, x.astype(np.float64)
         self.levels = [(s, *summary(x, s)) for s in levels(x.shape[1])]
         self.scored = 0
 
@@ -89,23 +93,40 @@ class Slice:
         """(anchor, rows, exact scores) of the rows that ``keep`` can't rule out at any level.
 
         ``wanted`` is the anchor x row mask to start from; ``keep(anchor, low, high)`` marks the rows
-        that may still count.
+        that may still count. A level is asked if its two products a segment cost little beside an exact
+        score, or less than the share of the rows that the level before ruled out. While many rows are
+        alive, anchors and rows are multiplied as matrices.
         """
-        room = slack(anchors, self.x)
-        deep = [(s, *summary(anchors, s)) for s, *_ in self.levels]
-        first = None
-        if self.levels:
-            (_, mean, dev), (_, am, ad) = self.levels[0], deep[0]
-            first = am @ mean.T, ad @ dev.T + room
-        for a in range(len(anchors)):
-            rows = np.flatnonzero(wanted[a])
-            for level, ((_, mean, dev), (_, am, ad)) in enumerate(zip(self.levels, deep, strict=True)):
-                if not len(rows):
-                    break
-                mid, off = (first[0][a][rows], first[1][a][rows]) if level == 0 else (mean[rows] @ am[a], dev[rows] @ ad[a] + room)
-                rows = rows[keep(a, mid - off, mid + off)]
-            self.scored += len(rows)
-            yield a, rows, self.x[rows] @ anchors[a]
+        room, alive = slack(anchors, self.x), [np.flatnonzero(w) for w in wanted]
+        left, ruled_out = sum(map(len, alive)), 0.0
+        for segments, mean, dev in self.levels:
+            if not left or 2 * segments > max(CHEAP, ruled_out) * self.x.shape[1]:
+                break
+            am, ad = summary(anchors, segments)
+            dense = left >= DENSE * wanted.size
+            mids, offs = (am @ mean.T, ad @ dev.T + room) if dense else (None, None)
+            for a, rows in enumerate(alive):
+                if len(rows):
+                    mid, off = (mids[a][rows], offs[a][rows]) if dense else (mean[rows] @ am[a], dev[rows] @ ad[a] + room)
+                    alive[a] = rows[keep(a, mid - off, mid + off)]
+            asked, left = left, sum(map(len, alive))
+            ruled_out = 1 - left / asked
+        self.scored += left
+        scores = self.scores(anchors) if left >= DENSE * wanted.size else None
+        for a, rows in enumerate(alive):
+            yield a, rows, scores[a][rows] if scores is not None else self.x[rows] @ anchors[a]
+
+    def scores(self, anchors: np.ndarray) -> np.ndarray:
+        """Scores of all pairs, multiplied as floating point where each partial sum is a whole number that it can hold."""
+        real = anchors.astype(np.float64)
+        if longest(real) * longest(self.real) >= EXACT / 2:
+            return anchors @ self.x.T
+        return (real @ self.real.T).astype(np.int64)
+
+
+def longest(x: np.ndarray) -> float:
+    """The greatest length of the vectors."""
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0.0)))
 
 
 def kth(values: np.ndarray, k: int) -> float:
@@ -157,6 +178,10 @@ def _windows(width: int, k: int):
 
             wanted = labels[at:at + TOGETHER, None] != near.labels[None, :]
             for a, found_rows, scores in near.bounds(x[at:at + TOGETHER], keep, wanted):
+                # k scores of the window that ends first are in, or below, every window: lower ones are not among its best
+                lo, hi = min(limits[a], key=lambda window: window[1])
+                high = np.flatnonzero(scores >= kth(scores[(scores >= lo) & (scores <= hi)], k))
+                found_rows, scores = found_rows[high], scores[high]
                 for p, (lo, hi) in zip(part[a], limits[a], strict=True):
                     inside = np.flatnonzero((scores >= lo) & (scores <= hi))
                     top = inside[best(scores[inside], near.ids[found_rows[inside]], k)]
